@@ -7,12 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, decontam, simhash, urlrules
+from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, sharding, simhash, toxicity, urlrules
 from pageloom.session import table
 
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,14 +38,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_50K), public_tokenizers.PATTERN)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_permutation_index": op2_permutation_index,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontaminate": op4_decontaminate,
     "op6_url_rules": op6_url_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_chat_format": op8_chat_format,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
