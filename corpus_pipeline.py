@@ -1,18 +1,31 @@
-"""A corpus from raw documents to token ids, stage by stage; counted as part of pageloom.llm."""
+"""A corpus from raw documents to token ids, stage by stage; counted as part of pageloom.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first four return rows with the
+columns of documents: without toxic documents, with one document of each near-duplicate group, with repeated passages
+taken out of the texts, and without documents that hold benchmark windows. The last one encodes the texts.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, decontam, simhash
+from pageloom.llm import bpe, decontam, simhash, substrings, toxicity
 from pageloom.session import scratch_path, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(docs)
+
+
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -21,7 +34,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("simhash_near_dedup", drop_near_copies), ("decontaminate", drop_benchmark_leaks), ("byte_bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontaminate", drop_benchmark_leaks),
+    ("byte_bpe", encode),
+]
+#: Boosted trees, 64-bit fingerprints and byte-pair merges are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, sharding, simhash, toxicity, urlrules
+from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, sharding, simhash, substrings, toxicity, urlrules
+from pageloom.llm.oracles import ORACLES
 from pageloom.session import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -29,6 +33,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urlrules.RULES, "verdict string, rule string")
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -55,10 +63,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_permutation_index": op2_permutation_index,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontaminate": op4_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_url_rules": op6_url_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
