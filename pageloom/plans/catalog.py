@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pageloom.session import table
+from pageloom.plans import queries_blocks, queries_chapters, queries_tasks  # noqa: F401
+from pageloom.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    """Questions of all documents: lines as blocks, rules in place of a model, chapters by rules."""
+    return QUERIES["extract_questions"](spark, sf_dir)

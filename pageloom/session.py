@@ -38,3 +38,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written as a compressed table in the shared folder, and read again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
