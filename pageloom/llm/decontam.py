@@ -16,14 +16,35 @@ from pageloom.session import cut
 WINDOW = 10
 #: Rarest terms of a window whose posting lists are intersected before the words are compared.
 ANCHORS = 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words of an ASCII-lowered text.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Names of texts with candidates are folded into so many buckets: a bounded filter that spares other texts the shuffle.
+FILTER_BUCKETS = 1 << 20
 #: Test terms go to every task only up to this many bytes; beyond it Spark joins them by shuffle.
 BROADCAST_BYTES = 16 << 20
 
 
+def _lowered(text: Column) -> Column:
+    """A-Z lowered: the fast function where all is ASCII, else letter by letter."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(fold_ascii(text))
+
+
+def _pieces(text: Column) -> tuple[Column, Column, Column]:
+    """(pieces between gaps, one for a leading empty piece, number of words). Splitting is far cheaper than matching."""
+    pieces = F.split(F.coalesce(_lowered(text), F.lit("")), GAP)
+    first = (F.element_at(pieces, 1) == "").cast("int")
+    last = ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    return pieces, first, F.size(pieces) - first - last
+
+
 def words_of(text: Column) -> Column:
     """Words of the ASCII-lowered text; null has none."""
-    return F.coalesce(F.regexp_extract_all(fold_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    pieces, first, n = _pieces(text)
+    return F.slice(pieces, first + 1, n)
+
+
+def n_words(text: Column) -> Column:
+    return _pieces(text)[2].cast("long")
 
 
 def _small(df: DataFrame, size: Column) -> DataFrame:
@@ -42,19 +63,19 @@ def phrases(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, words); key: 128 bits of the text's digest."""
-    return docs.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("key"), words_of(F.col("text")).alias("words"))
+    """(doc_id, key, text); key: 128 bits of the text's digest."""
+    return docs.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("key"), "text")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in all documents of each given term (zero if none)."""
-    hits = docs.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    hits = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(hits, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index (term, key, pos) over all documents for the given terms; copies of a text share their postings."""
-    flat = docs.select("key", F.posexplode("words").alias("pos", "term"))
+    flat = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
     return flat.join(terms, "term", "left_semi").distinct()
 
 
@@ -77,11 +98,14 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS)
     starts = index.join(asked, "term").select("key", "w", F.expr("pos - offset").alias("start"), "offset", "k")
     starts = starts.where("start >= 0").groupBy("key", "w", "start").agg(F.count("*").alias("met"), F.max("k").alias("k")).where("met = k")
     starts = cut(starts.select("key", "w", "start"))
-    # the other words of the phrase are compared in the documents that have common starts
+    # the other words of the phrase are compared in the texts that have common starts; a filter of bounded size lets few others pass
+    bucket = lambda: F.pmod(F.xxhash64("key"), F.lit(FILTER_BUCKETS)).cast("int")
+    passed = F.broadcast(starts.select(bucket().alias("bucket")).distinct())
+    texts = docs.select("key", "text", bucket().alias("bucket")).join(passed, "bucket", "left_semi").select("key", words_of(F.col("text")).alias("words"))
     wanted = _small(windows.select("w", "phrase").distinct(), F.octet_length(F.array_join("phrase", " ")))
     held = starts.join(wanted, "w").groupBy("key").agg(F.collect_list(F.struct("w", "start", "phrase")).alias("c"))
-    texts = docs.join(held, "key").select("key", F.expr("filter(c, x -> slice(words, x.start + 1, size(x.phrase)) = x.phrase)").alias("ok"))
-    hits = texts.where("size(ok) > 0").select("key", F.explode("ok").alias("x")).select("key", "x.w", "x.start", F.size("x.phrase").alias("length"))
+    checked = texts.join(held, "key").select("key", F.expr("filter(c, x -> slice(words, x.start + 1, size(x.phrase)) = x.phrase)").alias("ok"))
+    hits = checked.where("size(ok) > 0").select("key", F.explode("ok").alias("x")).select("key", "x.w", "x.start", F.size("x.phrase").alias("length"))
     return hits.distinct()
 
 
@@ -112,8 +136,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     hits = spans.select("key", covered.cast("long").alias("n_hit"))
     items = found.select("key", "w").distinct().join(windows.select("w", F.col("item_id").cast("string").alias("item")).distinct(), "w").select("key", "item").distinct()
     items = items.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    per_text = hits.join(items, "key", "left")
-    rows = keyed.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(per_text, "key", "left")
+    per_text = cut(hits.join(items, "key", "left"))  # so that the join below stands alone and a hot text can be split
+    rows = keyed.select("doc_id", "key", n_words(F.col("text")).alias("n_words")).join(per_text, "key", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
