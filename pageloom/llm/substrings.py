@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.session import cut, scratch_path
+from pageloom.session import scratch_path, stored
 
 WINDOW, GRAM = 20, 8
 #: Marked fingerprints of one reference that one task takes; more are shared out.
 SEGMENT_ROWS = 20_000
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,30 +57,35 @@ def _sliding(x: np.ndarray, n: int, ufunc) -> np.ndarray:
     return out
 
 
-class Hasher:
-    """Word hashes, each word hashed once for as long as the table is small."""
+class Hasher(dict):
+    """Word hashes: each word is hashed once and numbered, for as long as the table is small."""
 
     def __init__(self, limit: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
+        super().__init__()
+        self.limit, self.hashes = limit, np.empty(1 << 12, np.uint64)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        known, h = self.known, xxhash.xxh64_intdigest
-        if len(known) > self.limit:
-            known.clear()
-        for w in {*words} - known.keys():
-            known[w] = h(w)
-        return np.array([known[w] for w in words], np.uint64)
+        n = self[word] = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.r_[self.hashes, self.hashes]
+        self.hashes[n] = xxhash.xxh64_intdigest(word)
+        return n
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hashes[numbers]
 
 
-def window_prints(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of each window, which gram hashes are some window's fingerprint)."""
+def window_prints(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint of each window, gram hashes, which of them are some window's fingerprint)."""
     grams = rolled(tokens, GRAM)
     least = _sliding(grams, window - GRAM + 1, np.minimum)
     pad = np.zeros(window - GRAM, np.uint64)
-    return least, _sliding(np.r_[pad, least, pad], window - GRAM + 1, np.maximum) == grams
+    return least, grams, _sliding(np.r_[pad, least, pad], window - GRAM + 1, np.maximum) == grams
 
 
 class SuffixAutomaton:
@@ -175,8 +179,8 @@ class SubstringDedup:
                     words = raw.split()
                     if len(words) < window:
                         continue
-                    least, chosen = window_prints(hashed(words), window)
-                    found, n = np.unique(rolled(hashed(words), GRAM)[chosen], return_counts=True)
+                    _, grams, chosen = window_prints(hashed(words), window)
+                    found, n = np.unique(grams[chosen], return_counts=True)
                     fps.append(found.view(np.int64))
                     ds.append(np.full(len(found), d, np.int64))
                     ns.append(n)
@@ -187,9 +191,9 @@ class SubstringDedup:
 
     def marks(self) -> DataFrame:
         """(d, fps, refs, shares): repeated fingerprints of each document with their first document."""
-        prints = self.prints()
+        prints = stored(self.prints(), "prints")
         repeated = prints.groupBy("fp").agg(F.sum("n").alias("n"), F.min("d").alias("ref")).where("n > 1").select("fp", "ref")
-        found = cut(prints.select("fp", "d").join(repeated, "fp").select("d", "fp", "ref"))
+        found = stored(prints.select("fp", "d").join(repeated, "fp").select("d", "fp", "ref"), "marks")
         shares = found.groupBy("ref").count().where(F.col("count") > SEGMENT_ROWS).select("ref", (F.col("count") / SEGMENT_ROWS).cast("int").alias("more"))
         found = found.join(shares, "ref", "left").select("d", "fp", "ref", (F.coalesce("more", F.lit(0)) + 1).alias("share"))
         return found.groupBy("d").agg(F.collect_list(F.struct("fp", "ref", "share")).alias("marks"))
@@ -270,7 +274,7 @@ class SubstringDedup:
 
     def removed(self) -> DataFrame:
         """(d, starts, counts): runs of windows to remove, for each document that has some."""
-        found = cut(self.matched(self.segments(self.marks())))
+        found = stored(self.matched(self.segments(self.marks())), "matched")
         rest = found.where("n = 0").select("d", "start", "h1", "h2")
         first = rest.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
         later = rest.join(first, ["h1", "h2"]).where("d > first").select("d", "start", F.lit(1).cast("long").alias("n"))
