@@ -80,10 +80,12 @@ def page_offsets(entries: DataFrame, body: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("id")
     first = entries.where("page_number is not null").withColumn("k", F.row_number().over(w)).where("k <= 10").select("doc_id", "k", "page_number", normal_title("title").alias("a")).where("length(a) >= 3")
-    words = first.select("*", F.explode(F.array_distinct(F.split("a", r"\s+"))).alias("word"))
+    sets = lambda c: F.array_distinct(F.split(c, r"\s+"))
+    words = first.select("doc_id", "k", "page_number", F.size(sets("a")).alias("na"), F.explode(sets("a")).alias("word"))
     texts = body.select("doc_id", F.col("id").alias("bid"), "page_idx", normal_title(F.coalesce("text", F.lit(""))).alias("b")).where("b <> ''")
-    texts = texts.select("*", F.explode(F.array_distinct(F.split("b", r"\s+"))).alias("word"))
-    pairs = words.join(texts, ["doc_id", "word"]).select("doc_id", "k", "page_number", "a", "bid", "page_idx", "b").distinct().where(word_jaccard("a", "b") > 0.8)
+    texts = texts.select("doc_id", "bid", "page_idx", F.size(sets("b")).alias("nb"), F.explode(sets("b")).alias("word"))
+    pairs = words.join(texts, ["doc_id", "word"]).groupBy("doc_id", "k", "page_number", "na", "bid", "page_idx", "nb").agg(F.count("*").alias("n"))
+    pairs = pairs.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) > 0.8)
     hit = pairs.groupBy("doc_id", "k", "page_number").agg(F.min(F.struct("bid", "page_idx")).alias("h"))
     seen = hit.select("doc_id", "k", (F.col("h.page_idx") - F.col("page_number")).alias("o")).groupBy("doc_id", "o").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     return seen.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "k", "o"))["o"].alias("page_offset"))

@@ -326,20 +326,29 @@ def page_windows(spark, sf):
     return anchors.page_windows(blocks(spark, sf).groupBy("doc_id").agg(F.lit(0).alias("start_page"), F.max("id").alias("end_page")))
 
 
-@query("contents_entries", rf"""WITH {B}, {_HEAD}, D AS (SELECT doc_id, page_idx, count(*) FILTER (WHERE length(text) >= 3 AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT)}') AND (regexp_matches(text, '{predicates.any_of(anchors.ENTRY_WITH_CASE)}') OR regexp_matches(text, '(?i){predicates.any_of(anchors.ENTRY_ANY_CASE)}'))) AS n FROM H WHERE page_idx = 0 GROUP BY ALL),
-K AS (SELECT H.*, regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 1) AS t1, regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 2) AS n1 FROM H JOIN D ON H.doc_id = D.doc_id AND H.page_idx = 0 WHERE D.n >= 5)
-SELECT doc_id, id, CASE WHEN length(t1) > 3 THEN t1 ELSE text END AS title, TRY_CAST(CASE WHEN length(t1) > 3 THEN n1 END AS INTEGER) AS page_number FROM K WHERE text LIKE 'Unit %' AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT + anchors.IMPRINT_MORE)}') AND NOT regexp_matches(text, '[\s.]{{2,}}\d{{1,4}}\s*$')""")
+_ENTRY = f"(length(text) >= 3 AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT)}') AND (regexp_matches(text, '{predicates.any_of(anchors.ENTRY_WITH_CASE)}') OR regexp_matches(text, '(?i){predicates.any_of(anchors.ENTRY_ANY_CASE)}')))"
+
+
+@query("contents_entries", rf"""WITH {B}, {_HEAD}, D AS (SELECT doc_id FROM H WHERE page_idx <= 1 GROUP BY doc_id HAVING count(*) FILTER (WHERE {_ENTRY}) >= 5 AND bool_or(page_idx = 0)),
+K AS (SELECT H.*, regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$') AS wide, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 1) AS t1, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 2) AS n1,
+ regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 1) AS t2, regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 2) AS n2 FROM H JOIN D ON H.doc_id = D.doc_id AND H.page_idx = 0)
+SELECT doc_id, id, regexp_replace(trim(regexp_replace(trim(CASE WHEN wide THEN t1 WHEN length(t2) > 3 THEN t2 ELSE text END), '\.{{2,}}$', '')), '([0-9])([A-Z])', '\1 \2', 'g') AS title, TRY_CAST(CASE WHEN wide THEN n1 WHEN length(t2) > 3 THEN n2 END AS INTEGER) AS page_number
+FROM K WHERE text LIKE 'Unit %' AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT + anchors.IMPRINT_MORE)}')""")
 def contents_entries(spark, sf):
     b = headed(spark, sf)
     e = anchors.contents_entries(b, anchors.contents_pages(b).where("page_idx = 0"))
-    return e.where("title like 'Unit %' and source_page = 0").where(~F.concat("title", F.lit(" "), "page_number").rlike(r"[\s.]{2,}\d{1,4}$")).select("doc_id", "id", "title", "page_number")
+    return e.where("title like 'Unit %'").select("doc_id", "id", "title", "page_number")
 
 
-@query("page_offset_mode")
+@query("page_offset_mode", rf"""WITH {B}, X AS (SELECT doc_id, id, page_idx, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s一-鿿]', '', 'g')) AS t FROM B),
+S AS (SELECT *, list_distinct(string_split(t, ' ')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM X),
+M AS (SELECT a.doc_id, a.k, a.page_idx - a.doc_id % 5 AS printed, arg_min(b.page_idx, b.id) AS page FROM S a JOIN S b ON a.doc_id = b.doc_id AND b.t <> '' WHERE a.k <= 10 AND length(a.t) >= 3 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.8 GROUP BY ALL),
+O AS (SELECT doc_id, page - printed AS o, count(*) AS n, min(k) AS k FROM M GROUP BY ALL)
+SELECT doc_id, CAST(o AS BIGINT) AS page_offset FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM O) WHERE r = 1""")
 def page_offset_mode(spark, sf):
-    b = headed(spark, sf)
-    pages = anchors.contents_pages(b)
-    return anchors.page_offsets(anchors.contents_entries(b, pages), b.join(pages, ["doc_id", "page_idx"], "left_anti"))
+    b = blocks(spark, sf)
+    printed = b.select("doc_id", "id", F.col("text").alias("title"), (F.col("page_idx") - F.pmod("doc_id", F.lit(5))).alias("page_number"))
+    return anchors.page_offsets(printed, b)
 
 
 @query("rule_tree")
