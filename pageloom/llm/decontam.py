@@ -2,7 +2,8 @@
 
 The index holds postings (term, document, position). A test phrase is looked up from its rarest terms: their posting
 lists, shifted by the term's place in the phrase, must meet at one start; each common start is then checked word by
-word. Documents are named by a digest of their text, so copies share one posting and ids may be null or repeated.
+word, so terms can be named by hashes. Documents are named by a digest of their text: copies share one posting, and ids
+may be null or repeated.
 """
 
 from __future__ import annotations
@@ -67,21 +68,26 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("key"), "text")
 
 
+def test_terms(windows: DataFrame) -> DataFrame:
+    return windows.select(F.explode("phrase").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences in all documents of each given term (zero if none)."""
-    hits = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): occurrences in all documents of each given term (zero if none). A term is its word's 64-bit hash."""
+    flat = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
+    hits = flat.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(hits, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index (term, key, pos) over all documents for the given terms; copies of a text share their postings."""
-    flat = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    flat = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "word")).select("key", "pos", F.xxhash64("word").alias("term"))
     return flat.join(terms, "term", "left_semi").distinct()
 
 
 def anchored(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
     """(w, term, offset, k): the rarest terms of each distinct window (ties: the first place)."""
-    flat = windows.select("w", "phrase").distinct().select("w", F.posexplode("phrase").alias("offset", "term"))
+    flat = windows.select("w", "phrase").distinct().select("w", F.posexplode("phrase").alias("offset", "word")).select("w", "offset", F.xxhash64("word").alias("term"))
     placed = flat.join(counts, "term").groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("t"), F.min("n").alias("least"))
     best = placed.where("least > 0").select("w", F.slice("t", 1, anchors).alias("t"))
     return best.select("w", F.explode("t").alias("t"), F.size("t").alias("k")).select("w", F.col("t.term").alias("term"), F.col("t.offset").alias("offset"), "k")
@@ -89,12 +95,11 @@ def anchored(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) -> DataFrame:
     """(key, w, start, length): every exact occurrence of a window in a distinct document text."""
-    terms = windows.select(F.explode("phrase").alias("term")).distinct()
-    terms = _small(cut(terms), F.octet_length("term"))
+    terms = _small(cut(test_terms(windows)), F.lit(8))
     counts = cut(term_counts(docs, terms))
     lookups = cut(anchored(windows, counts, anchors))
-    index = postings(docs, _small(lookups.select("term").distinct(), F.octet_length("term")))
-    asked = _small(lookups, F.octet_length("term"))
+    index = postings(docs, _small(lookups.select("term").distinct(), F.lit(8)))
+    asked = _small(lookups, F.lit(24))
     starts = index.join(asked, "term").select("key", "w", F.expr("pos - offset").alias("start"), "offset", "k")
     starts = starts.where("start >= 0").groupBy("key", "w", "start").agg(F.count("*").alias("met"), F.max("k").alias("k")).where("met = k")
     starts = cut(starts.select("key", "w", "start"))
@@ -112,7 +117,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS)
 def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int, anchors: int = ANCHORS) -> DataFrame:
     """(key, w, start): places where the rarest terms of a window lie in its order within ``slack`` extra words."""
     keyed = keyed_docs(docs)
-    terms = cut(windows.select(F.explode("phrase").alias("term")).distinct())
+    terms = cut(test_terms(windows))
     lookups = cut(anchored(windows, cut(term_counts(keyed, terms)), anchors))
     index = postings(keyed, lookups.select("term").distinct())
     hits = index.join(lookups, "term").withColumn("start", F.col("pos") - F.col("offset"))
