@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.predicates import any_of, noisy_heading
-from pageloom.functions.text import normal_title, split_digit_capital, trim_ws, word_jaccard
+from pageloom.functions.text import normal_title, split_digit_capital, trim_ws
 
 # What marks contents pages, their entries, imprints and front matter.
 CONTENTS_MARK = r"(?i)^(contents|table\s+of\s+contents|目录|content)$"
@@ -96,9 +96,12 @@ def match_contents(entries: DataFrame, body: DataFrame, offsets: DataFrame, reac
     e = entries.join(offsets, "doc_id", "left").withColumn("expected", F.col("page_number") + F.coalesce("page_offset", F.lit(0))).withColumnRenamed("id", "entry")
     spread = F.when(F.col("expected").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.col("expected") - reach, F.col("expected") + reach))
     near = e.select("*", F.explode(spread).alias("p"), normal_title("title").alias("a"), F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1).alias("num"))
-    b = body.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("b", normal_title("text"))
+    sets = lambda c: F.array_distinct(F.split(c, r"\s+"))
+    near = near.withColumn("wa", sets("a"))
+    b = body.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("b", normal_title("text")).withColumn("wb", sets("b"))
     joined = near.where("p is not null").join(b.withColumn("p", F.col("page")), ["doc_id", "p"]).drop("p").unionByName(near.where("p is null").drop("p").join(b, "doc_id"))
-    score, t = word_jaccard("a", "b"), trim_ws("text")
+    joined = joined.withColumn("both", F.size(F.array_intersect("wa", "wb")))
+    score, t = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.col("both") / (F.size("wa") + F.size("wb") - F.col("both"))), trim_ws("text")
     inside = (F.col("b") != "") & (F.contains("b", F.col("a")) | F.contains("a", F.col("b"))) & (score > 0)
     numbered = (F.col("num") != "") & (t.startswith(F.concat("num", F.lit(" "))) | t.startswith(F.concat("num", F.lit("."))))
     close = F.length(t).between(3, 200)
@@ -176,6 +179,35 @@ def page_windows(gaps: DataFrame, size: int = 5, stride: int = 3) -> DataFrame:
     return rows.select("doc_id", "start_page", F.least(F.col("start_page") + size - 1, F.col("last")).alias("end_page"))
 
 
+def window_headings(answers: DataFrame, windows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Anchors that a model named in page windows (doc_id, start_page, end_page); headings outside their window are left out.
+
+    answers: (doc_id, start_page, output) with JSON {"headings": [{"block_id", "title", "level"}]} anywhere in the output.
+    """
+    schema = "headings array<struct<block_id:int,title:string,level:int>>"
+    found = F.from_json(F.regexp_extract("output", r"(?s)(\{.*\})", 1), schema)["headings"]
+    rows = answers.join(windows, ["doc_id", "start_page"]).select("doc_id", "start_page", "end_page", F.explode(found).alias("h"))
+    b = blocks.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), "text")
+    rows = rows.select("doc_id", "start_page", "end_page", F.col("h.block_id").alias("block_id"), F.col("h.title").alias("title"), F.col("h.level").alias("level"))
+    rows = rows.join(b, ["doc_id", "block_id"]).where("page between start_page and end_page and level between 1 and 4")
+    return rows.select("doc_id", "block_id", "page", "text", "title", "level", F.lit(0.65).alias("confidence"), F.lit("llm").alias("source")).distinct()
+
+
+def unmatched_titles(entries: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, title) of contents entries that no anchor has."""
+    return entries.select("doc_id", "title").distinct().join(anchors.select("doc_id", "title"), ["doc_id", "title"], "left_anti")
+
+
+def page_density(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, blocks, entries, ids): the blocks of each page, how many look like contents entries, in order."""
+    return blocks.groupBy("doc_id", "page_idx").agg(F.count("*").alias("blocks"), F.count_if(is_entry("text")).alias("entries"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def total_pages(blocks: DataFrame) -> DataFrame:
+    """(doc_id, total_pages)."""
+    return blocks.groupBy("doc_id").agg((F.max("page_idx") + 1).alias("total_pages"))
+
+
 def rule_tree(blocks: DataFrame) -> DataFrame:
     """The chapter tree of each document by rules: contents where there are some, heading patterns everywhere else."""
     pages = contents_pages(blocks)

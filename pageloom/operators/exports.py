@@ -47,3 +47,14 @@ def markdown_text(questions: DataFrame, folder: str | None = None) -> DataFrame:
     rows = markdown_parts(questions, folder).groupBy("doc_id").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("seq", "part"))).alias("x"))
     head = F.concat(F.lit("# 提取的题目\n\n**总数**: "), F.col("total").cast("string"), F.lit("\n\n---\n\n"))
     return rows.select("doc_id", "total", F.concat(head, F.array_join(F.col("x.part"), "")).alias("markdown"))
+
+
+def result_names(tasks: DataFrame) -> DataFrame:
+    """(id, json_name, markdown_name): the names under which a task's results are handed out."""
+    return tasks.select("id", F.concat("name", F.lit("_questions.json")).alias("json_name"), F.concat("name", F.lit("_questions.md")).alias("markdown_name"))
+
+
+def write_results(questions: DataFrame, path: str, folder: str | None = None) -> None:
+    """One JSON line for each question and one Markdown text for each document, written in parallel."""
+    json_rows(questions, folder).select("doc_id", "seq", "json").write.mode("overwrite").parquet(f"{path}/json")
+    markdown_text(questions, folder).write.mode("overwrite").parquet(f"{path}/markdown")

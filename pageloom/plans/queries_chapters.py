@@ -354,3 +354,42 @@ def page_offset_mode(spark, sf):
 @query("rule_tree")
 def rule_tree(spark, sf):
     return rule_chapters(headed(spark, sf))
+
+
+@query("total_pages", f"WITH {B} SELECT doc_id, max(page_idx) + 1 AS total_pages FROM B GROUP BY doc_id")
+def total_pages(spark, sf):
+    return anchors.total_pages(blocks(spark, sf))
+
+
+@query("page_density", f"WITH {B}, {_HEAD} SELECT doc_id, page_idx, count(*) AS blocks, count(*) FILTER (WHERE {_ENTRY}) AS entries, md5(string_agg(id, ',' ORDER BY id)) AS digest FROM H WHERE page_idx = 0 OR text IS NOT NULL GROUP BY ALL")
+def page_density(spark, sf):
+    b = headed(spark, sf).where(~((F.col("page_idx") > 0) & F.col("text").rlike(r"^\d+\.1 ")))
+    lost = (F.col("page_idx") == 0) & F.col("text").rlike(r"^\d+\.1 ")
+    d = anchors.page_density(b.withColumn("text", F.when(~lost, F.col("text"))))
+    return d.select("doc_id", "page_idx", "blocks", "entries", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
+
+
+@query("unmatched_titles", f"WITH {B}, {E} SELECT DISTINCT doc_id, title FROM E WHERE NOT EXISTS (SELECT 1 FROM E x WHERE x.doc_id = E.doc_id AND x.title = E.title AND x.level = 1)")
+def unmatched_titles(spark, sf):
+    e = entries(spark, sf)
+    return anchors.unmatched_titles(e, e.where("level = 1"))
+
+
+@query("window_headings", f"""WITH {B}, G AS (SELECT doc_id, max(page_idx) AS z FROM B GROUP BY doc_id), W AS (SELECT doc_id, s AS start_page, least(s + 4, z) AS end_page FROM (SELECT doc_id, z, unnest(range(0, z + 1, 3)) AS s FROM G))
+SELECT DISTINCT B.doc_id, B.id AS block_id, B.page_idx AS page, 'T' || B.id AS title, 2 AS level, CAST(0.65 AS DOUBLE) AS confidence FROM W JOIN B ON W.doc_id = B.doc_id AND B.page_idx BETWEEN start_page AND end_page AND (B.id = start_page * 10 OR B.id = start_page * 10 + 1)""")
+def window_headings(spark, sf):
+    b = blocks(spark, sf)
+    w = anchors.page_windows(b.groupBy("doc_id").agg(F.lit(0).alias("start_page"), F.max("page_idx").alias("end_page")))
+    one = lambda i: F.concat(F.lit('{"block_id": '), i, F.lit(', "level": 2, "title": "T'), i, F.lit('"}'))
+    text = F.concat(F.lit('found: {"headings": ['), one(F.col("start_page") * 10), F.lit(", "), one(F.col("start_page") * 10 + 1), F.lit("]} end"))
+    a = w.select("doc_id", "start_page", text.alias("output"))
+    return anchors.window_headings(a, w, b).select("doc_id", "block_id", "page", "title", "level", F.col("confidence").cast("double"))
+
+
+@query("anchors_of_contents", f"WITH {B} SELECT doc_id, id AS entry, 'toc_match' AS source FROM B WHERE length(trim(regexp_replace(text, '[^A-Za-z0-9_\\s一-鿿]', '', 'g'))) > 0")
+def anchors_of_contents(spark, sf):
+    """Every line as its own contents entry: each one is met by itself at least."""
+    b = blocks(spark, sf)
+    e = b.where("length(trim(regexp_replace(text, '[^A-Za-z0-9_\\\\s\u4e00-\u9fff]', ''))) > 0").select("doc_id", "id", F.col("text").alias("title"), F.col("page_idx").alias("page_number"), F.lit(1).alias("level"))
+    zero = b.select("doc_id").distinct().withColumn("page_offset", F.lit(0))
+    return anchors.match_contents(e, b, zero).select("doc_id", "entry", "source")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import predicates, text
-from pageloom.operators import tasks as ops
+from pageloom.operators import exports, tasks as ops
 from pageloom.plans.registry import B, Q, query, questions
 from pageloom.sources import readers
 from pageloom.streaming import live
@@ -245,3 +245,8 @@ def events_sliding(spark, sf):
 @query("events_sessions", "WITH X AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), Y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM X) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS stop, count(*) AS n FROM Y GROUP BY user_id, s")
 def events_sessions(spark, sf):
     return live.sessions(table(spark, sf, "events"))
+
+
+@query("result_names", f"WITH {TK} SELECT id, name || '_questions.json' AS json_name, name || '_questions.md' AS markdown_name FROM TK")
+def result_names(spark, sf):
+    return exports.result_names(tasks(spark, sf))

@@ -42,15 +42,20 @@ def sliding(events: DataFrame, width: str = "1 hour", slide: str = "15 minutes",
     return _windowed(events, F.window("ts", width, slide), late)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets a watermark, which needs timestamps with a zone; a table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def _windowed(events: DataFrame, window, late: str) -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, stop, n): runs of a user's events with less than ``gap`` between them."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
