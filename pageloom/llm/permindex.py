@@ -18,14 +18,24 @@ from pyspark.sql import functions as F
 
 from pageloom.session import cut
 
-#: Pivots, drawn by hash from the distinct vectors (the bounded sample), and places kept of each list.
-PIVOTS, PREFIX = 128, 64
+#: Pivots, drawn by hash from a bounded sample of the distinct vectors, none nearly equal to another; places kept of each list.
+PIVOTS, PREFIX, PIVOT_SAMPLE, PIVOT_LIKENESS = 128, 64, 2048, 0.8
 #: Share of a block that is reranked, at least; more if their footrule isn't clearly beyond that of the best found.
 RERANK, MARGIN = 0.2, 1.3
 BLOCK_ROWS = 4096
 QUERY_EVERY, NEAREST = 50, 5
 
 
+def choose_pivots(sample: np.ndarray) -> np.ndarray:
+    """Unit vectors of the sample in its order, without those too much like one that is chosen already."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen: list[int] = []
+    for i in range(len(unit)):
+        if len(chosen) < PIVOTS and not (chosen and (unit[chosen] @ unit[i]).max() > PIVOT_LIKENESS):
+            chosen.append(i)
+    return unit[chosen]
+
+
 def _places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Places of the pivots in each vector's list, nearest first; PREFIX for all further ones."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -101,10 +111,8 @@ def nearest(embeddings: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -
     held = rows.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)  # limited before the shuffle, too
     distinct = cut(held.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     total = distinct.count()
-    pivots = np.array([r.v for r in distinct.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).select("v").collect()], float).reshape(-1, dim)
-    if len(pivots):
-        pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast(pivots)
+    sample = distinct.orderBy(F.xxhash64("v"), "v").limit(PIVOT_SAMPLE).select("v").collect()
+    shared = spark.sparkContext.broadcast(choose_pivots(np.array([r.v for r in sample], float).reshape(-1, dim)))
     blocks = max(1, -(-total // BLOCK_ROWS))
     posted = distinct.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), "ids", "v")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
