@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.predicates import any_of, noisy_heading
 from pageloom.functions.text import normal_title, split_digit_capital, trim_ws
+from pageloom.operators.chapters import with_tree
 
 # What marks contents pages, their entries, imprints and front matter.
 CONTENTS_MARK = r"(?i)^(contents|table\s+of\s+contents|目录|content)$"
@@ -154,13 +155,10 @@ def anchor_tree(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     total = blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
     w = Window.partitionBy("doc_id").orderBy("block_id")
     rows = anchors.withColumn("ord", F.row_number().over(w) - 1).join(total, "doc_id")
-    after, before = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    after = w.rowsBetween(1, Window.unboundedFollowing)
     end = F.coalesce(*[F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("block_id"))).over(after)) for k in (1, 2, 3, 4)], F.col("total"))
-    ups = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(before)) for k in (1, 2, 3)]
-    for k, up in enumerate(ups):
-        rows = rows.withColumn(f"_u{k}", up)
-    rows = rows.withColumn("_end", end).withColumn("_parent", F.greatest("_u0", "_u1", "_u2"))
-    return rows.select("doc_id", "ord", F.col("ord").alias("id"), F.col("title").alias("text"), "level", "page", F.struct(F.col("block_id").alias("start"), F.col("_end").alias("end")).alias("block_range"), F.col("_parent").alias("parent_id"))
+    rows = rows.withColumn("_end", end).select("doc_id", "ord", F.col("ord").alias("id"), F.col("title").alias("text"), "level", "page", F.struct(F.col("block_id").alias("start"), F.col("_end").alias("end")).alias("block_range"))
+    return with_tree(rows)
 
 
 def gap_regions(blocks: DataFrame, anchors: DataFrame, sure: float = 0.7, around: int = 3, least: int = 5) -> DataFrame:

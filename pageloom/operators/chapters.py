@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.predicates import TitleRules, cleanup_reason
@@ -52,37 +52,62 @@ def accept_second(first: DataFrame, second: DataFrame, share: float = 0.8) -> Da
     return second.join(good, "doc_id", "left_semi").unionByName(first.join(good, "doc_id", "left_anti"))
 
 
+def _above(order, *fields: str) -> list[Column]:
+    """The last entry before this one at each level but the lowest, as a struct that begins with its place."""
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return [F.last(F.when(F.col("level") == k, F.struct("ord", *fields)), ignorenulls=True).over(before) for k in range(1, LEVELS)]
+
+
+def _ancestors() -> Column:
+    """Of the entries _up1.._up3 those above this one, from the top: each comes later than all of higher levels."""
+    ups = [F.when(F.col("level") > k, F.col(f"_up{k}")) for k in range(1, LEVELS)]
+    kept = []
+    for k, up in enumerate(ups):
+        late = up.isNotNull()
+        for other in ups[:k]:
+            late = late & (other.isNull() | (up["ord"] > other["ord"]))
+        kept.append(F.when(late, up))
+    return F.filter(F.array(*kept), lambda x: x.isNotNull())
+
+
+def with_tree(entries: DataFrame) -> DataFrame:
+    """entries (doc_id, ord, id, level, text) with parent_id and path, in one window: no join, whatever the depth."""
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    rows = entries
+    for k, up in enumerate(_above(order, "id", "text"), 1):
+        rows = rows.withColumn(f"_up{k}", up)
+    rows = rows.withColumn("_chain", _ancestors())
+    rows = rows.withColumn("parent_id", F.get("_chain", F.size("_chain") - 1)["id"])
+    return rows.withColumn("path", F.array_join(F.concat(F.col("_chain.text"), F.array("text")), " > ")).drop("_chain", *[f"_up{k}" for k in range(1, LEVELS)])
+
+
 def flat_map(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, ord, id, merged_ids, text, level, page, block_range, parent_id): the chapter tree in the entries' order."""
+    """(doc_id, ord, id, merged_ids, text, level, page, block_range, parent_id, path): the chapter tree in the entries' order."""
     order = Window.partitionBy("doc_id").orderBy("ord")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     total = blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
-    rows = entries.withColumn("id", F.col("ids")[0]).join(total, "doc_id", "left")
-    start, following = F.array_min("ids"), F.lead(F.array_min("ids")).over(order)
-    end = F.when(following.isNull(), F.coalesce("total", F.lit(0))).when(start >= following, start + 1).otherwise(following)
-    # the nearest entry above: among the last entries of each lower level, the one that comes latest
-    seen = [F.last(F.when(F.col("level") == k, F.struct("ord", "level", "id")), ignorenulls=True).over(before) for k in range(1, LEVELS)]
-    rows = rows.withColumn("_start", start).withColumn("_end", end)
-    for k in range(1, LEVELS):
-        rows = rows.withColumn(f"_up{k}", seen[k - 1])
-    above = F.array(*[F.when(F.col("level") > k, F.col(f"_up{k}")) for k in range(1, LEVELS)])
-    parent = F.array_max(F.filter(above, lambda x: x.isNotNull()))["id"]
-    rows = rows.withColumn("parent_id", parent)
     b = blocks.select("doc_id", F.col("id").alias("_bid"), F.substring(F.coalesce("text", F.lit("")), 1, TITLE_LIMIT).alias("_text"), F.coalesce("page_idx", F.lit(0)).alias("_page"))
-    texts = rows.select("doc_id", "ord", F.posexplode("ids").alias("at", "_bid")).join(b, ["doc_id", "_bid"])
+    texts = entries.select("doc_id", "ord", F.posexplode("ids").alias("at", "_bid")).join(b, ["doc_id", "_bid"])
     texts = texts.groupBy("doc_id", "ord").agg(F.sort_array(F.collect_list(F.struct("at", "_text", "_page"))).alias("x"))
-    rows = rows.join(texts, ["doc_id", "ord"], "left")
+    rows = entries.withColumn("id", F.col("ids")[0]).join(total, "doc_id", "left").join(texts, ["doc_id", "ord"], "left")
     merged = F.array_join(F.filter(F.col("x._text"), lambda t: t != ""), " ")
     page = F.aggregate("x", F.lit(0), lambda acc, x: F.when(x["at"] == 0, x["_page"]).otherwise(acc))
-    return rows.select(
+    start, following = F.array_min("ids"), F.lead(F.array_min("ids")).over(order)
+    end = F.when(following.isNull(), F.coalesce("total", F.lit(0))).when(start >= following, start + 1).otherwise(following)
+    rows = rows.select(
         "doc_id", "ord", "id", F.when(F.size("ids") > 1, F.col("ids")).alias("merged_ids"),
         F.when(F.coalesce(merged, F.lit("")) != "", merged).otherwise(F.col("title")).alias("text"), "level", F.coalesce(page, F.lit(0)).alias("page"),
-        F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")).alias("block_range"), "parent_id",
+        F.struct(start.alias("start"), end.alias("end")).alias("block_range"),
     )
+    return with_tree(rows)
 
 
 def chapter_paths(chapters: DataFrame) -> DataFrame:
-    """chapters with ``path``: texts from the top down, joined by ' > '; three joins reach all four levels."""
+    """chapters with ``path``: texts from the top down, joined by ' > '.
+
+    Trees of this module bring it along. For a stored tree that has only parent pointers, joins climb it level by level.
+    """
+    if "path" in chapters.columns:
+        return chapters
     out = chapters.withColumn("path", F.col("text")).withColumn("_up", F.col("parent_id"))
     for _ in range(LEVELS - 1):
         first = Window.partitionBy("doc_id", "id").orderBy("ord")

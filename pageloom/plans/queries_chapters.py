@@ -38,6 +38,11 @@ _AT = f"""{B}, {E}, {C}, {P}, M AS (SELECT B.doc_id, B.id, P.path, row_number()
  FROM B LEFT JOIN P ON B.doc_id = P.doc_id AND B.id >= P.s AND B.id < P.e)"""
 
 
+@query("chapter_paths_by_joins", f"WITH {B}, {E}, {C}, {P} SELECT doc_id, id, path FROM P")
+def chapter_paths_by_joins(spark, sf):
+    return chapters.chapter_paths(tree(spark, sf).drop("path")).select("doc_id", "id", "path")
+
+
 @query("block_chapter", f"WITH {_AT} SELECT doc_id, id, path FROM M WHERE n = 1")
 def block_chapter(spark, sf):
     return chapters.chapter_of(blocks(spark, sf).select("doc_id", "id"), chapters.chapter_paths(tree(spark, sf)))
