@@ -206,6 +206,14 @@ def total_pages(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg((F.max("page_idx") + 1).alias("total_pages"))
 
 
+def dispatch(blocks: DataFrame) -> DataFrame:
+    """(doc_id, use_contents, use_patterns, use_model): documents with contents pages need no model."""
+    found = contents_pages(blocks).select("doc_id").distinct().withColumn("hit", F.lit(True))
+    rows = blocks.select("doc_id").distinct().join(found, "doc_id", "left")
+    hit = F.coalesce("hit", F.lit(False))
+    return rows.select("doc_id", hit.alias("use_contents"), F.lit(True).alias("use_patterns"), (~hit).alias("use_model"))
+
+
 def rule_tree(blocks: DataFrame) -> DataFrame:
     """The chapter tree of each document by rules: contents where there are some, heading patterns everywhere else."""
     pages = contents_pages(blocks)

@@ -149,6 +149,13 @@ def coverage(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", covered.cast("long").alias("covered"), uncovered.cast("long").alias("uncovered"), rate.cast("double").alias("coverage_rate"))
 
 
+def coverage_of_all(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, coverage_rate): the share of all of a document's blocks that lie in some chapter."""
+    total = blocks.groupBy("doc_id").agg(F.count("*").alias("total"))
+    rows = coverage(chapters, blocks).join(total, "doc_id")
+    return rows.select("doc_id", (F.col("covered") / F.col("total")).alias("coverage_rate"))
+
+
 def validation(entries: DataFrame, blocks: DataFrame, max_top_share: float = 0.5, max_entry_share: float = 0.25) -> DataFrame:
     """(doc_id, verdict): ok, unknown_id, bad_level, many_top_level or many_entries; the first that holds."""
     known = blocks.select("doc_id", "id").distinct()

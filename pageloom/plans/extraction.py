@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.predicates import SanityRules, TitleRules, sanity_verdict
 from pageloom.operators import anchors, answers, chapters, chunking, questions
 from pageloom.plans.providers import Provider
+from pageloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -35,10 +36,12 @@ def checked(parsed: DataFrame, chunks: DataFrame, blocks: DataFrame, rules: Sani
 def extract_questions(blocks: DataFrame, provider: Provider, tree: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """The question table of all documents: chunks, answers, texts, de-duplication, chapters, titles and quality.
 
-    tree: chapters as from chapters.flat_map or anchors.rule_tree; none: titles come from the answers alone.
+    tree: chapters as from chapters.flat_map or anchors.rule_tree; none: titles come from the answers alone. Blocks and
+    parsed answers are written once to the shared folder: they are used several times, and a model isn't asked twice.
     """
+    blocks = stored(blocks, "blocks")
     chunks = chunking.token_chunks(blocks, settings.chunk_size, settings.overlap, settings.budget)
-    parsed = answers.parse_answers(provider.answers(chunks, blocks))
+    parsed = stored(answers.parse_answers(provider.answers(chunks, blocks)), "parsed")
     for column in ("img_path", "image_caption"):
         if column not in blocks.columns:
             blocks = blocks.withColumn(column, F.lit(None).cast("string"))

@@ -398,3 +398,14 @@ def anchors_of_contents(spark, sf):
     e = b.where("length(trim(regexp_replace(text, '[^A-Za-z0-9_\\\\s\u4e00-\u9fff]', ''))) > 0").select("doc_id", "id", F.col("text").alias("title"), F.col("page_idx").alias("page_number"), F.lit(1).alias("level"))
     zero = b.select("doc_id").distinct().withColumn("page_offset", F.lit(0))
     return anchors.match_contents(e, b, zero).select("doc_id", "entry", "source")
+
+
+@query("chapter_dispatch", rf"""WITH {B}, {_HEAD}, D AS (SELECT doc_id FROM H WHERE page_idx <= 1 GROUP BY doc_id HAVING count(*) FILTER (WHERE {_ENTRY}) >= 5 AND bool_or(page_idx = 0))
+SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM D) AS use_contents, true AS use_patterns, doc_id NOT IN (SELECT doc_id FROM D) AS use_model FROM B""")
+def chapter_dispatch(spark, sf):
+    return anchors.dispatch(headed(spark, sf))
+
+
+@query("coverage_of_all", f"WITH {B}, {E}, {C}, X AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS b FROM C), K AS (SELECT doc_id, count(*) AS covered FROM X GROUP BY doc_id) SELECT N.doc_id, coalesce(covered, 0) / total AS coverage_rate FROM N LEFT JOIN K ON N.doc_id = K.doc_id")
+def coverage_of_all(spark, sf):
+    return chapters.coverage_of_all(tree(spark, sf), blocks(spark, sf))

@@ -250,3 +250,8 @@ def events_sessions(spark, sf):
 @query("result_names", f"WITH {TK} SELECT id, name || '_questions.json' AS json_name, name || '_questions.md' AS markdown_name FROM TK")
 def result_names(spark, sf):
     return exports.result_names(tasks(spark, sf))
+
+
+@query("completed_tasks", f"WITH {TK} SELECT id, name FROM TK WHERE status = 'completed'")
+def completed_tasks(spark, sf):
+    return tasks(spark, sf).where("status = 'completed'").select("id", "name")
