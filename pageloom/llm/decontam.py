@@ -30,9 +30,17 @@ def _lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(fold_ascii(text))
 
 
+def pieces_of(text: Column) -> Column:
+    """Words in order, with an empty piece before or after them where the text begins or ends with a gap.
+
+    Splitting is far cheaper than matching. Places are counted in pieces throughout: a leading empty one shifts all.
+    """
+    return F.split(F.coalesce(_lowered(text), F.lit("")), GAP)
+
+
 def _pieces(text: Column) -> tuple[Column, Column, Column]:
-    """(pieces between gaps, one for a leading empty piece, number of words). Splitting is far cheaper than matching."""
-    pieces = F.split(F.coalesce(_lowered(text), F.lit("")), GAP)
+    """(pieces, one for a leading empty piece, number of words)."""
+    pieces = pieces_of(text)
     first = (F.element_at(pieces, 1) == "").cast("int")
     last = ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
     return pieces, first, F.size(pieces) - first - last
@@ -74,14 +82,14 @@ def test_terms(windows: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in all documents of each given term (zero if none). A term is its word's 64-bit hash."""
-    flat = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
+    flat = docs.select(F.explode(pieces_of(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
     hits = flat.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(hits, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index (term, key, pos) over all documents for the given terms; copies of a text share their postings."""
-    flat = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "word")).select("key", "pos", F.xxhash64("word").alias("term"))
+    flat = docs.select("key", F.posexplode(pieces_of(F.col("text"))).alias("pos", "word")).select("key", "pos", F.xxhash64("word").alias("term"))
     return flat.join(terms, "term", "left_semi").distinct()
 
 
@@ -106,7 +114,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS)
     # the other words of the phrase are compared in the texts that have common starts; a filter of bounded size lets few others pass
     bucket = lambda: F.pmod(F.xxhash64("key"), F.lit(FILTER_BUCKETS)).cast("int")
     passed = F.broadcast(starts.select(bucket().alias("bucket")).distinct())
-    texts = docs.select("key", "text", bucket().alias("bucket")).join(passed, "bucket", "left_semi").select("key", words_of(F.col("text")).alias("words"))
+    texts = docs.select("key", "text", bucket().alias("bucket")).join(passed, "bucket", "left_semi").select("key", pieces_of(F.col("text")).alias("words"))
     wanted = _small(windows.select("w", "phrase").distinct(), F.octet_length(F.array_join("phrase", " ")))
     held = starts.join(wanted, "w").groupBy("key").agg(F.collect_list(F.struct("w", "start", "phrase")).alias("c"))
     checked = texts.join(held, "key").select("key", F.expr("filter(c, x -> slice(words, x.start + 1, size(x.phrase)) = x.phrase)").alias("ok"))
