@@ -40,8 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as a compressed table in the shared folder, and read again."""
+def stored(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """The frame written as a compressed table in the shared folder, and read again; its path goes to ``made``."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
