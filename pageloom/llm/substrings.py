@@ -28,7 +28,7 @@ from pageloom.session import scratch_path, stored
 
 WINDOW, GRAM = 20, 8
 #: Marked fingerprints of one reference that one task takes; more are shared out.
-SEGMENT_ROWS = 20_000
+SEGMENT_ROWS = 1_500
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -195,6 +195,7 @@ class SubstringDedup:
         repeated = prints.groupBy("fp").agg(F.sum("n").alias("n"), F.min("d").alias("ref")).where("n > 1").select("fp", "ref")
         found = stored(prints.select("fp", "d").join(repeated, "fp").select("d", "fp", "ref"), "marks")
         shares = found.groupBy("ref").count().where(F.col("count") > SEGMENT_ROWS).select("ref", (F.col("count") / SEGMENT_ROWS).cast("int").alias("more"))
+        shares = stored(shares, "shares")  # so that the join below stands alone and a hot reference can be split
         found = found.join(shares, "ref", "left").select("d", "fp", "ref", (F.coalesce("more", F.lit(0)) + 1).alias("share"))
         return found.groupBy("d").agg(F.collect_list(F.struct("fp", "ref", "share")).alias("marks"))
 
