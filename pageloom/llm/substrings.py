@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.session import scratch_path, stored
+from pageloom.session import discard, scratch_path, stored
 
 WINDOW, GRAM = 20, 8
 #: Marked fingerprints of one reference that one task takes; more are shared out.
@@ -159,11 +159,12 @@ class SubstringDedup:
 
     def __init__(self, docs: DataFrame, window: int = WINDOW):
         spark = docs.sparkSession
-        self.window, self.names = window, docs.columns
+        self.window, self.spent = window, []
         path = scratch_path(spark, "substring-docs")
         name = path.rsplit("/", 1)[-1].replace("-", "_")
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"), F.struct(*[docs[c] for c in docs.columns]).alias("row") if docs.columns != ["doc_id", "text"] else F.lit(None).cast("int").alias("row"))
+        others = [docs[c] for c in docs.columns if c != "text"]  # the text is stored once
+        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"), F.struct(*others).alias("row"), F.col("text").isNull().alias("blank"))
         rows.write.option("path", path).bucketBy(min(buckets, 4000), "d").saveAsTable(name)
         self.docs = spark.table(name)
 
@@ -191,11 +192,11 @@ class SubstringDedup:
 
     def marks(self) -> DataFrame:
         """(d, fps, refs, shares): repeated fingerprints of each document with their first document."""
-        prints = stored(self.prints(), "prints")
+        prints = stored(self.prints(), "prints", self.spent)
         repeated = prints.groupBy("fp").agg(F.sum("n").alias("n"), F.min("d").alias("ref")).where("n > 1").select("fp", "ref")
-        found = stored(prints.select("fp", "d").join(repeated, "fp").select("d", "fp", "ref"), "marks")
+        found = stored(prints.select("fp", "d").join(repeated, "fp").select("d", "fp", "ref"), "marks", self.spent)
         shares = found.groupBy("ref").count().where(F.col("count") > SEGMENT_ROWS).select("ref", (F.col("count") / SEGMENT_ROWS).cast("int").alias("more"))
-        shares = stored(shares, "shares")  # so that the join below stands alone and a hot reference can be split
+        shares = stored(shares, "shares", self.spent)  # so that the join below stands alone and a hot reference can be split
         found = found.join(shares, "ref", "left").select("d", "fp", "ref", (F.coalesce("more", F.lit(0)) + 1).alias("share"))
         return found.groupBy("d").agg(F.collect_list(F.struct("fp", "ref", "share")).alias("marks"))
 
@@ -276,6 +277,8 @@ class SubstringDedup:
     def removed(self) -> DataFrame:
         """(d, starts, counts): runs of windows to remove, for each document that has some."""
         found = stored(self.matched(self.segments(self.marks())), "matched")
+        while self.spent:
+            discard(self.docs.sparkSession, self.spent.pop())  # only what has been read for good
         rest = found.where("n = 0").select("d", "start", "h1", "h2")
         first = rest.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
         later = rest.join(first, ["h1", "h2"]).where("d > first").select("d", "start", F.lit(1).cast("long").alias("n"))
@@ -283,7 +286,7 @@ class SubstringDedup:
         return runs.groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def apply(self, schema, make) -> DataFrame:
-        """make(row, words, keep) gives an output row for each document; keep: which words stay (None: all)."""
+        """make(d, row, text, words, keep) gives an output row for each document; keep: which words stay (None: all)."""
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +295,7 @@ class SubstringDedup:
             arrow, parts = to_arrow_schema(schema), Parts()
             for batch in batches:
                 out = []
-                for d, raw, row, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for d, raw, row, blank, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     base, words, keep = parts.offset(d), raw.split(), None
                     own = [(r["start"] - base, r["n"]) for r in runs or () if base <= r["start"] < base + (1 << 32)]
                     if own:
@@ -301,12 +304,12 @@ class SubstringDedup:
                             delta[s] += 1
                             delta[s + n + window - 1] -= 1
                         keep = np.cumsum(delta[:-1]) == 0
-                    out.append(make(d, row, words, keep))
+                    out.append(make(d, row, None if blank else raw, words, keep))
                 if out:
                     cols = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-        joined = self.docs.join(self.removed().hint("shuffle_hash"), "d", "left").sortWithinPartitions("d", "t").select("d", "t", "row", "runs")
+        joined = self.docs.join(self.removed().hint("shuffle_hash"), "d", "left").sortWithinPartitions("d", "t").select("d", "t", "row", "blank", "runs")
         return joined.mapInArrow(run, schema)
 
 
@@ -320,7 +323,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     fields = [("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
 
-    def make(d, row, words, keep):
+    def make(d, row, text, words, keep):
         kept = words if keep is None else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
         return None if d == LAST_ID else d, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
@@ -334,8 +337,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     names = docs.columns
 
-    def make(d, row, words, keep):
-        row = dict(row)
+    def make(d, row, text, words, keep):
+        row = {**row, "text": None if text is None else text.decode(errors="replace")}
         if keep is not None and not keep.all():
             row["text"] = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode(errors="replace")
             if "n_chars" in row:
