@@ -27,7 +27,7 @@ def dealt_rank(df: DataFrame, by: list[str], spread: list[str], rows: int, name:
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*spread))
-    return df.withColumn("_r", inside).join(starts, keys).withColumn(name, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
+    return df.repartition(*keys).withColumn("_r", inside).join(starts, keys).withColumn(name, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
 
 
 def _pick(values: list[int], index: Column) -> Column:
@@ -80,7 +80,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     before = Window.partitionBy("g").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = state.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))  # at most one row for each shard
     spans = cut(spans.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("lo", "shard"))).alias("spans")))
-    grouped = dealt_rank(base.join(spans.select("g"), "g", "left_semi"), ["g"], spread, n, "rk")
+    copies = cut(base.join(spans.select("g"), "g", "left_semi").select(*base.columns))  # a join that stands alone: a hot text can be split
+    grouped = dealt_rank(copies, ["g"], spread, n, "rk")
     placed = grouped.join(spans, "g").select(*base.columns, F.expr("element_at(filter(spans, x -> x.lo <= rk), -1).shard").alias("shard"))
     placed = cut(dealt_rank(placed, ["shard"], spread, n, "slot"))
     kept = placed.where(F.col("slot") < _pick(quotas, F.col("shard")))
