@@ -144,6 +144,20 @@ def test_lm_brute_force(docs):
         assert abs(a[5] - b[5]) < 1e-6 * max(1, abs(a[5])) and abs(a[6] - b[6]) <= 0.0003 * a[2] + 1e-9
 
 
+def test_lm_discounts_of_all_pairs(spark):
+    """Discounts come from all training pairs, whatever the number of partitions (and so of targets)."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.7)) % 400}" for _ in range(60))) for i in range(300)]
+    of = Counter(Counter((a, b) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for a, b in zip(["begin", *t.split()], [*t.split(), None], strict=True)).values())
+    want = {x[0]: x[6] for x in brute_lm(rows, ngramlm.discounts(*[float(of[k]) for k in (1, 2, 3, 4)]))}
+    found = []
+    for parts in (2, 130):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found.append({r.doc_id: r.score for r in ngramlm.score_documents(docs).collect()})
+        assert found[-1].keys() == want.keys() and all(abs(found[-1][i] - x) <= 0.0003 * 61 for i, x in want.items())
+    assert all(abs(found[1][i] - x) < 1e-9 * abs(x) for i, x in found[0].items())
+
+
 def test_lm_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = ngramlm.score_documents(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
