@@ -14,12 +14,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pageloom.llm.common import byte_rows
 from pageloom.llm.graph import connected_components
-from pageloom.session import cut
+from pageloom.session import cut, stored
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 REFERENCES = np.random.default_rng(20).integers(0, 2**64, 24, dtype=np.uint64)
@@ -59,6 +60,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every row of documents with all its columns and its fingerprint in ``_fp``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(x) for x in byte_rows(batch.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
+
 def block_masks(blocks: int, radius: int) -> list[int]:
     """Masks of all choices of blocks-radius blocks; two values within radius bits agree under one of them at least."""
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -161,7 +174,9 @@ def bucket_links(keyed: DataFrame, radius: int, last: bool) -> DataFrame:
 
 
 def near_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of (doc_id, fp); component_id is the smallest doc_id reachable.
+    """(fp, root, component_id) for every distinct fingerprint of (doc_id, fp); component_id is the smallest doc_id reachable.
+
+    ``root`` is a fingerprint that names the component, also where all its ids are null.
 
     Copies collapse into one fingerprint before anything is compared, and a bucket over BUCKET_LIMIT rows is dealt
     again by finer keys, so a group that holds a third of all rows meets no quadratic step. All links count; none is capped.
@@ -177,7 +192,7 @@ def near_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected_components(links, "a", "b")
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "root").select("fp", "component_id")
+    return labelled.join(least, "root").select("fp", "root", "component_id")
 
 
 def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -192,11 +207,17 @@ def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of documents for each near-duplicate component: that of the smallest doc_id."""
-    from pyspark.sql import Window
-
-    found = simhash_near_dedup(docs, radius).where("doc_id <=> component_id")
-    kept = found.select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
-    return rows.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").drop("_copy")
+    """One row of documents for each near-duplicate component: that of the smallest doc_id, null last, then by a hash of the text.
+
+    Rows are told apart by component, so unrelated rows without an id, or with one id, all stay. The first row of each
+    component is found on narrow rows, by fingerprint before by component; texts meet only the key of that row.
+    """
+    key = F.xxhash64(F.isnull("doc_id"), F.isnull("text"), "_fp", *docs.columns).alias("_key")
+    rows = stored(with_fingerprints(docs), "fingerprinted").withColumn("_key", key)
+    order = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "_key")
+    firsts = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")))
+    found = near_components(firsts.select("fp", "first.doc_id"), radius)
+    kept = firsts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._key").alias("_key"))
+    once = Window.partitionBy("_key").orderBy("doc_id", F.xxhash64("text"))
+    left = rows.join(kept, "_key", "left_semi").withColumn("_copy", F.row_number().over(once)).where("_copy = 1")
+    return left.select(*docs.columns)

@@ -8,7 +8,7 @@ import xxhash
 
 from pageloom.llm import bpe, decontam, queries, simhash, urlrules
 
-from .conftest import texts
+from .conftest import sentence, texts
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -71,6 +71,16 @@ def test_simhash_brute_force(docs):
     assert kept == sorted(map(repr, {c for c in comp}))
 
 
+def test_keep_one_by_component(spark):
+    """Unrelated rows without an id, or with one id, stay; copies of a kept document don't."""
+    a, b, c, d, e = (sentence(i, 80) for i in range(60, 65))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (3, c), (7, d), (7, e), (8, e), (None, None), (None, ""), (9, sentence(70, 80))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, fp int").repartition(3)
+    got = sorted((repr(r.doc_id), r.text or "") for r in simhash.keep_one(docs).collect())
+    assert simhash.keep_one(docs).columns == docs.columns
+    assert got == sorted([("None", a), ("None", b), ("3", c), ("7", d), ("7", e), ("None", ""), ("9", sentence(70, 80))])
+
+
 def test_simhash_large_bucket(spark, monkeypatch):
     """A family of many fingerprints near each other, in chains, over the bucket limit."""
     import random
