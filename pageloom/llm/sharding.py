@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation; DataFrame operations only.
 
 Documents of equal text are linked. Linked documents start in a shard given by a hash; in every round each group looks
-for the shard where most of its documents are and where room is left, and its documents elsewhere ask to move there.
-Requests are granted by priority up to the target's quota. Documents of one group in one shard are interchangeable, so
+for the shard where most of its documents are and which isn't closed, and its documents elsewhere ask to move there.
+Requests are granted by priority up to the target's quota, where what leaves a shard makes room, and in part if need
+be, until nothing moves. Large groups settle before small ones, which start where room is left. Documents of one group in one shard are interchangeable, so
 the state is a count for each (group, shard) - at most as many rows as shards for each group, however large it is.
 Unlinked documents then fill every shard up to its exact share.
 """
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from pageloom.session import cut
 
-SHARDS, ROUNDS = 40, 6
+SHARDS = 40
+#: Rounds without a move, under other ties, after which propagation is over.
+IDLE = 3
 #: Rows that one window of the distributed ranking should hold.
 RANK_ROWS = 50_000
 
@@ -35,31 +38,104 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index.cast("int") + 1)
 
 
-def propagate(state: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """Rounds of label propagation over (g, shard, n) under a quota for each shard."""
-    for turn in range(rounds):
-        loads = dict(state.groupBy("shard").agg(F.sum("n")).collect())  # one row for each shard
-        room = [max(0, q - loads.get(t, 0)) for t, q in enumerate(quotas)]
-        seen = state.withColumn("open", _pick(room, F.col("shard")) > 0)
+def _flows(wanted: dict[tuple[int, int], int], loads: list[int], quotas: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the wanted documents go from shard to shard; what leaves a shard makes room in it.
+
+    All requests are granted at first; then shards over their quota take less, until none is over by what it takes.
+    """
+    flow, pairs = dict(wanted), range(len(quotas))
+    into = [[k for k in flow if k[1] == t] for t in pairs]
+    load = [loads[t] + sum(flow[k] for k in into[t]) - sum(n for (s, _), n in flow.items() if s == t) for t in pairs]
+    queue = [t for t in pairs if load[t] > quotas[t]]
+    while queue:
+        t = queue.pop()
+        total = sum(flow[k] for k in into[t])
+        over = min(load[t] - quotas[t], total)
+        if over <= 0:
+            continue
+        less = {k: flow[k] * over // total for k in into[t]}
+        rest = over - sum(less.values())
+        for k in sorted(into[t], key=lambda k: less[k] - flow[k]):
+            extra = min(rest, flow[k] - less[k], 1)
+            less[k], rest = less[k] + extra, rest - extra
+        for k, n in less.items():
+            flow[k] -= n
+            load[k[0]] += n
+            if n and load[k[0]] > quotas[k[0]]:
+                queue.append(k[0])
+        load[t] -= over
+    return {k: n for k, n in flow.items() if n}
+
+
+def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """Rounds of label propagation over (g, shard, n) under a quota for each shard, until nothing moves any more.
+
+    Every move goes to a place where the group has as many documents at least, so cut links get fewer in each round
+    and the rounds come to an end. A shard that is full and lets nothing go is closed to requests; idle rounds are
+    tried again with other ties before it is over.
+    """
+    shards = range(len(quotas))
+    found = dict(state.groupBy("shard").agg(F.sum("n")).collect())  # one row for each shard
+    loads = [found.get(t, 0) for t in shards]
+    closed: set[int] = set()
+    turn = idle = 0
+    while idle < IDLE and (rounds is None or turn < rounds):
+        of_use = [0 if t in closed else q for t, q in enumerate(quotas)]
         liked = F.struct("n", F.xxhash64("g", "shard", F.lit(turn)).alias("tie"), "shard")
-        best = seen.where("open").groupBy("g").agg(F.max(liked).alias("to"))
-        asks = state.join(best, "g").where("shard <> to.shard and n <= to.n")
-        level = F.least(F.lit(15), F.log2(F.col("to.n").cast("double")).cast("int"))
-        asks = asks.select("g", "shard", "n", F.col("to.shard").alias("to"), ((15 - level) * 64 + F.pmod(F.xxhash64("g", "shard"), F.lit(64))).alias("rank"))
-        asks = asks.where(F.col("n") <= _pick(room, F.col("to")))
-        upto = Window.partitionBy("to").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-        granted = asks.groupBy("to", "rank").agg(F.sum("n").alias("m")).withColumn("m", F.sum("m").over(upto))  # at most 1024 rows for each shard
-        granted = granted.where(F.col("m") <= _pick(room, F.col("to"))).select("to", "rank")
-        moves = asks.join(F.broadcast(granted), ["to", "rank"]).select("g", "shard", "to")
-        after = state.join(moves, ["g", "shard"], "left").select("g", F.coalesce("to", "shard").alias("shard"), "n", F.col("to").isNotNull().alias("moved"))
-        after = cut(after.groupBy("g", "shard").agg(F.sum("n").alias("n"), F.max("moved").alias("moved")))
-        state = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
+        best = state.where(F.col("n") < _pick(of_use, F.col("shard"))).groupBy("g").agg(F.max(liked).alias("to"))
+        asks = state.join(best, "g").where("shard <> to.shard and n <= to.n").select("g", "shard", "n", F.col("to.shard").alias("to"), F.col("to.n").alias("m"))
+        wanted = {(s, t): n for s, t, n in asks.groupBy("shard", "to").agg(F.sum("n")).collect()}  # one row for two shards
+        flow = _flows(wanted, loads, quotas)
+        turn += 1
+        taking = {t for _, t in flow}
+        full = {t for _, t in wanted if t not in taking}
+        if flow:
+            first = Window.partitionBy("shard", "to").orderBy(F.desc("m"), F.xxhash64("g"), "g").rowsBetween(Window.unboundedPreceding, -1)
+            granted = state.sparkSession.createDataFrame([(s, t, n) for (s, t), n in flow.items()], "shard int, to int, most long")
+            moves = asks.join(F.broadcast(granted), ["shard", "to"]).withColumn("moved", F.least("n", F.col("most") - F.coalesce(F.sum("n").over(first), F.lit(0))))
+            moves = moves.where("moved > 0").select("g", "shard", "to", "moved")
+            after = state.join(moves, ["g", "shard"], "left").select("g", F.explode(F.array(
+                F.struct("shard", (F.col("n") - F.coalesce("moved", F.lit(0))).alias("n")), F.struct(F.col("to").alias("shard"), F.coalesce("moved", F.lit(0)).alias("n"))
+            )).alias("x"))
+            state = cut(after.select("g", "x.shard", "x.n").where("n > 0").groupBy("g", "shard").agg(F.sum("n").alias("n")))
+            for (s, t), n in flow.items():
+                loads[s], loads[t] = loads[s] - n, loads[t] + n
+            closed = {t for t in closed | full if loads[t] >= quotas[t]}
+            idle = 0
+        elif full <= closed:  # nothing moves, and nothing more is to be closed
+            if not wanted and not closed:
+                break
+            closed, idle = set(), idle + 1
+        else:
+            closed |= full
     return state
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def settle(state: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """Label propagation by classes of group size, the largest first; smaller groups begin where those leave room."""
+    widest = max(1, max(quotas))
+    size_class = F.floor(F.log2(F.greatest(F.lit(1.0), F.lit(2.0 * widest) / F.col("total"))) / 2).cast("int")
+    state = cut(state.withColumn("class", size_class))
+    classes = sorted(r[0] for r in state.select("class").distinct().collect())  # log of the quota
+    room, done = list(quotas), []
+    for c in classes:
+        part = state.where(F.col("class") == c).select("g", "shard", "n")
+        if done:
+            ends = [sum(room[: t + 1]) for t in range(len(room))]
+            at = F.pmod(F.xxhash64("g", "shard"), F.lit(max(1, ends[-1])))
+            part = part.withColumn("shard", F.least(F.lit(len(room) - 1), F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= at))))
+            part = part.groupBy("g", "shard").agg(F.sum("n").alias("n"))
+        part = propagate(cut(part), room, rounds)
+        loads = dict(part.groupBy("shard").agg(F.sum("n")).collect())  # one row for each shard
+        room = [max(0, q - loads.get(t, 0)) for t, q in enumerate(room)]
+        done.append(part)
+    out = state.select("g", "shard", "n").limit(0) if not done else done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return cut(out)
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row; law ``rows``: counts at most one apart.
 
     Null texts have size 16 and the digest of no bytes, and are linked to nothing; empty texts are linked to each other.
@@ -74,8 +150,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
 
     first = F.pmod(F.xxhash64("doc_id", "crc"), F.lit(shards)).cast("int")
     state = base.where("g is not null").groupBy("g", first.alias("shard")).agg(F.count("*").alias("n"))
-    linked = state.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1").select("g")
-    state = propagate(cut(state.join(linked, "g", "left_semi")), quotas, rounds)
+    linked = state.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1")
+    state = settle(state.join(linked, "g"), quotas, rounds)
 
     before = Window.partitionBy("g").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = state.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))  # at most one row for each shard

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.llm import chat, ngramlm, permindex, sharding, toxicity
 
@@ -49,6 +50,18 @@ def test_shards_keep_groups(hot_docs, some_docs):
     assert sum(n for _, n in hot.most_common(20)) >= 120  # most copies are in few of the 40 shards
 
 
+def test_shards_mostly_linked(spark):
+    """Groups are whole and a hot one is in few shards, also where nearly nothing is unlinked."""
+    for hot, pairs, alone in ((2000, 1900, 200), (0, 3000, 0)):
+        n = hot + 2 * pairs + alone
+        text = F.when(F.col("id") < hot, F.lit("hot")).when(F.col("id") < hot + 2 * pairs, F.concat(F.lit("pair "), F.floor((F.col("id") - hot) / 2))).otherwise(F.concat(F.lit("own "), "id"))
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+        shard = {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()}
+        whole = sum(shard[i] == shard[i + 1] for i in range(hot, hot + 2 * pairs, 2))
+        assert whole >= 0.95 * pairs and len({shard[i] for i in range(hot)}) <= -(-hot * 40 // n) + 3
+        assert max(Counter(shard.values()).values()) - min(Counter(shard.values()).values()) <= 1
+
+
 def brute_nearest(rows, every=50, k=5):
     ok = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
