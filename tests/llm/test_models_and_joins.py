@@ -74,14 +74,45 @@ def brute_nearest(rows, every=50, k=5):
 
 
 def test_permutation_index_recall(spark, sf):
-    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
-    want = brute_nearest([(r.vec_id, r.embedding) for r in emb.collect()])
-    rows = permindex.nearest(emb).collect()
-    found = {(r.query_id, r.vec_id) for r in rows}
-    hits = sum((q, i) in found for q, x in want.items() for _, i in x)
-    assert hits >= 0.9 * sum(map(len, want.values()))
-    exact = {(q, i): -s for q, x in want.items() for s, i in x}
-    assert all(abs(r.score - exact[r.query_id, r.vec_id]) < 1e-12 for r in rows if (r.query_id, r.vec_id) in exact)
+    """Recall against brute force, and the share that is reranked, which falls as the table grows."""
+    rnd = np.random.default_rng(5)
+    made = spark.createDataFrame([(i, v) for i, v in enumerate(rnd.normal(size=(20000, 64)).astype("float32").tolist())], "vec_id long, embedding array<float>")
+    tables = [(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding"), 50, 0.18), (made, 500, 0.057)]
+    for emb, every, share in tables:
+        rows = emb.collect()
+        assert permindex.rerank_count(len(rows)) <= share * len(rows)
+        ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        asked = np.flatnonzero(ids % every == 0)
+        near = unit[asked] @ unit.T
+        near[np.arange(len(asked)), asked] = -2
+        want = {(int(ids[q]), int(ids[j])): near[i, j] for i, q in enumerate(asked) for j in np.argsort(-near[i])[:5]}
+        got = permindex.nearest(emb, every).collect()
+        assert len(got) == 5 * len(asked) and sum((r.query_id, r.vec_id) in want for r in got) >= 0.9 * len(want)
+        assert all(abs(r.score - want[r.query_id, r.vec_id]) < 1e-12 for r in got if (r.query_id, r.vec_id) in want)
+
+
+def test_permutation_index_files():
+    """A block's sums are those of the footrule distance over the files that are opened."""
+    rnd = np.random.default_rng(6)
+    vectors, pivots = rnd.normal(size=(300, 8)), permindex.choose_pivots(rnd.normal(size=(200, 8)), 150)
+    block = permindex.Block(vectors, [[i] for i in range(300)], pivots, 300)
+    lists = permindex.pivot_lists(permindex.unit_rows(vectors), pivots, permindex.PREFIX)
+    asked = permindex.pivot_lists(permindex.unit_rows(rnd.normal(size=(1, 8))), pivots, permindex.READ)[0]
+    place = [{p: a for a, p in enumerate(x)} for x in lists.tolist()]
+    last = lists.shape[1]
+    rest = np.array([sum(last - a for p, a in x.items() if p not in set(asked.tolist())) for x in place])
+    total = sum(last - a for a in range(last))
+    whole = sum(last - b for b in range(len(asked)))
+    # footrule over opened files and own rest = what both could differ by at most, less twice the closeness
+    opened = np.array([sum(abs(x.get(p, last) - b) for b, p in enumerate(asked.tolist())) for x in place])
+    assert (opened + rest == total + whole - 2 * block.closeness(asked)).all()
+
+
+def test_permutation_index_huge_components(spark):
+    rows = [(0, [1e300, 2e300]), (1, [1e-300, 2e-300]), (2, [2.0, 1.0]), (3, [-1e300, 1e300]), (4, [1e300, 2e300])]
+    got = permindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 4, 2, 3] and all(abs(r.score - s) < 1e-12 for r, s in zip(got, [1, 1, 0.8, 1 / 10**0.5], strict=True))
 
 
 def test_permutation_index_edges(spark):
