@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The characters of WS, for trimming without a pattern.
+WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 LINE_LIMIT, TITLE_LIMIT = 200, 80
 
 # Display names of language codes and file endings of sound types.
@@ -28,7 +30,7 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column | str) -> Column:
@@ -48,18 +50,17 @@ def utf16_length(c: Column | str) -> Column:
 
 
 def clean_line(c: Column | str) -> Column:
-    """Images and formulas as placeholders, white space collapsed, ends trimmed."""
-    out = F.regexp_replace(_col(c), r"!\[.*?\]\(.*?\)", "[IMG]")
-    out = F.regexp_replace(out, r"\$\$[\s\S]*?\$\$", "[EQ]")
-    out = F.regexp_replace(out, r"\$[^$]+\$", "[EQ]")
-    return trim_ws(collapse_ws(out))
+    """Images and formulas as placeholders, white space collapsed, ends trimmed; texts without the marks skip their patterns."""
+    c = _col(c)
+    out = F.when(c.contains("!["), F.regexp_replace(c, r"!\[.*?\]\(.*?\)", "[IMG]")).otherwise(c)
+    formulas = F.regexp_replace(F.regexp_replace(out, r"\$\$[\s\S]*?\$\$", "[EQ]"), r"\$[^$]+\$", "[EQ]")
+    return trim_ws(collapse_ws(F.when(c.contains("$"), formulas).otherwise(out)))
 
 
-def outline_line(kind: Column, text: Column, block_id: Column, page: Column, text_level: Column) -> Column:
-    """One line of a document's outline, or null for a block that has none."""
+def outline_line(kind: Column, clean: Column, block_id: Column, page: Column, text_level: Column) -> Column:
+    """One line of a document's outline from a block's cleaned text, or null for a block that has none."""
     place = F.concat(block_id.cast("string"), F.lit("|p"), page.cast("string"))
     tag = F.when(kind == "header", "|H").when(text_level.isNotNull(), F.concat(F.lit("|T"), text_level.cast("string"))).otherwise("")
-    clean = clean_line(text)
     short = F.when(F.length(clean) > LINE_LIMIT, F.concat(F.substring(clean, 1, LINE_LIMIT), F.lit("..."))).otherwise(clean)
     return (
         F.when(kind.isin("image", "figure"), F.concat(F.lit("["), place, F.lit("] [Image]")))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pageloom.functions.predicates import any_of, noisy_heading
 from pageloom.functions.text import normal_title, split_digit_capital, trim_ws
 from pageloom.operators.chapters import with_tree
+from pageloom.session import stored
+
+#: What the rules read of a block.
+TREE_COLUMNS = ["doc_id", "id", "type", "text", "page_idx", "text_level"]
 
 # What marks contents pages, their entries, imprints and front matter.
 CONTENTS_MARK = r"(?i)^(contents|table\s+of\s+contents|目录|content)$"
@@ -59,9 +63,10 @@ def contents_pages(blocks: DataFrame) -> DataFrame:
     return run.withColumn("gap", F.col("page_idx") - F.col("start") - F.row_number().over(w2) + 1).where("gap = 0").select("doc_id", "page_idx")
 
 
-def contents_entries(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, id, title, page_number, level, source_page) of the entries on contents pages."""
-    rows = blocks.join(pages, ["doc_id", "page_idx"], "left_semi").withColumn("t", trim_ws(F.coalesce("text", F.lit(""))))
+def contents_entries(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, id, title, page_number, level, source_page) of the entries on contents pages (none given: of all blocks)."""
+    rows = blocks if pages is None else blocks.join(pages, ["doc_id", "page_idx"], "left_semi")
+    rows = rows.withColumn("t", trim_ws(F.coalesce("text", F.lit(""))))
     bare = trim_ws(F.regexp_replace("t", r"^[>\-\s]+", ""))
     rows = rows.where((F.length("t") >= 2) & ~F.col("type").isin("header", "footer", "page_number") & ~bare.rlike(r"(?i)^(table\s+of\s+)?contents?$") & (bare != "目录"))
     rows = rows.where(~((F.col("type") == "list") & (F.length("t") < 3))).where(~F.col("t").rlike("(?i)" + any_of(IMPRINT + IMPRINT_MORE)))
@@ -92,17 +97,26 @@ def page_offsets(entries: DataFrame, body: DataFrame) -> DataFrame:
     return seen.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "k", "o"))["o"].alias("page_offset"))
 
 
+def _words(c: Column | str) -> Column:
+    return F.array_distinct(F.split(c, r"\s+"))
+
+
 def match_contents(entries: DataFrame, body: DataFrame, offsets: DataFrame, reach: int = 5) -> DataFrame:
-    """Anchors of contents entries: the best block within ``reach`` pages by containment, number, or likeness; else by page only."""
+    """Anchors of contents entries: the best block within ``reach`` pages by containment, number, or likeness; else by page only.
+
+    Entries without a page are met by their words, in the whole document: a block that shares none can't be a match.
+    """
     e = entries.join(offsets, "doc_id", "left").withColumn("expected", F.col("page_number") + F.coalesce("page_offset", F.lit(0))).withColumnRenamed("id", "entry")
-    spread = F.when(F.col("expected").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.col("expected") - reach, F.col("expected") + reach))
-    near = e.select("*", F.explode(spread).alias("p"), normal_title("title").alias("a"), F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1).alias("num"))
-    sets = lambda c: F.array_distinct(F.split(c, r"\s+"))
-    near = near.withColumn("wa", sets("a"))
-    b = body.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("b", normal_title("text")).withColumn("wb", sets("b"))
-    joined = near.where("p is not null").join(b.withColumn("p", F.col("page")), ["doc_id", "p"]).drop("p").unionByName(near.where("p is null").drop("p").join(b, "doc_id"))
-    joined = joined.withColumn("both", F.size(F.array_intersect("wa", "wb")))
-    score, t = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.col("both") / (F.size("wa") + F.size("wb") - F.col("both"))), trim_ws("text")
+    near = e.select("doc_id", "entry", "title", "level", "expected", normal_title("title").alias("a"), F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1).alias("num")).withColumn("wa", _words("a"))
+    b = body.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", trim_ws("text")).withColumn("b", normal_title("text")).withColumn("wb", _words("b"))
+    paged = near.where("expected is not null").withColumn("page", F.explode(F.sequence(F.col("expected") - reach, F.col("expected") + reach)))
+    by_page = paged.join(b, ["doc_id", "page"]).withColumn("both", F.size(F.array_intersect("wa", "wb")))
+    loose = near.where("expected is null and a <> ''")
+    ids = loose.select("doc_id", "entry", F.explode("wa").alias("word")).join(b.select("doc_id", "block_id", F.explode("wb").alias("word")), ["doc_id", "word"])
+    by_word = loose.join(ids.groupBy("doc_id", "entry", "block_id").agg(F.count("*").cast("int").alias("both")), ["doc_id", "entry"]).join(b, ["doc_id", "block_id"])
+    columns = ["doc_id", "entry", "title", "level", "block_id", "page", "text", "t", "a", "b", "num", "both", F.size("wa").alias("na"), F.size("wb").alias("nb")]
+    joined = by_page.select(*columns).unionByName(by_word.select(*columns))
+    score, t = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))), F.col("t")
     inside = (F.col("b") != "") & (F.contains("b", F.col("a")) | F.contains("a", F.col("b"))) & (score > 0)
     numbered = (F.col("num") != "") & (t.startswith(F.concat("num", F.lit(" "))) | t.startswith(F.concat("num", F.lit("."))))
     close = F.length(t).between(3, 200)
@@ -123,16 +137,25 @@ def match_contents(entries: DataFrame, body: DataFrame, offsets: DataFrame, reac
     return found.unionByName(guess).withColumn("source", F.lit("toc_match"))
 
 
+def heading(t: Column) -> Column:
+    """(level, conf) of the first heading pattern that a trimmed text fits, or null."""
+    out = None
+    for level, conf, pattern in HEADINGS:
+        found = F.struct(F.lit(level).alias("level"), F.lit(conf).alias("conf"))
+        out = F.when(t.rlike(pattern), found) if out is None else out.when(t.rlike(pattern), found)
+    return out
+
+
 def pattern_anchors(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, page, text, title, level, confidence, source) of blocks that look like headings."""
-    t = trim_ws(F.coalesce("text", F.lit("")))
-    level = conf = None
-    for k, c, pattern in HEADINGS:
-        level = F.when(t.rlike(pattern), k) if level is None else level.when(t.rlike(pattern), k)
-        conf = F.when(t.rlike(pattern), c) if conf is None else conf.when(t.rlike(pattern), c)
+    """(doc_id, block_id, page, text, title, level, confidence, source) of blocks that look like headings.
+
+    One pattern of all headings together sorts out the other blocks first; what is left is tried pattern by pattern.
+    """
+    rows = blocks.select("doc_id", "id", "page_idx", "type", "text_level", trim_ws(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = rows.where(F.length("t").between(3, 200) & F.col("t").rlike(any_of([h[2] for h in HEADINGS])) & ~noisy_heading("t"))
     boost = F.when(F.col("type") == "header", 0.05).otherwise(0.0) + F.when(F.col("text_level") == 1, 0.03).otherwise(0.0)
-    rows = blocks.where(F.length(t).between(3, 200) & ~noisy_heading(t)).select("doc_id", F.col("id").alias("block_id"), F.coalesce("page_idx", F.lit(0)).alias("page"), t.alias("text"), t.alias("title"), level.alias("level"), F.least(conf + boost, F.lit(1.0)).alias("confidence"))
-    return rows.where("level is not null").withColumn("source", F.lit("pattern"))
+    rows = rows.withColumn("h", heading(F.col("t")))
+    return rows.select("doc_id", F.col("id").alias("block_id"), F.coalesce("page_idx", F.lit(0)).alias("page"), F.col("t").alias("text"), F.col("t").alias("title"), F.col("h.level").alias("level"), F.least(F.col("h.conf") + boost, F.lit(1.0)).alias("confidence"), F.lit("pattern").alias("source"))
 
 
 def merge_anchors(anchors: DataFrame) -> DataFrame:
@@ -215,9 +238,14 @@ def dispatch(blocks: DataFrame) -> DataFrame:
 
 
 def rule_tree(blocks: DataFrame) -> DataFrame:
-    """The chapter tree of each document by rules: contents where there are some, heading patterns everywhere else."""
-    pages = contents_pages(blocks)
-    body = blocks.join(pages, ["doc_id", "page_idx"], "left_anti").select(*blocks.columns)
-    entries = contents_entries(blocks, pages)
+    """The chapter tree of each document by rules: contents where there are some, heading patterns everywhere else.
+
+    Blocks, their split into contents and body, and entries are written once, as several steps read them.
+    """
+    blocks = stored(blocks.select(*TREE_COLUMNS), "tree-blocks")
+    pages = contents_pages(blocks).withColumn("_contents", F.lit(True))
+    split = stored(blocks.join(pages, ["doc_id", "page_idx"], "left"), "tree-split")
+    body = split.where("_contents is null").drop("_contents")
+    entries = stored(contents_entries(split.where("_contents").drop("_contents")), "tree-entries")
     found = match_contents(entries, body, page_offsets(entries, body)).drop("entry")
     return anchor_tree(merge_anchors(found.unionByName(pattern_anchors(body))), blocks)

@@ -55,6 +55,18 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     return found.select("doc_id", "chunk_index", "mode", "pos", *[F.col(f"q.{c}").alias(c) for c in ("label", "type", "question_ids", "solution_ids", "chapter_title_ids")])
 
 
+def parse_legacy(answers: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, pos, label, type, question_ids, solution_ids, answer, chapter_title_ids, error) of older answers.
+
+    They have an <answer> in each pair and are strict only; an answer without any pair is one row with an error.
+    """
+    out = F.coalesce(F.col("output"), F.lit(""))
+    pair = lambda p, c: F.struct(tag(p, "label").alias("label"), F.when(tag(p, "type") == "", "exercise").otherwise(tag(p, "type")).alias("type"), tag(p, "question").alias("question_ids"), tag(p, "solution").alias("solution_ids"), tag(p, "answer").alias("answer"), tag(c, "title").alias("chapter_title_ids"))
+    pairs = F.flatten(F.transform(_bodies(out, "chapter"), lambda c: F.transform(_bodies(c, "qa_pair"), lambda p: pair(p, c))))
+    rows = answers.select("doc_id", "chunk_index", F.posexplode_outer(pairs).alias("pos", "q"))
+    return rows.select("doc_id", "chunk_index", "pos", "q.*", F.when(F.col("q").isNull(), "no question could be read").alias("error"))
+
+
 def id_list(ids: Column) -> Column:
     """Array of the leading integers of a comma-separated list; what has none is null."""
     return F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.regexp_extract(x, r"^\s*([+-]?\d+)", 1).try_cast("int"))
@@ -96,14 +108,25 @@ def backfill(rows: DataFrame, ids: str, blocks: DataFrame, key: list[str], sep:
 
 
 def questions_of(parsed: DataFrame, blocks: DataFrame, chunks: DataFrame, prefix: str = "") -> DataFrame:
-    """The extracted questions with their texts; ids outside the chunk are left out, titles may refer to any block of it."""
-    key = ["chunk_index", "pos"]
+    """The extracted questions with their texts; ids outside the chunk are left out, titles may refer to any block of it.
+
+    The id lists of question, solution and title meet the blocks in one equi-join and are put together in one grouping.
+    """
+    key, kinds = ["doc_id", "chunk_index", "pos"], ["question_ids", "solution_ids", "chapter_title_ids"]
     rows = parsed.join(chunks.select("doc_id", "chunk_index", F.col("start_id").alias("lo"), F.col("end_id").alias("hi")), ["doc_id", "chunk_index"])
-    for ids, text, images in (("question_ids", "question", "question_images"), ("solution_ids", "solution", "solution_images")):
-        rows = backfill(rows, ids, blocks, key, prefix=prefix).withColumnRenamed("text", text).withColumnRenamed("images", images)
-    rows = backfill(rows, "chapter_title_ids", blocks, key, sep=" ", plain=True).withColumnRenamed("text", "chapter_title").drop("images", "lo", "hi")
-    rows = rows.withColumn("images", F.concat("question_images", "solution_images")).drop("question_images", "solution_images")
-    return rows.withColumn("has_answer", F.col("solution") != "")
+    listed = lambda k, c: F.transform(id_list(F.col(c)), lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("at"), x.alias("id")))
+    asked = F.concat(*[listed(k, c) for k, c in enumerate(kinds)])
+    asked = F.filter(asked, lambda w: w["id"].between(F.col("lo"), F.col("hi")))
+    rest = F.struct(*[c for c in parsed.columns if c not in key]).alias("rest")
+    picked = rows.select(*key, rest, F.explode_outer(asked).alias("w")).select(*key, "rest", "w.kind", "w.at", "w.id")
+    image = F.when((F.col("type") == "image") & (F.coalesce("img_path", F.lit("")) != ""), F.concat(F.lit(prefix), F.col("img_path")))
+    parts = blocks.select("doc_id", "id", shown_text(F.col("type"), F.col("text"), F.col("img_path"), F.col("image_caption")).alias("shown"), F.when(F.col("text") != "", F.col("text")).alias("plain"), image.alias("image"))
+    found = F.when(F.coalesce("shown", "plain").isNotNull(), F.struct("kind", "at", "shown", "plain", "image"))
+    got = picked.join(parts, ["doc_id", "id"], "left").groupBy(*key).agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(found)).alias("x"))
+    text = lambda k, f, sep: trim_ws(F.array_join(F.transform(F.filter("x", lambda w: w["kind"] == k), lambda w: w[f]), sep))
+    images = F.filter(F.transform(F.filter("x", lambda w: (w["kind"] < 2) & w["shown"].isNotNull()), lambda w: w["image"]), lambda i: i.isNotNull())
+    out = got.select(*key, "rest.*", text(0, "shown", "\n").alias("question"), text(1, "shown", "\n").alias("solution"), text(2, "plain", " ").alias("chapter_title"), images.alias("images"))
+    return out.withColumn("has_answer", F.col("solution") != "")
 
 
 def repair_json(raw: str) -> dict | list | None:
@@ -142,7 +165,7 @@ def repair_json(raw: str) -> dict | list | None:
     return read(whole[0]) if whole else None
 
 
-def directory_entries(answers: DataFrame) -> DataFrame:
+def directory_entries(answers: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, ok, ord, ids, level, title) of (doc_id, output): a directory answer's entries in order, mended where needed.
 
     Answers that the JVM reads as they are don't go through Python. ids: the numbers among an entry's id or ids; entries
@@ -154,12 +177,12 @@ def directory_entries(answers: DataFrame) -> DataFrame:
     def mended(raw: pd.Series) -> pd.Series:
         return raw.map(lambda r: None if r is None or (x := repair_json(r)) is None else json.dumps(x))
 
-    rows = answers.select("doc_id", "output", F.try_parse_json("output").isNotNull().alias("whole"))
-    fine = rows.where("whole").select("doc_id", F.col("output").alias("j"))
-    broken = rows.where("not whole").select("doc_id", mended("output").alias("j"))
-    read = fine.union(broken).select("doc_id", F.from_json("j", schema).alias("d"))
+    rows = answers.select(*key, "output", F.coalesce(F.try_parse_json("output").isNotNull(), F.lit(False)).alias("whole"))
+    fine = rows.where("whole").select(*key, F.col("output").alias("j"))
+    broken = rows.where("not whole").select(*key, mended("output").alias("j"))
+    read = fine.union(broken).select(*key, F.from_json("j", schema).alias("d"))
     items = F.coalesce("d.directory", "d.chapters", "d.entries")
     number = F.filter(F.transform(F.split(F.regexp_replace(F.col("x.id"), r"[\[\]\s]", ""), ","), lambda v: F.when(v.rlike(r"^-?\d+$"), v.try_cast("int"))), lambda v: v.isNotNull())
-    out = read.select("doc_id", items.isNotNull().alias("ok"), F.posexplode_outer(items).alias("ord", "x"))
-    out = out.select("doc_id", "ok", "ord", number.alias("ids"), F.col("x.level").try_cast("int").alias("level"), trim_ws(F.coalesce("x.title", F.lit(""))).alias("title"))
+    out = read.select(*key, items.isNotNull().alias("ok"), F.posexplode_outer(items).alias("ord", "x"))
+    out = out.select(*key, "ok", "ord", number.alias("ids"), F.col("x.level").try_cast("int").alias("level"), trim_ws(F.coalesce("x.title", F.lit(""))).alias("title"))
     return out.where("not ok or (size(ids) > 0 and level between 1 and 4)")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions.text import outline_line, trim_ws
+from pageloom.functions.text import clean_line, outline_line, trim_ws
 
 NOISE_TYPES = ["page_number", "footer", "header"]
 CONTENTS_ENTRY = r"\.{4,}\s*\d+$"
@@ -72,18 +72,29 @@ def converted(blocks: DataFrame) -> DataFrame:
     return blocks.drop("text_level", "page_idx")
 
 
+def line_array(text: Column, page_lines: int = 10) -> Column:
+    """Array of (text, page_idx) of a plain text's lines; noise lines go."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: F.struct(trim_ws(x).alias("text"), F.floor(i / page_lines).cast("int").alias("page_idx")))
+    return F.filter(lines, lambda x: (x["text"] != "") & ~is_contents(x["text"]))
+
+
+def line_kind(text: Column) -> Column:
+    return F.when(text.contains("=") & text.rlike(r"^\s*[\d\W_]*=[\d\W_]*$"), "equation").otherwise("text")
+
+
 def line_blocks(docs: DataFrame, page_lines: int = 10) -> DataFrame:
     """Flat blocks of plain texts: a line is a block, noise lines go; ids are dense, no shuffle."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(trim_ws(x).alias("text"), F.floor(i / page_lines).cast("int").alias("page_idx")))
-    kept = F.filter(lines, lambda x: (x["text"] != "") & ~is_contents(x["text"]))
-    out = docs.select("doc_id", F.posexplode(kept).alias("id", "b")).select("doc_id", "id", F.col("b.text").alias("text"), F.col("b.page_idx").alias("page_idx"))
-    kind = F.when(F.col("text").rlike(r"^\s*[\d\W_]*=[\d\W_]*$"), "equation").otherwise("text")
-    return out.select("doc_id", "id", kind.alias("type"), "text", "page_idx", F.lit(None).cast("int").alias("text_level"))
+    out = docs.select("doc_id", F.posexplode(line_array(F.col("text"), page_lines)).alias("id", "b")).select("doc_id", "id", F.col("b.text").alias("text"), F.col("b.page_idx").alias("page_idx"))
+    return out.select("doc_id", "id", line_kind(F.col("text")).alias("type"), "text", "page_idx", F.lit(None).cast("int").alias("text_level"))
 
 
 def full_text(blocks: DataFrame) -> DataFrame:
-    """(doc_id, outline): the outline lines of each document in order."""
-    line = outline_line(F.col("type"), F.col("text"), F.col("id"), F.col("page_idx"), F.col("text_level"))
-    lines = blocks.select("doc_id", "id", line.alias("line")).where("line is not null")
-    rows = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("x"))
-    return rows.select("doc_id", F.array_join(F.col("x.line"), "\n").alias("outline"))
+    """(doc_id, outline): the outline lines of each document in order.
+
+    Blocks whose table is dealt by doc_id are put together where they are. The cleaned text is a column of its own, so
+    that its patterns run once; collect_list leaves out blocks without a line, and documents without any have no row.
+    """
+    rows = blocks.select("doc_id", "id", "type", "page_idx", "text_level", clean_line("text").alias("clean"))
+    line = outline_line(F.col("type"), F.col("clean"), F.col("id"), F.col("page_idx"), F.col("text_level"))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("id", line.alias("line"))))).alias("x"))
+    return rows.where("size(x) > 0").select("doc_id", F.array_join(F.col("x.line"), "\n").alias("outline"))

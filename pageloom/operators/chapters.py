@@ -156,10 +156,14 @@ def coverage_of_all(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("covered") / F.col("total")).alias("coverage_rate"))
 
 
+def unknown_ids(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, id): ids of entries that no block has."""
+    return entries.select("doc_id", F.explode("ids").alias("id")).join(blocks.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+
+
 def validation(entries: DataFrame, blocks: DataFrame, max_top_share: float = 0.5, max_entry_share: float = 0.25) -> DataFrame:
     """(doc_id, verdict): ok, unknown_id, bad_level, many_top_level or many_entries; the first that holds."""
-    known = blocks.select("doc_id", "id").distinct()
-    unknown = entries.select("doc_id", F.explode("ids").alias("id")).join(known, ["doc_id", "id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("bad"))
+    unknown = unknown_ids(entries, blocks).groupBy("doc_id").agg(F.count("*").alias("bad"))
     total = blocks.groupBy("doc_id").agg(F.count("*").alias("total"))
     stats = entries.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 1).alias("top"), F.count_if(F.col("level").isNull() | ~F.col("level").between(1, LEVELS)).alias("odd"))
     rows = stats.join(total, "doc_id", "left").join(unknown, "doc_id", "left")

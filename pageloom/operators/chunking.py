@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,32 +60,47 @@ def fold_outline_chunks(tokens: list[int], limit: int, overlap: int = OUTLINE_OV
     return [*out, (start, len(tokens))] if tokens else out
 
 
-def _folded(blocks: DataFrame, tokens: Column, fold) -> DataFrame:
-    kind = blocks.schema["doc_id"].dataType.simpleString()
+def _folded(lists: DataFrame, fold) -> DataFrame:
+    """(doc_id, chunk_index, start_id, end_id) of (doc_id, tokens array): a fold over Arrow batches of whole documents."""
+    kind = lists.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, index, first, last = [], [], [], []
+            for i, tokens in enumerate(batch.column(1).to_pylist()):
+                spans = fold(tokens)
+                which += [i] * len(spans)
+                index += range(len(spans))
+                first += [s for s, _ in spans]
+                last += [e - 1 for _, e in spans]
+            ints = [pa.array(x, pa.int32()) for x in (index, first, last)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int32())), *ints], names=["doc_id", "chunk_index", "start_id", "end_id"])
+
+    return lists.mapInArrow(run, f"doc_id {kind}, chunk_index int, start_id int, end_id int")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = fold(pdf.sort_values("id")["tokens"].astype(int).tolist())
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_index": range(len(spans)), "start_id": [s for s, _ in spans], "end_id": [e - 1 for _, e in spans]})
 
-    sized = blocks.select("doc_id", "id", tokens.alias("tokens"))
-    return sized.groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, chunk_index int, start_id int, end_id int")
+def _token_lists(blocks: DataFrame, tokens: Column) -> DataFrame:
+    """(doc_id, tokens): the estimates of each document's blocks in order; only ids and estimates are put together."""
+    sized = blocks.select("doc_id", "id", tokens.alias("t"))
+    rows = sized.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "t"))).alias("x"))
+    return rows.select("doc_id", F.col("x.t").alias("tokens"))
 
 
 def token_chunks(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, budget: int = BUDGET) -> DataFrame:
-    """Chunks for extraction. Only documents in which some chunk could reach the budget are folded; the rest is arithmetic."""
-    tokens = block_tokens(F.col("type"), F.col("text"))
-    per_doc = blocks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(tokens).alias("most"))
-    tight = F.col("most").cast("long") * F.least(F.col("n"), F.lit(size)) >= budget
-    easy = chunk_windows(per_doc.where(~tight), size, overlap)
-    hard = _folded(blocks.join(per_doc.where(tight).select("doc_id"), "doc_id", "left_semi"), tokens, lambda t: fold_chunks(t, size, overlap, budget))
-    return easy.select("doc_id", "chunk_index", "start_id", "end_id").union(hard)
+    """Chunks for extraction under a token budget, folded document by document in one pass over the blocks."""
+    return _folded(_token_lists(blocks, block_tokens(F.col("type"), F.col("text"))), lambda t: fold_chunks(t, size, overlap, budget))
 
 
 def outline_chunks(blocks: DataFrame, limit: int) -> DataFrame:
-    return _folded(blocks, outline_tokens(F.col("type"), F.col("text")), lambda t: fold_outline_chunks(t, limit))
+    return _folded(_token_lists(blocks, outline_tokens(F.col("type"), F.col("text"))), lambda t: fold_outline_chunks(t, limit))
 
 
 def chunk_members(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """blocks with chunk_index, once for each chunk that holds the block (budget not binding)."""
     counts = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
     return blocks.join(counts, "doc_id").withColumn("chunk_index", F.explode(chunks_of_block(F.col("id"), F.col("n"), size, overlap))).drop("n")
+
+
+def members_of(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, id, start_id, end_id): each chunk once for each of its ids, so that blocks are met by an equi-join."""
+    return chunks.select("doc_id", "chunk_index", "start_id", "end_id", F.explode(F.sequence("start_id", "end_id")).alias("id"))

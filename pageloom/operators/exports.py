@@ -55,6 +55,11 @@ def result_names(tasks: DataFrame) -> DataFrame:
 
 
 def write_results(questions: DataFrame, path: str, folder: str | None = None) -> None:
-    """One JSON line for each question and one Markdown text for each document, written in parallel."""
-    json_rows(questions, folder).select("doc_id", "seq", "json").write.mode("overwrite").parquet(f"{path}/json")
+    """One JSON line for each question, as text files, and one Markdown text for each document, written in parallel."""
+    json_rows(questions, folder).select("json").write.mode("overwrite").text(f"{path}/json")
     markdown_text(questions, folder).write.mode("overwrite").parquet(f"{path}/markdown")
+
+
+def write_stage(rows: DataFrame, folder: str, name: str) -> None:
+    """A stage's table kept for inspection: formatted blocks, prompts, raw and parsed answers, verdicts."""
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,25 @@ def id_overlaps(questions: DataFrame, key: str = "seq", threshold: float = THRES
 
 
 def greedy_keep(id_sets: list[set[int]], threshold: float = THRESHOLD) -> list[int]:
-    """Positions kept, in the places of the results: the first kept one that overlaps is the match; a larger set takes its place."""
+    """Positions kept, in the places of the results: the first kept one that overlaps is the match; a larger set takes its place.
+
+    Only kept sets with a common id are looked at; places are found by id.
+    """
     kept: list[int] = []
+    places: dict[int, set[int]] = {}
     for i, s in enumerate(id_sets):
-        for at, j in enumerate(kept if s else []):
-            both = len(s & id_sets[j])
-            if id_sets[j] and both / (len(s) + len(id_sets[j]) - both) >= threshold:
-                if len(s) > len(id_sets[j]):
+        for at in sorted(set().union(*[places.get(x, ()) for x in s])):
+            other = id_sets[kept[at]]
+            both = len(s & other)
+            if both and both / (len(s) + len(other) - both) >= threshold:
+                if len(s) > len(other):
                     kept[at] = i
+                    for x in s:
+                        places.setdefault(x, set()).add(at)
                 break
         else:
+            for x in s:
+                places.setdefault(x, set()).add(len(kept))
             kept.append(i)
     return kept
 
@@ -41,21 +52,26 @@ def greedy_keep(id_sets: list[set[int]], threshold: float = THRESHOLD) -> list[i
 def greedy_dedup(questions: DataFrame, order: str = "seq", threshold: float = THRESHOLD) -> DataFrame:
     """questions with overlapping ones merged greedily in order, within each document.
 
-    Documents without any overlap keep their rows as they are; only the others go through a fold.
+    Only places and ids go through the fold; the kept places then meet the whole rows. A larger question stands where
+    the smaller one stood.
     """
-    clash = id_overlaps(questions, order, threshold).select("doc_id").distinct()
-    rest = questions.join(clash, "doc_id", "left_semi")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        keep = greedy_keep([{int(x) for x in s} for s in pdf["_ids"]], threshold)
-        out = pdf.iloc[keep].drop(columns="_ids")
-        out[order] = sorted(pdf[order].iloc[keep])  # a larger question stands where the smaller one stood
-        return out
-
+    kind, place = questions.schema["doc_id"].dataType.simpleString(), questions.schema[order].dataType.simpleString()
     ids = F.filter(id_list(F.col("question_ids")), lambda x: x.isNotNull())
-    folded = rest.withColumn("_ids", ids).groupBy("doc_id").applyInPandas(one, questions.schema)
-    return questions.join(clash, "doc_id", "left_anti").select(*questions.columns).unionByName(folded)
+    lists = questions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("k"), ids.alias("ids")))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, old, new = [], [], []
+            for i, (ks, sets) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                keep = greedy_keep([set(s) for s in sets], threshold)
+                which += [i] * len(keep)
+                old += [ks[j] for j in keep]
+                new += sorted(ks[j] for j in keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int32())), pa.array(old, pa.int64()), pa.array(new, pa.int64())], names=["doc_id", "_old", "_new"])
+
+    kept = lists.select("doc_id", F.col("x.k").alias("k"), F.col("x.ids").alias("ids")).mapInArrow(run, f"doc_id {kind}, _old long, _new long")
+    rows = questions.join(kept, (questions["doc_id"].eqNullSafe(kept["doc_id"])) & (questions[order] == kept["_old"]))
+    return rows.select(*[F.col("_new").cast(place).alias(order) if c == order else questions[c] for c in questions.columns])
 
 
 def typed(questions: DataFrame) -> DataFrame:

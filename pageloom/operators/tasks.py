@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import retry_name
+from pageloom.session import cut
 
 LEGAL_MOVES = {("pending", "processing"), ("processing", "completed"), ("processing", "failed"), ("processing", "paused"), ("paused", "processing"), ("failed", "processing")}
 
@@ -33,6 +34,35 @@ def latest(rows: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), F.desc(tie)).limit(n)
 
 
+def page_logs(logs: DataFrame, task_id: int, status: str | None = None) -> DataFrame:
+    """A task's page logs in order of pages, all or those of one status."""
+    own = logs.where(F.col("task_id") == task_id)
+    return (own if status is None else own.where(F.col("status") == status)).orderBy("page_index")
+
+
+def latest_task_logs(tasks: DataFrame, logs: DataFrame, n: int = 20, by: str = "created_at", tie: str = "id", log_tie: str = "id") -> DataFrame:
+    """The newest logs of the newest task: the task is a top-1, its logs a top-n."""
+    newest = latest(tasks, by, 1, tie).select(F.col("id").alias("task_id"))
+    return latest(logs.join(newest, "task_id", "left_semi"), by, n, log_tie)
+
+
+def stage_slice(logs: DataFrame, stage: str = "extracting", n: int = 20, by: str = "created_at", tie: str = "id", newest_first: bool = False) -> DataFrame:
+    """The first n logs of a stage for each task, in order or the other way round."""
+    w = Window.partitionBy("task_id").orderBy(by, tie)
+    first = logs.where(F.col("stage") == stage).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    return first.orderBy("task_id", F.desc("_n") if newest_first else F.asc("_n")).drop("_n")
+
+
+def inserted(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """rows with ids that follow the table's greatest, in a gapless run: counts of partitions give each its offset."""
+    top = table.agg(F.coalesce(F.max(F.col(key).cast("long")), F.lit(0))).first()[0]
+    numbered = cut(rows.withColumn("_m", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_m", 33))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = numbered.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row for each partition
+    place = F.col("_m") - F.shiftleft("_p", 33)
+    return numbered.join(starts, "_p").select((F.lit(top) + F.col("_start") + place + 1).alias(key), *[c for c in rows.columns if c != key])
+
+
 def snapshot(events: DataFrame, key: str, version: str, deleted: str | None = None) -> DataFrame:
     """The last version of each key of an append-only table, without keys whose last version is a tombstone."""
     w = Window.partitionBy(key).orderBy(F.desc(version))
@@ -60,17 +90,23 @@ def lineage(tasks: DataFrame, root: int) -> DataFrame:
     return tasks.where((F.col("root_task_id") == root) | (F.col("id") == root)).orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def roots(tasks: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, root_id, depth) by following parents: pointers are doubled each round, so long chains need few joins."""
-    at = tasks.select("id", F.coalesce("parent_task_id", "id").alias("up"), F.when(F.col("parent_task_id").isNull(), 0).otherwise(1).alias("depth"))
+def roots(tasks: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, root_id, depth) by following parents: pointers are doubled each round, so long chains need few joins.
+
+    Parents in a ring have no root; they are an error once chains of 2^rounds tasks would have ended.
+    """
+    at = tasks.select("id", F.coalesce("parent_task_id", "id").alias("up"), F.when(F.col("parent_task_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     for _ in range(rounds):
         hop = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        after = at.join(hop, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("up2", "up") != F.col("up")).alias("moved"))
-        after = after.checkpoint()
+        after = at.join(hop, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("d2", F.lit(0)) > 0).alias("moved"))
+        after = cut(after)
         at = after.drop("moved")
         if after.where("moved").isEmpty():
-            break
-    return at.select("id", F.col("up").alias("root_id"), "depth")
+            return at.select("id", F.col("up").alias("root_id"), F.col("depth").cast("int").alias("depth"))
+        ring = after.where("id = up and depth > 0").limit(1).collect()
+        if ring:
+            raise ValueError(f"the parents of task {ring[0].id} form a ring")
+    raise ValueError("the parents of some tasks form a ring")
 
 
 def retried(tasks: DataFrame) -> DataFrame:
@@ -109,3 +145,10 @@ def pages_of_text(texts: DataFrame, size: int = 10) -> DataFrame:
     parts = F.filter(F.split("text", r"\n-{3,}\n"), lambda x: F.trim(x) != "")
     rows = texts.select("doc_id", F.posexplode(parts).alias("item", "body"))
     return rows.select("doc_id", "item", F.floor(F.col("item") / size).cast("int").alias("page"), F.trim("body").alias("body"))
+
+
+def page_of_text(pages: DataFrame, page: int) -> DataFrame:
+    """One page of each document of pages_of_text; a number beyond the last page gives the last, one below 0 the first."""
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    wanted = F.least(F.greatest(F.lit(page), F.lit(0)), F.col("_last"))
+    return pages.join(last, "doc_id").where(F.col("page") == wanted).drop("_last")

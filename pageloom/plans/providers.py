@@ -3,44 +3,62 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.operators.blocks import full_text
+from pageloom.operators.chunking import members_of
+
+#: Seconds before an answer is asked for again.
+DELAYS = (2, 4, 8)
 
 
 class Provider(Protocol):
-    def answers(self, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-        """(doc_id, chunk_index, output) for (doc_id, chunk_index, start_id, end_id)."""
+    def answers(self, chunks: DataFrame, blocks: DataFrame, attempt: int | None = None) -> DataFrame:
+        """(doc_id, chunk_index, output) for (doc_id, chunk_index, start_id, end_id); attempt counts from 0 where chunks are asked again."""
+
+    def complete(self, prompts: DataFrame, attempt: int | None = None) -> DataFrame:
+        """(doc_id, chunk_index, output) for (doc_id, chunk_index, prompt)."""
 
 
 class ReplayProvider:
-    """Answers stored before; of several attempts the last one that succeeded counts."""
+    """Answers stored before (doc_id, chunk_index, attempt, output, success); without an attempt the last that succeeded counts."""
 
     def __init__(self, responses: DataFrame):
-        w = Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("attempt"))
-        good = responses.where(F.coalesce("success", F.lit(True)))
-        self.responses = good.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("doc_id", "chunk_index", "output")
+        self.responses = responses.where(F.coalesce("success", F.lit(True)))
+
+    def complete(self, prompts: DataFrame, attempt: int | None = None) -> DataFrame:
+        own = self.responses
+        if attempt is None:
+            w = Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("attempt"))
+            own = own.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+        else:
+            own = own.where(F.col("attempt") == attempt)
+        return prompts.select("doc_id", "chunk_index").join(own.select("doc_id", "chunk_index", "output"), ["doc_id", "chunk_index"], "left")
 
-    def answers(self, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-        return chunks.select("doc_id", "chunk_index").join(self.responses, ["doc_id", "chunk_index"], "left")
+    def answers(self, chunks: DataFrame, blocks: DataFrame, attempt: int | None = None) -> DataFrame:
+        return self.complete(chunks, attempt)
 
 
 class RuleProvider:
     """Each block that begins with a number label starts a question that runs to the next label."""
 
     label = r"^\s*(?:例\s*)?(\d+)[.．、)]"
+    #: Asked again it gives the same answer.
+    repeatable = False
 
-    def answers(self, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    def answers(self, chunks: DataFrame, blocks: DataFrame, attempt: int | None = None) -> DataFrame:
         t = F.coalesce("text", F.lit(""))
         w = Window.partitionBy("doc_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
         found = F.when(t.rlike(self.label), F.struct("id", F.regexp_extract(t, self.label, 1).alias("label"), F.when(t.rlike(r"^\s*例"), "example").otherwise("exercise").alias("type")))
         rows = blocks.select("doc_id", "id", F.last(found, ignorenulls=True).over(w).alias("q")).where("q is not null")
-        questions = rows.groupBy("doc_id", "q").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        inside = chunks.join(questions, "doc_id").where("q.id between start_id and end_id and element_at(ids, -1) <= end_id")
+        questions = rows.groupBy("doc_id", "q").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("q.id"))
+        inside = members_of(chunks).join(questions, ["doc_id", "id"]).where("element_at(ids, -1) <= end_id")  # the chunk has its first block, and all others
         pair = F.concat(F.lit("<qa_pair><label>"), "q.label", F.lit("</label><type>"), "q.type", F.lit("</type><question>"), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("</question><solution></solution></qa_pair>"))
         made = inside.groupBy("doc_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct(F.col("q.id").alias("at"), pair.alias("p")))).alias("x"))
         text = F.concat(F.lit("<chapter><title></title>"), F.array_join(F.col("x.p"), ""), F.lit("</chapter>"))
@@ -49,48 +67,70 @@ class RuleProvider:
 
 
 class CallProvider:
-    """Asks a function (prompt -> answer) once for each chunk, on at most ``workers`` tasks, with retries.
+    """Asks a function (prompt -> answer) once for each chunk, on at most ``workers`` tasks, with retries after ``delays`` seconds.
 
     Answers should be written to a table before they are used twice; ReplayProvider then reads that table.
     """
 
-    def __init__(self, ask: Callable[[str], str], workers: int = 5, attempts: int = 3):
-        self.ask, self.workers, self.attempts = ask, workers, attempts
+    def __init__(self, ask: Callable[[str], str], workers: int = 5, attempts: int = 3, delays: tuple[float, ...] = DELAYS):
+        self.ask, self.workers, self.attempts, self.delays = ask, workers, attempts, delays
 
-    def answers(self, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-        ask, attempts = self.ask, self.attempts
-        kind = chunks.schema["doc_id"].dataType.simpleString()
+    def complete(self, prompts: DataFrame, attempt: int | None = None) -> DataFrame:
+        ask, attempts, delays = self.ask, self.attempts, self.delays
+        kind = prompts.schema["doc_id"].dataType.simpleString()
+
+        def one(prompt: str) -> tuple[str | None, int, bool, str | None]:
+            error = None
+            for turn in range(attempts):
+                if turn and delays:
+                    time.sleep(delays[min(turn, len(delays)) - 1])
+                try:
+                    return ask(prompt), turn, True, None
+                except Exception as e:  # the caller's function may fail in any way; the failure is recorded
+                    error = str(e)
+            return None, attempts - 1, False, error
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                outs = []
-                for prompt in pdf["prompt"]:
-                    for turn in range(attempts):
-                        try:
-                            outs.append((ask(prompt), turn, True, None))
-                            break
-                        except Exception as e:  # the caller's function may fail in any way; the failure is recorded
-                            error = str(e)
-                    else:
-                        outs.append((None, attempts - 1, False, error))
-                out, attempt, ok, why = zip(*outs, strict=True) if outs else ((), (), (), ())
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "chunk_index": pdf["chunk_index"], "output": out, "attempt": attempt, "success": ok, "error": why})
-
-        prompts = chunk_prompts(chunks, blocks).repartition(self.workers)
-        return prompts.mapInPandas(run, f"doc_id {kind}, chunk_index int, output string, attempt int, success boolean, error string")
+                got = pd.DataFrame([one(p) for p in pdf["prompt"]], columns=["output", "attempt", "success", "error"], dtype=object)
+                yield pd.concat([pdf[["doc_id", "chunk_index"]].reset_index(drop=True), got], axis=1)
+
+        dealt = prompts.select("doc_id", "chunk_index", "prompt").repartition(self.workers)
+        return dealt.mapInPandas(run, f"doc_id {kind}, chunk_index int, output string, attempt int, success boolean, error string")
+
+    def answers(self, chunks: DataFrame, blocks: DataFrame, attempt: int | None = None) -> DataFrame:
+        return self.complete(chunk_prompts(chunks, blocks), attempt)
 
 
 def chunk_prompts(chunks: DataFrame, blocks: DataFrame, head: str = "Answer with block ids only.\n\n## Input JSON:\n") -> DataFrame:
     """(doc_id, chunk_index, prompt): the chunk's blocks as JSON after a head."""
     show = F.to_json(F.struct(*[c for c in ("id", "type", "text", "img_path", "image_caption") if c in blocks.columns]))
-    rows = chunks.join(blocks.withColumn("_j", show), "doc_id").where("id between start_id and end_id")
+    rows = members_of(chunks).join(blocks.select("doc_id", "id", show.alias("_j")), ["doc_id", "id"])
     got = rows.groupBy("doc_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("id", "_j"))).alias("x"))
     return got.select("doc_id", "chunk_index", F.concat(F.lit(head + "["), F.array_join(F.col("x._j"), ","), F.lit("]")).alias("prompt"))
 
 
+_DIRECTORY = 'List the chapter headings as JSON {"directory": [{"id", "level", "title"}]}, ids from the outline, levels 1 to 4.\n'
+
+
 def directory_prompt(outline: str, known: list[dict] | None = None) -> str:
     """The prompt for a directory of chapters over an outline; with entries: for its check."""
-    head = "List the chapter headings as JSON {\"directory\": [{\"id\", \"level\", \"title\"}]}, ids from the outline, levels 1 to 4.\n"
-    return head + ("" if known is None else "Check and complete:\n" + json.dumps({"directory": known}, ensure_ascii=False) + "\n") + outline
+    return _DIRECTORY + ("" if known is None else "Check and complete:\n" + json.dumps({"directory": known}, ensure_ascii=False) + "\n") + outline
+
+
+def directory_prompts(parts: DataFrame, blocks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_index, prompt) for parts (doc_id, chunk_index, start_id, end_id) of outlines; known: only parts with entries, for their check."""
+    rows = members_of(parts).join(blocks, ["doc_id", "id"]).withColumn("doc_id", _part())
+    outlines = full_text(rows.select("doc_id", *[c for c in ("id", "type", "text", "page_idx", "text_level")]))
+    out = outlines.select("doc_id.doc_id", "doc_id.chunk_index", "outline")
+    if known is None:
+        return out.select("doc_id", "chunk_index", F.concat(F.lit(_DIRECTORY), "outline").alias("prompt"))
+    entry = F.to_json(F.struct(F.col("ids").alias("id"), "level", "title"))
+    shown = known.groupBy("doc_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("j")))).alias("x"))
+    listed = F.concat(F.lit(_DIRECTORY + 'Check and complete:\n{"directory": ['), F.array_join(F.col("x.j"), ", "), F.lit("]}\n"), F.col("outline"))
+    return out.join(shown, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", listed.alias("prompt"))
 
 
+def _part() -> Column:
+    """A part of a document as a key of its own, where operators work document by document."""
+    return F.struct("doc_id", "chunk_index")

@@ -107,12 +107,23 @@ def chunk_membership(spark, sf):
     return chunking.chunk_members(blocks(spark, sf), 20, 5).groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
-@query("token_chunks_greedy")
+_LISTS = "TL AS (SELECT doc_id, list(t ORDER BY id) AS t FROM (SELECT doc_id, id, {} AS t FROM B) GROUP BY doc_id), TC AS (SELECT doc_id, len(t) AS n, [CAST(coalesce(list_sum(t[1 : i]), 0) AS BIGINT) for i in range(0, len(t) + 1)] AS c FROM TL)"
+_FOLD = rf"""WITH RECURSIVE {B}, {_LISTS.format(_BTOK)},
+R AS (SELECT doc_id, n, c, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(least(n, 100, len([x for x in c if x < 400]), greatest(len([x for x in c if x <= 400]) - 1, 1)) AS BIGINT) AS e FROM TC
+UNION ALL SELECT doc_id, n, c, k + 1, s2, CAST(least(n, s2 + 100, len([x for x in c if x < c[s2 + 1] + 400]), greatest(len([x for x in c if x <= c[s2 + 1] + 400]) - 1, s2 + 1)) AS BIGINT) FROM (SELECT *, greatest(e - 30, s + 1) AS s2 FROM R WHERE e < n))
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start_id, CAST(e - 1 AS INTEGER) AS end_id FROM R"""
+_FOLD_LINES = rf"""WITH RECURSIVE {B}, {_LISTS.format(_TOK)},
+R AS (SELECT doc_id, n, c, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(least(n, greatest(len([x for x in c if x <= 3200]) - 1, 1)) AS BIGINT) AS e FROM TC
+UNION ALL SELECT doc_id, n, c, k + 1, s2, CAST(least(n, greatest(len([x for x in c if x <= c[s2 + 1] + 3200]) - 1, e + 1)) AS BIGINT) FROM (SELECT *, greatest(0, len([x for x in c if x <= c[e + 1] - 2000]) - 1) AS s2 FROM R WHERE e < n))
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start_id, CAST(e - 1 AS INTEGER) AS end_id FROM R"""
+
+
+@query("token_chunks_greedy", _FOLD)
 def token_chunks_greedy(spark, sf):
     return chunking.token_chunks(blocks(spark, sf), 100, 30, 400)
 
 
-@query("outline_chunks_greedy")
+@query("outline_chunks_greedy", _FOLD_LINES)
 def outline_chunks_greedy(spark, sf):
     return chunking.outline_chunks(blocks(spark, sf), 4000)
 
@@ -152,9 +163,12 @@ _DIG = r"length(regexp_replace(text, '[^\d]', '', 'g')) / length(text)"
 _PLAIN = f"NOT regexp_matches(text, '(?i)({predicates.STRUCTURAL})')"
 
 
-@query("cleanup_reasons", rf"""WITH {B} SELECT doc_id, id, CASE WHEN regexp_matches(text, '{_alt(predicates.NOISE_WITH_CASE)}') OR regexp_matches(text, '(?i){_alt(predicates.NOISE_ANY_CASE)}') THEN 'noise'
+CLEANUP_SQL = rf"""CASE WHEN regexp_matches(text, '{_alt(predicates.NOISE_WITH_CASE)}') OR regexp_matches(text, '(?i){_alt(predicates.NOISE_ANY_CASE)}') THEN 'noise'
  WHEN length(text) < 2 OR length(text) > 120 THEN 'length' WHEN {_WC} > 16 THEN 'words' WHEN {_DIG} > 0.5 AND {_PLAIN} THEN 'digits'
- WHEN regexp_matches(text, '(?i){predicates.QUESTION_VERB}') AND {_PLAIN} THEN 'question' WHEN regexp_matches(text, '{predicates.FORMULA}') AND {_PLAIN} THEN 'formula' END AS reason FROM B""")
+ WHEN regexp_matches(text, '(?i){predicates.QUESTION_VERB}') AND {_PLAIN} THEN 'question' WHEN regexp_matches(text, '{predicates.FORMULA}') AND {_PLAIN} THEN 'formula' END"""
+
+
+@query("cleanup_reasons", f"WITH {B} SELECT doc_id, id, {CLEANUP_SQL} AS reason FROM B")
 def cleanup_reasons(spark, sf):
     return blocks(spark, sf).select("doc_id", "id", predicates.cleanup_reason("text", "text").alias("reason"))
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
-from pageloom.functions import predicates
-from pageloom.operators import anchors, answers, chapters, chunking, exports, questions as ops
-from pageloom.plans.extraction import chapters_from_answers, extract_questions as extract, rule_chapters
-from pageloom.plans.providers import RuleProvider
-from pageloom.plans.registry import B, C, E, NOISE_SQL, P, Q, blocks, entries, query, questions
-from pageloom.session import table
+from pageloom.functions import predicates, text as text_functions
+from pageloom.operators import anchors, answers, chapters, chunking, exports, questions as ops, text_diff
+from pageloom.plans.extraction import Settings, chapters_from_answers, extract_questions as extract, model_chapters, rule_chapters
+from pageloom.plans.providers import ReplayProvider, RuleProvider
+from pageloom.plans.registry import B, C, E, NOISE_SQL, P, Q, blocks, entries, entries_of, kept_blocks, query, questions
+from pageloom.plans.queries_blocks import CLEANUP_SQL
+from pageloom.session import stored, table
 
 
-def tree(spark, sf):
-    return chapters.flat_map(entries(spark, sf), blocks(spark, sf))
+def tree(spark, sf, b=None):
+    b = kept_blocks(spark, sf) if b is None else b
+    return chapters.flat_map(entries_of(b), b)
 
 
 @query("chapter_ranges", f"WITH {B}, {E}, {C} SELECT doc_id, ord, id, text, level, page, s AS range_start, e AS range_end FROM C")
@@ -45,19 +44,22 @@ def chapter_paths_by_joins(spark, sf):
 
 @query("block_chapter", f"WITH {_AT} SELECT doc_id, id, path FROM M WHERE n = 1")
 def block_chapter(spark, sf):
-    return chapters.chapter_of(blocks(spark, sf).select("doc_id", "id"), chapters.chapter_paths(tree(spark, sf)))
+    b = kept_blocks(spark, sf)
+    return chapters.chapter_of(b.select("doc_id", "id"), chapters.chapter_paths(tree(spark, sf, b)))
 
 
 @query("nearest_chapter", f"WITH {B}, {E}, {C}, M AS (SELECT B.doc_id, B.id, C.text, row_number() OVER (PARTITION BY B.doc_id, B.id ORDER BY C.level DESC NULLS LAST, C.ord) AS n FROM B LEFT JOIN C ON B.doc_id = C.doc_id AND B.id >= C.s AND B.id < C.e) SELECT doc_id, id, text FROM M WHERE n = 1")
 def nearest_chapter(spark, sf):
-    return chapters.chapter_of(blocks(spark, sf).select("doc_id", "id"), tree(spark, sf), value="text")
+    b = kept_blocks(spark, sf)
+    return chapters.chapter_of(b.select("doc_id", "id"), tree(spark, sf, b), value="text")
 
 
 @query("chapter_coverage", f"""WITH {B}, {E}, {C}, X AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS b FROM C), F AS (SELECT doc_id, min(s) AS first FROM C GROUP BY doc_id), K AS (SELECT doc_id, count(*) AS covered FROM X GROUP BY doc_id),
 U AS (SELECT N.doc_id, coalesce(covered, 0) AS covered, total, first, CASE WHEN first IS NULL THEN total ELSE greatest(0, total - first - covered) END AS uncovered FROM N LEFT JOIN F ON N.doc_id = F.doc_id LEFT JOIN K ON N.doc_id = K.doc_id)
 SELECT doc_id, covered, uncovered, CASE WHEN first IS NULL THEN 0.0 WHEN total > first THEN (total - first - uncovered) / (total - first) ELSE 1.0 END::DOUBLE AS coverage_rate FROM U""")
 def chapter_coverage(spark, sf):
-    return chapters.coverage(tree(spark, sf), blocks(spark, sf))
+    b = kept_blocks(spark, sf)
+    return chapters.coverage(tree(spark, sf, b), b)
 
 
 @query("level_histogram", f"WITH {B}, {E} SELECT doc_id, count(*) FILTER (WHERE level = 1) AS l1, count(*) FILTER (WHERE level = 2) AS l2, count(*) FILTER (WHERE level = 3) AS l3, count(*) FILTER (WHERE level = 4) AS l4 FROM E GROUP BY doc_id")
@@ -68,8 +70,9 @@ def level_histogram(spark, sf):
 @query("chapter_validation", f"""WITH {B}, {E}, N AS (SELECT doc_id, count(*) AS total FROM B GROUP BY doc_id), S AS (SELECT E.doc_id, count(*) AS n, count(*) FILTER (WHERE level = 1) AS top, max(CASE WHEN level = 1 THEN id * 2 ELSE id END) AS hi FROM E GROUP BY E.doc_id)
 SELECT S.doc_id, CASE WHEN hi >= total THEN 'unknown_id' WHEN n > 20 AND top / n > 0.5 THEN 'many_top_level' WHEN total > 100 AND n / total > 0.25 THEN 'many_entries' ELSE 'ok' END AS verdict FROM S JOIN N ON S.doc_id = N.doc_id""")
 def chapter_validation(spark, sf):
-    e = entries(spark, sf).withColumn("ids", F.array(F.when(F.col("level") == 1, F.col("ids")[0] * 2).otherwise(F.col("ids")[0])))
-    return chapters.validation(e, blocks(spark, sf))
+    b = kept_blocks(spark, sf)
+    e = entries_of(b).withColumn("ids", F.array(F.when(F.col("level") == 1, F.col("ids")[0] * 2).otherwise(F.col("ids")[0])))
+    return chapters.validation(e, b)
 
 
 _SAME = f"{B}, {E}, D AS (SELECT doc_id, ord, level, title, min(id) OVER (PARTITION BY doc_id, title) AS pid FROM E)"
@@ -89,30 +92,34 @@ def entry_dedup_first_wins(spark, sf):
 
 @query("unknown_ids", f"WITH {B}, {E} SELECT E.doc_id, E.id + 5 AS id FROM E WHERE NOT EXISTS (SELECT 1 FROM B WHERE B.doc_id = E.doc_id AND B.id = E.id + 5)")
 def unknown_ids(spark, sf):
-    return entries(spark, sf).select("doc_id", (F.col("ids")[0] + 5).alias("id")).join(blocks(spark, sf).select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+    b = kept_blocks(spark, sf)
+    return chapters.unknown_ids(entries_of(b).withColumn("ids", F.array(F.col("ids")[0] + 5)), b)
 
 
 @query("entries_in_chunk", f"WITH {B}, {E} SELECT doc_id, ord, level FROM E WHERE id < 20")
 def entries_in_chunk(spark, sf):
-    first = chunking.chunk_members(blocks(spark, sf), 20, 5).where("chunk_index = 0")
-    return chapters.entries_in_chunk(entries(spark, sf), first).select("doc_id", "ord", "level")
+    b = kept_blocks(spark, sf)
+    first = chunking.chunk_members(b, 20, 5).where("chunk_index = 0")
+    return chapters.entries_in_chunk(entries_of(b), first).select("doc_id", "ord", "level")
 
 
 @query("local_id_map", f"WITH {B}, {E}, O AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS place FROM B WHERE length(text) > 40) SELECT E.doc_id, E.ord, coalesce(K.id, O.id) AS id FROM E LEFT JOIN (SELECT doc_id, id FROM B WHERE length(text) > 40) K ON E.doc_id = K.doc_id AND E.id = K.id LEFT JOIN O ON E.doc_id = O.doc_id AND E.id = O.place WHERE coalesce(K.id, O.id) IS NOT NULL")
 def local_id_map(spark, sf):
-    offered = blocks(spark, sf).where(F.length("text") > 40)
-    return chapters.map_local_ids(entries(spark, sf), offered, offered).select("doc_id", "ord", F.col("ids")[0].alias("id"))
+    b = kept_blocks(spark, sf)
+    offered = b.where(F.length("text") > 40)
+    return chapters.map_local_ids(entries_of(b), offered, offered).select("doc_id", "ord", F.col("ids")[0].alias("id"))
 
 
 @query("id_drift", f"WITH {B}, {E}, X AS (SELECT doc_id, min(id) AS lo, max(id) AS hi FROM E GROUP BY doc_id), Y AS (SELECT doc_id, min(id + length(text) * 10) AS least FROM B GROUP BY doc_id) SELECT X.doc_id FROM X JOIN Y ON X.doc_id = Y.doc_id WHERE (hi < 100 AND least > 1000) OR (lo = 0 AND hi < 100 AND least > 500)")
 def id_drift(spark, sf):
-    return chapters.drifted(entries(spark, sf), blocks(spark, sf).withColumn("id", F.col("id") + F.length("text") * 10))
+    b = kept_blocks(spark, sf)
+    return chapters.drifted(entries_of(b), b.withColumn("id", F.col("id") + F.length("text") * 10))
 
 
 @query("round_acceptance", f"""WITH {B}, {E}, R2 AS (SELECT * FROM E WHERE level <= 3), A AS (SELECT doc_id, count(*) AS n1 FROM E GROUP BY doc_id), Z AS (SELECT doc_id, count(*) AS n2 FROM R2 GROUP BY doc_id), G AS (SELECT A.doc_id FROM A JOIN Z ON A.doc_id = Z.doc_id WHERE n2 >= 0.8 * n1)
 SELECT doc_id, ord, level FROM R2 WHERE doc_id IN (SELECT doc_id FROM G) UNION ALL SELECT doc_id, ord, level FROM E WHERE doc_id NOT IN (SELECT doc_id FROM G)""")
 def round_acceptance(spark, sf):
-    e = entries(spark, sf)
+    e = entries_of(kept_blocks(spark, sf))
     return chapters.accept_second(e, e.where("level <= 3")).select("doc_id", "ord", "level")
 
 
@@ -165,7 +172,7 @@ def overlap_pairs_jaccard(spark, sf):
     return ops.id_overlaps(questions(spark, sf), threshold=0.3)
 
 
-@query("greedy_dedup")
+@query("greedy_dedup", f"WITH {B}, {Q} SELECT doc_id, seq, label, question_ids FROM Q WHERE seq % 2 = 0")
 def greedy_dedup(spark, sf):
     return ops.greedy_dedup(questions(spark, sf), threshold=0.3).select("doc_id", "seq", "label", "question_ids")
 
@@ -213,50 +220,77 @@ def export_json(spark, sf):
     return rows.groupBy("doc_id", "total").agg(F.sum(F.length("q.question")).alias("question_length"), F.max(F.col("q.images")[0]).alias("last_image"))
 
 
-@query("extract_questions")
+_EXTRACTED = rf"""WITH {_AT}, V AS (SELECT doc_id, id, type, CASE WHEN length(text) > 60 THEN (id + 1) || '. ' || text ELSE text END AS text FROM B),
+L2 AS (SELECT *, nullif(regexp_extract(text, '^\s*(?:例\s*)?(\d+)[.．、)]', 1), '') AS lab, regexp_matches(text, '^\s*例') AS ex FROM V),
+G AS (SELECT *, max(CASE WHEN lab IS NOT NULL THEN id END) OVER (PARTITION BY doc_id ORDER BY id) AS q FROM L2),
+U AS (SELECT doc_id, q, max(id) AS last, string_agg(id, ',' ORDER BY id) AS ids, string_agg(CASE WHEN type = 'equation' AND length(text) > 4096 THEN substr(text, 1, 4096) || '{answers.CUT_MARK}' ELSE text END, chr(10) ORDER BY id) AS body, max(CASE WHEN id = q THEN lab END) AS label, bool_or(id = q AND ex) AS ex FROM G WHERE q IS NOT NULL GROUP BY ALL),
+N1 AS (SELECT doc_id, count(*) AS n FROM B GROUP BY doc_id),
+W AS (SELECT doc_id, k AS chunk, k * 70 AS lo, least(k * 70 + 100, n) - 1 AS hi FROM (SELECT doc_id, n, unnest(range(0, 1 + greatest(0, CAST(ceil((n - 100) / 70.0) AS BIGINT)))) AS k FROM N1)),
+R AS (SELECT U.*, row_number() OVER (PARTITION BY U.doc_id ORDER BY chunk, q) AS seq FROM U JOIN W ON U.doc_id = W.doc_id AND q >= lo AND last <= hi),
+K AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q ORDER BY seq) AS copy FROM R),
+F1 AS (SELECT K.*, M.path FROM K LEFT JOIN M ON K.doc_id = M.doc_id AND K.q = M.id AND M.n = 1 WHERE copy = 1),
+F2 AS (SELECT *, contains(path, ' > ') AS long, regexp_matches(path, '{predicates.any_of(predicates.STRUCTURAL_TITLES)}') AS st FROM F1),
+F3 AS (SELECT *, CASE WHEN path IS NULL OR trim(path) = '' OR {NOISE_SQL.format('path')} OR (NOT long AND (length(path) < 2 OR length(path) > 120 OR len(regexp_split_to_array(path, '\s+')) > 16)) OR (length(regexp_replace(path, '[^\d]', '', 'g')) / length(path) > 0.5 AND NOT st)
+ OR (regexp_matches(path, '(?i){predicates.QUESTION_VERB}') AND NOT st) OR (NOT long AND regexp_matches(path, '{predicates.FORMULA}') AND NOT st) THEN NULL ELSE regexp_replace(trim(path), '\s+', ' ', 'g') END AS t FROM F2)
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, label, CASE WHEN ex THEN 'example' ELSE 'exercise' END AS type, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS chapter_title, regexp_replace(body, '^\s+|\s+$', '', 'g') AS question, ids AS question_ids, false AS has_answer
+FROM F3 QUALIFY length(trim(body)) >= 5"""
+
+
+#: The tree of this query is made of the numbered texts.
+_EXTRACTED = _EXTRACTED.replace("substr(B.text, 1, 80)", "substr(CASE WHEN length(B.text) > 60 THEN (B.id + 1) || '. ' || B.text ELSE B.text END, 1, 80)")
+
+
+@query("extract_questions", _EXTRACTED)
 def extract_questions(spark, sf):
     """End to end: every sentence that begins a line is numbered as a question, rules stand in for the model."""
-    b = blocks(spark, sf).withColumn("text", F.when(F.length("text") > 60, F.concat(F.col("id") + 1, F.lit(". "), "text")).otherwise(F.col("text")))
-    return extract(b, RuleProvider(), chapters.flat_map(entries(spark, sf), b)).select("doc_id", "seq", "label", "type", "chapter_title", "question", "question_ids", "has_answer")
+    plain = kept_blocks(spark, sf)
+    b = plain.withColumn("text", F.when(F.length("text") > 60, F.concat(F.col("id") + 1, F.lit(". "), "text")).otherwise(F.col("text")))
+    made = extract(b, RuleProvider(), chapters.flat_map(entries_of(plain), b))
+    return made.select("doc_id", "seq", "label", "type", "chapter_title", "question", "question_ids", "has_answer")
 
 
 @query("json_repair")
 def json_repair(spark, sf):
     """Directory answers cut at every place that their document's id gives, mended and read."""
-    e = entries(spark, sf).select("doc_id", "ord", F.to_json(F.struct(F.col("ids")[0].alias("id"), "level", "title")).alias("j"))
-    a = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "j"))).alias("x"))
-    text = F.concat(F.lit('{"directory": ['), F.array_join(F.col("x.j"), ", "), F.lit("]}"))
-    cut = a.select("doc_id", text.alias("t")).select("doc_id", F.expr("substring(t, 1, length(t) - doc_id % 50)").alias("output"))
+    cut = _directories(blocks(spark, sf)).withColumnRenamed("output", "t").select("doc_id", F.expr("substring(t, 1, length(t) - doc_id % 50)").alias("output"))
     return answers.directory_entries(cut)
 
 
-@query("chapters_from_answers")
-def chapters_of_answers(spark, sf):
-    e = entries(spark, sf).select("doc_id", "ord", F.to_json(F.struct(F.col("ids")[0].alias("id"), "level", "title")).alias("j"))
+_ANSWERED = rf"""WITH {B}, {E.replace("E AS", "E0 AS")}, R0 AS (SELECT E0.*, B.text, {CLEANUP_SQL} AS reason FROM E0 JOIN B ON E0.doc_id = B.doc_id AND E0.id = B.id),
+S0 AS (SELECT R0.doc_id, count(*) AS n, count(*) FILTER (WHERE level = 1) AS top, max(total) AS total FROM R0 JOIN (SELECT doc_id, count(*) AS total FROM B GROUP BY doc_id) T0 ON R0.doc_id = T0.doc_id WHERE reason IS NULL GROUP BY R0.doc_id),
+E AS (SELECT R0.doc_id, row_number() OVER (PARTITION BY R0.doc_id ORDER BY ord) - 1 AS rank, ord, id, level, title FROM R0 JOIN S0 ON R0.doc_id = S0.doc_id WHERE reason IS NULL AND NOT (n > 20 AND top / n > 0.5) AND NOT (total > 100 AND n / total > 0.25)), {C}
+SELECT doc_id, id, text, level, (SELECT id FROM C u WHERE u.doc_id = C.doc_id AND u.ord = C.parent_id) AS parent_id FROM C"""
+
+
+def _directories(b):
+    """Directory answers that name all entries of each document."""
+    e = entries_of(b).select("doc_id", "ord", F.to_json(F.struct(F.col("ids")[0].alias("id"), "level", "title")).alias("j"))
     a = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "j"))).alias("x"))
-    raw = a.select("doc_id", F.concat(F.lit('{"directory": ['), F.array_join(F.col("x.j"), ", "), F.lit("]}")).alias("output"))
-    return chapters_from_answers(raw, raw, blocks(spark, sf)).select("doc_id", "ord", "id", "text", "level", "parent_id")
+    return a.select("doc_id", F.concat(F.lit('{"directory": ['), F.array_join(F.col("x.j"), ", "), F.lit("]}")).alias("output"))
 
 
-@query("line_diff")
-def line_diff(spark, sf):
-    """(doc_id, same, added, removed): lines of each document against those of its refined form."""
-    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\bthe ", "").alias("b"))
+@query("chapters_from_answers", _ANSWERED)
+def chapters_of_answers(spark, sf):
+    b = kept_blocks(spark, sf)
+    raw = _directories(b)
+    return chapters_from_answers(raw, raw, b).select("doc_id", "id", "text", "level", "parent_id")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, a, b in zip(pdf["doc_id"], pdf["a"], pdf["b"], strict=True):
-                kinds = [x[0] for x in difflib.ndiff(a.split("\n"), b.split("\n"), charjunk=None)] if len(a) < 2000 else _blocks(a.split("\n"), b.split("\n"))
-                out.append((i, kinds.count(" "), kinds.count("+"), kinds.count("-")))
-            yield pd.DataFrame(out, columns=["doc_id", "same", "added", "removed"])
 
-    return d.mapInPandas(run, "doc_id long, same long, added long, removed long")
+@query("model_chapters", _ANSWERED)
+def model_chapters_replayed(spark, sf):
+    """Two rounds of a model, replayed: every first answer is cut short and asked for again."""
+    b = kept_blocks(spark, sf)
+    whole = _directories(b).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(1).alias("attempt"), "output", F.lit(True).alias("success"))
+    short = whole.withColumn("attempt", F.lit(0)).withColumn("output", F.lit("no answer"))
+    both = stored(whole.unionByName(short), "responses")
+    return model_chapters(b, ReplayProvider(both), ReplayProvider(both), context=100_000_000).select("doc_id", "id", "text", "level", "parent_id")
 
 
-def _blocks(a, b):
-    same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    return [" "] * same + ["-"] * (len(a) - same) + ["+"] * (len(b) - same)
+@query("line_diff")
+def line_diff(spark, sf):
+    """(doc_id, same, added, removed): lines of each document against those of its refined form."""
+    text = F.coalesce("text", F.lit(""))
+    return text_diff.line_diff(table(spark, sf, "documents").select("doc_id", text.alias("a"), F.regexp_replace(text, r"\bthe ", "").alias("b")))
 
 
 @query("line_diff_multiset", r"""WITH A AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), Z AS (SELECT regexp_replace(unnest(string_split(text, chr(10))), 'the ', '', 'g') AS line FROM documents),
@@ -269,28 +303,24 @@ def line_diff_multiset(spark, sf):
     return gone.groupBy("line").agg(F.count("*").alias("n")).select(F.lit("removed").alias("change"), "line", "n").union(new.groupBy("line").agg(F.count("*").alias("n")).select(F.lit("added").alias("change"), "line", "n"))
 
 
-def headed(spark, sf):
+def headed(spark, sf, b=None):
     """Blocks with a chapter heading, a section number or a contents entry put before short lines."""
     n = F.length("text")
     head = F.when((F.col("page_idx") == 0) & (F.col("id") == 0), F.lit("Contents")).when((F.col("page_idx") == 0) & (n < 120), F.concat(F.lit("Unit "), F.col("id"), F.lit(" "), F.substring("text", 1, 30), F.lit(" "), F.col("id") + 1))
-    late = F.when((n % 11 == 0), F.concat(F.lit("Chapter "), F.col("id"))).when(n % 11 == 1, F.concat(F.lit("Section "), F.col("id"), F.lit(" "), "text")).when(n % 11 == 2, F.concat(F.col("id"), F.lit(".1 "), F.initcap(F.substring("text", 1, 40))))
-    return blocks(spark, sf).withColumn("text", F.coalesce(head, late, F.col("text")))
+    late = F.when((n % 11 == 0), F.concat(F.lit("Chapter "), F.col("id"))).when(n % 11 == 1, F.concat(F.lit("Section "), F.col("id"), F.lit(" "), "text")).when(n % 11 == 2, F.concat(F.col("id"), F.lit(".1 Part "), F.substring("text", 1, 40)))
+    return (blocks(spark, sf) if b is None else b).withColumn("text", F.coalesce(head, late, F.col("text")))
 
 
 _HEAD = r"""H AS (SELECT doc_id, id, type, page_idx, CASE WHEN page_idx = 0 AND id = 0 THEN 'Contents' WHEN page_idx = 0 AND length(text) < 120 THEN 'Unit ' || id || ' ' || substr(text, 1, 30) || ' ' || (id + 1)
- WHEN length(text) % 11 = 0 THEN 'Chapter ' || id WHEN length(text) % 11 = 1 THEN 'Section ' || id || ' ' || text WHEN length(text) % 11 = 2 THEN NULL ELSE text END AS text FROM B)"""
+ WHEN length(text) % 11 = 0 THEN 'Chapter ' || id WHEN length(text) % 11 = 1 THEN 'Section ' || id || ' ' || text WHEN length(text) % 11 = 2 THEN id || '.1 Part ' || substr(text, 1, 40) ELSE text END AS text FROM B)"""
 _CASES = lambda i: " ".join(f"WHEN regexp_matches(text, '{h[2]}') THEN {h[i]}" for h in anchors.HEADINGS)
 _NOISY = f"(regexp_matches(text, '(?i){predicates.any_of(predicates.TITLE_NOISE_ANY_CASE)}') OR regexp_matches(text, '{predicates.any_of(predicates.TITLE_NOISE_WITH_CASE)}'))"
-_ANCH = f"A AS (SELECT doc_id, id AS block_id, page_idx AS page, text, CASE {_CASES(0)} END AS level, CAST(CASE {_CASES(1)} END AS DOUBLE) AS confidence FROM H WHERE length(text) BETWEEN 3 AND 200 AND NOT {_NOISY})"
-
+_ANCH = f"A AS (SELECT doc_id, id AS block_id, page_idx AS page, trim(text) AS text, CASE {_CASES(0)} END AS level, CAST(CASE {_CASES(1)} END AS DOUBLE) AS confidence FROM H WHERE length(text) BETWEEN 3 AND 200 AND NOT {_NOISY})"
 
-def _seen(spark, sf):
-    return headed(spark, sf).where(~(F.col("text").rlike(r"^\d+\.1 ")))
 
-
-@query("pattern_anchors", f"WITH {B}, {_HEAD}, {_ANCH} SELECT doc_id, block_id, page, text, level, confidence FROM A WHERE level IS NOT NULL AND NOT regexp_matches(text, '^\\d+\\.1 ')")
+@query("pattern_anchors", f"WITH {B}, {_HEAD}, {_ANCH} SELECT doc_id, block_id, page, text, level, confidence FROM A WHERE level IS NOT NULL")
 def pattern_anchors(spark, sf):
-    return anchors.pattern_anchors(_seen(spark, sf)).select("doc_id", "block_id", "page", "text", "level", "confidence")
+    return anchors.pattern_anchors(headed(spark, sf)).select("doc_id", "block_id", "page", "text", "level", "confidence")
 
 
 @query("noisy_headings", f"WITH {B} SELECT doc_id, id, {_NOISY} AS noisy FROM (SELECT doc_id, id, CASE id % 3 WHEN 0 THEN 'Step 2 ' ELSE '' END || text AS text FROM B)")
@@ -298,7 +328,7 @@ def noisy_headings(spark, sf):
     return blocks(spark, sf).select("doc_id", "id", predicates.noisy_heading(F.concat(F.when(F.col("id") % 3 == 0, "Step 2 ").otherwise(""), "text")).alias("noisy"))
 
 
-_MERGED = r"""F AS (SELECT * FROM A WHERE level IS NOT NULL AND NOT regexp_matches(text, '^\d+\.1 ') AND NOT (regexp_matches(text, '(?i)^Chapter\s+\d+\s+\w{2,}') AND length(text) > 30)),
+_MERGED = r"""F AS (SELECT * FROM A WHERE level IS NOT NULL AND NOT (regexp_matches(text, '(?i)^Chapter\s+\d+\s+\w{2,}') AND length(text) > 30)),
 G AS (SELECT *, lead(level) OVER w AS nl, lead(block_id) OVER w AS nb FROM F WINDOW w AS (PARTITION BY doc_id ORDER BY block_id)),
 G2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, level ORDER BY block_id) AS k FROM G WHERE NOT coalesce(regexp_matches(text, '(?i)^(Chapter|Unit|Part|Topic)\s+\d+\s*$') AND nl = level AND nb - block_id <= 2, false)),
 M AS (SELECT doc_id, block_id, page, level, confidence FROM G2 WHERE k <= 3)"""
@@ -306,23 +336,23 @@ M AS (SELECT doc_id, block_id, page, level, confidence FROM G2 WHERE k <= 3)"""
 
 @query("anchor_merge", f"WITH {B}, {_HEAD}, {_ANCH}, {_MERGED} SELECT * FROM M")
 def anchor_merge(spark, sf):
-    return anchors.merge_anchors(anchors.pattern_anchors(_seen(spark, sf))).select("doc_id", "block_id", "page", "level", "confidence")
+    return anchors.merge_anchors(anchors.pattern_anchors(headed(spark, sf))).select("doc_id", "block_id", "page", "level", "confidence")
 
 
-@query("anchor_tree", f"""WITH {B}, {_HEAD}, {_ANCH}, {_MERGED}, N AS (SELECT doc_id, count(*) AS total FROM H WHERE text IS NOT NULL AND NOT regexp_matches(text, '^\\d+\\.1 ') GROUP BY doc_id), O AS (SELECT M.*, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS INTEGER) AS ord FROM M)
+@query("anchor_tree", f"""WITH {B}, {_HEAD}, {_ANCH}, {_MERGED}, N AS (SELECT doc_id, count(*) AS total FROM H GROUP BY doc_id), O AS (SELECT M.*, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS INTEGER) AS ord FROM M)
 SELECT a.doc_id, a.ord, a.level, a.block_id AS range_start, CAST(coalesce((SELECT min(b.block_id) FROM O b WHERE b.doc_id = a.doc_id AND b.ord > a.ord AND b.level <= a.level), N.total) AS INTEGER) AS range_end,
  (SELECT max(b.ord) FROM O b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.level < a.level) AS parent_id FROM O a JOIN N ON a.doc_id = N.doc_id""")
 def anchor_tree(spark, sf):
-    b = _seen(spark, sf)
+    b = headed(spark, sf, kept_blocks(spark, sf))
     t = anchors.anchor_tree(anchors.merge_anchors(anchors.pattern_anchors(b)), b)
     return t.select("doc_id", "ord", "level", F.col("block_range.start").alias("range_start"), F.col("block_range.end").alias("range_end"), "parent_id")
 
 
-@query("gap_regions", f"""WITH {B}, {_HEAD}, {_ANCH}, X AS (SELECT DISTINCT doc_id, id // 2 AS page FROM B), S AS (SELECT DISTINCT doc_id, unnest(range(block_id // 2 - 3, block_id // 2 + 4)) AS page FROM A WHERE level IS NOT NULL AND NOT regexp_matches(text, '^\\d+\\.1 ') AND confidence >= 0.7),
+@query("gap_regions", f"""WITH {B}, {_HEAD}, {_ANCH}, X AS (SELECT DISTINCT doc_id, id // 2 AS page FROM B), S AS (SELECT DISTINCT doc_id, unnest(range(block_id // 2 - 3, block_id // 2 + 4)) AS page FROM A WHERE level IS NOT NULL AND confidence >= 0.7),
 R AS (SELECT X.doc_id, X.page, S.page AS hit, count(S.page) OVER w AS island, lead(X.page) OVER w AS nxt FROM X LEFT JOIN S ON X.doc_id = S.doc_id AND X.page = S.page WINDOW w AS (PARTITION BY X.doc_id ORDER BY X.page))
 SELECT doc_id, CAST(min(page) AS INTEGER) AS start_page, CAST(max_by(coalesce(nxt - 1, page), page) AS INTEGER) AS end_page FROM R WHERE hit IS NULL GROUP BY doc_id, island HAVING end_page - start_page >= 5""")
 def gap_regions(spark, sf):
-    a = anchors.pattern_anchors(_seen(spark, sf)).withColumn("page", F.floor(F.col("block_id") / 2).cast("int"))
+    a = anchors.pattern_anchors(headed(spark, sf)).withColumn("page", F.floor(F.col("block_id") / 2).cast("int"))
     return anchors.gap_regions(blocks(spark, sf).withColumn("page_idx", F.floor(F.col("id") / 2).cast("int")), a)
 
 
@@ -334,15 +364,30 @@ def page_windows(spark, sf):
 _ENTRY = f"(length(text) >= 3 AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT)}') AND (regexp_matches(text, '{predicates.any_of(anchors.ENTRY_WITH_CASE)}') OR regexp_matches(text, '(?i){predicates.any_of(anchors.ENTRY_ANY_CASE)}')))"
 
 
-@query("contents_entries", rf"""WITH {B}, {_HEAD}, D AS (SELECT doc_id FROM H WHERE page_idx <= 1 GROUP BY doc_id HAVING count(*) FILTER (WHERE {_ENTRY}) >= 5 AND bool_or(page_idx = 0)),
+_MARK = r"(regexp_matches(text, '{0}') OR regexp_matches(trim(regexp_replace(text, '^[>\-\s–—•·*#]+', '')), '{0}'))".format(anchors.CONTENTS_MARK)
+#: Contents pages in SQL: view CP(doc_id, page_idx), after H.
+_PAGES = rf"""PG AS (SELECT doc_id, page_idx, count(*) FILTER (WHERE {_ENTRY}) AS n, count(*) FILTER (WHERE {_ENTRY} OR regexp_matches(text, '^\d+(\.\d+)*\s+[A-Z]')) AS m, bool_or({_MARK}) AS mark FROM H WHERE page_idx <= 30 GROUP BY ALL),
+PA AS (SELECT *, CASE WHEN lead(page_idx) OVER w = page_idx + 1 THEN lead(n) OVER w END AS nxt FROM PG WINDOW w AS (PARTITION BY doc_id ORDER BY page_idx)),
+PS AS (SELECT doc_id, coalesce(min(page_idx) FILTER (WHERE mark AND n + coalesce(nxt, 0) >= 5), min(page_idx) FILTER (WHERE page_idx <= 15 AND n >= 8)) AS st FROM PA GROUP BY doc_id),
+PR AS (SELECT PG.doc_id, page_idx, page_idx - st - row_number() OVER (PARTITION BY PG.doc_id ORDER BY page_idx) + 1 AS gap FROM PG JOIN PS ON PG.doc_id = PS.doc_id WHERE page_idx BETWEEN st AND least(st + 10, 30) AND (page_idx = st OR m >= 3)),
+CP AS (SELECT doc_id, page_idx FROM PR WHERE gap = 0)"""
+
+
+@query("contents_pages", f"WITH {B}, {_HEAD}, {_PAGES} SELECT doc_id, page_idx FROM CP")
+def contents_pages(spark, sf):
+    return anchors.contents_pages(headed(spark, sf))
+
+
+@query("contents_entries", rf"""WITH {B}, {_HEAD}, {_PAGES},
 K AS (SELECT H.*, regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$') AS wide, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 1) AS t1, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 2) AS n1,
- regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 1) AS t2, regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 2) AS n2 FROM H JOIN D ON H.doc_id = D.doc_id AND H.page_idx = 0)
-SELECT doc_id, id, regexp_replace(trim(regexp_replace(trim(CASE WHEN wide THEN t1 WHEN length(t2) > 3 THEN t2 ELSE text END), '\.{{2,}}$', '')), '([0-9])([A-Z])', '\1 \2', 'g') AS title, TRY_CAST(CASE WHEN wide THEN n1 WHEN length(t2) > 3 THEN n2 END AS INTEGER) AS page_number
-FROM K WHERE text LIKE 'Unit %' AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT + anchors.IMPRINT_MORE)}')""")
+ regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 1) AS t2, regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 2) AS n2, trim(regexp_replace(text, '^[>\-\s]+', '')) AS bare FROM H JOIN CP ON H.doc_id = CP.doc_id AND H.page_idx = CP.page_idx),
+T2 AS (SELECT doc_id, id, page_idx, regexp_replace(trim(regexp_replace(trim(CASE WHEN wide THEN t1 WHEN length(t2) > 3 THEN t2 ELSE text END), '\.{{2,}}$', '')), '([0-9])([A-Z])', '\1 \2', 'g') AS title, TRY_CAST(CASE WHEN wide THEN n1 WHEN length(t2) > 3 THEN n2 END AS INTEGER) AS page_number
+ FROM K WHERE length(text) >= 2 AND NOT regexp_matches(bare, '(?i)^(table\s+of\s+)?contents?$') AND bare <> '目录' AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT + anchors.IMPRINT_MORE)}'))
+SELECT doc_id, id, title, page_number, CASE {' '.join(f"WHEN regexp_matches(title, '{p}') THEN {k}" for k, p in anchors.ENTRY_LEVELS)} ELSE 1 END AS level, page_idx AS source_page
+FROM T2 WHERE length(title) BETWEEN 2 AND 120 AND NOT regexp_matches(title, '(?i){predicates.any_of(anchors.FRONT_MATTER)}')""")
 def contents_entries(spark, sf):
-    b = headed(spark, sf)
-    e = anchors.contents_entries(b, anchors.contents_pages(b).where("page_idx = 0"))
-    return e.where("title like 'Unit %'").select("doc_id", "id", "title", "page_number")
+    b = headed(spark, sf, kept_blocks(spark, sf))
+    return anchors.contents_entries(b, anchors.contents_pages(b))
 
 
 @query("page_offset_mode", rf"""WITH {B}, X AS (SELECT doc_id, id, page_idx, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s一-鿿]', '', 'g')) AS t FROM B),
@@ -351,14 +396,14 @@ M AS (SELECT a.doc_id, a.k, a.page_idx - a.doc_id % 5 AS printed, arg_min(b.page
 O AS (SELECT doc_id, page - printed AS o, count(*) AS n, min(k) AS k FROM M GROUP BY ALL)
 SELECT doc_id, CAST(o AS BIGINT) AS page_offset FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM O) WHERE r = 1""")
 def page_offset_mode(spark, sf):
-    b = blocks(spark, sf)
+    b = kept_blocks(spark, sf)
     printed = b.select("doc_id", "id", F.col("text").alias("title"), (F.col("page_idx") - F.pmod("doc_id", F.lit(5))).alias("page_number"))
     return anchors.page_offsets(printed, b)
 
 
 @query("rule_tree")
 def rule_tree(spark, sf):
-    return rule_chapters(headed(spark, sf))
+    return rule_chapters(headed(spark, sf, kept_blocks(spark, sf)))
 
 
 @query("total_pages", f"WITH {B} SELECT doc_id, max(page_idx) + 1 AS total_pages FROM B GROUP BY doc_id")
@@ -366,17 +411,15 @@ def total_pages(spark, sf):
     return anchors.total_pages(blocks(spark, sf))
 
 
-@query("page_density", f"WITH {B}, {_HEAD} SELECT doc_id, page_idx, count(*) AS blocks, count(*) FILTER (WHERE {_ENTRY}) AS entries, md5(string_agg(id, ',' ORDER BY id)) AS digest FROM H WHERE page_idx = 0 OR text IS NOT NULL GROUP BY ALL")
+@query("page_density", f"WITH {B}, {_HEAD} SELECT doc_id, page_idx, count(*) AS blocks, count(*) FILTER (WHERE {_ENTRY}) AS entries, md5(string_agg(id, ',' ORDER BY id)) AS digest FROM H GROUP BY ALL")
 def page_density(spark, sf):
-    b = headed(spark, sf).where(~((F.col("page_idx") > 0) & F.col("text").rlike(r"^\d+\.1 ")))
-    lost = (F.col("page_idx") == 0) & F.col("text").rlike(r"^\d+\.1 ")
-    d = anchors.page_density(b.withColumn("text", F.when(~lost, F.col("text"))))
+    d = anchors.page_density(headed(spark, sf))
     return d.select("doc_id", "page_idx", "blocks", "entries", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
 
 
 @query("unmatched_titles", f"WITH {B}, {E} SELECT DISTINCT doc_id, title FROM E WHERE NOT EXISTS (SELECT 1 FROM E x WHERE x.doc_id = E.doc_id AND x.title = E.title AND x.level = 1)")
 def unmatched_titles(spark, sf):
-    e = entries(spark, sf)
+    e = entries_of(kept_blocks(spark, sf))
     return anchors.unmatched_titles(e, e.where("level = 1"))
 
 
@@ -391,21 +434,32 @@ def window_headings(spark, sf):
     return anchors.window_headings(a, w, b).select("doc_id", "block_id", "page", "title", "level", F.col("confidence").cast("double"))
 
 
-@query("anchors_of_contents", f"WITH {B} SELECT doc_id, id AS entry, 'toc_match' AS source FROM B WHERE length(trim(regexp_replace(text, '[^A-Za-z0-9_\\s一-鿿]', '', 'g'))) > 0")
+_SET = r"list_distinct(regexp_split_to_array({}, '\s+'))"
+
+
+@query("anchors_of_contents", rf"""WITH {B}, X AS (SELECT doc_id, id, page_idx, text, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s一-鿿]', '', 'g')) AS t, regexp_extract(text, '^(\d+(?:\.\d+)*)', 1) AS num FROM B),
+S AS (SELECT *, {_SET.format('t')} AS w FROM X),
+J AS (SELECT a.doc_id, a.id AS entry, b.id AS block_id, b.page_idx AS page, a.num, b.text, a.t AS ta, b.t AS tb, CASE WHEN a.t = '' OR b.t = '' THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS s FROM S a JOIN S b ON a.doc_id = b.doc_id AND b.page_idx BETWEEN a.page_idx - 1 AND a.page_idx + 1 WHERE a.t <> ''),
+R AS (SELECT *, tb <> '' AND (contains(tb, ta) OR contains(ta, tb)) AND s > 0 AS i, num <> '' AND (starts_with(text, num || ' ') OR starts_with(text, num || '.')) AS n, length(text) BETWEEN 3 AND 200 AND s > 0.6 AS c FROM J),
+P1 AS (SELECT doc_id, entry, max(CASE WHEN i THEN {{'s': s, 'o': -block_id, 'b': block_id, 'p': page}} END) AS x1, max(CASE WHEN n THEN {{'s': s, 'o': -block_id, 'b': block_id, 'p': page}} END) AS x2, max(CASE WHEN c THEN {{'s': s, 'o': -block_id, 'b': block_id, 'p': page}} END) AS x3 FROM R GROUP BY ALL),
+P2 AS (SELECT *, coalesce(coalesce(x1.s, 0) < 0.8 AND x2.s > CASE WHEN x1 IS NULL THEN 0.5 ELSE x1.s END, false) AS two FROM P1),
+P3 AS (SELECT *, CASE WHEN two THEN x2 ELSE x1 END AS y, CASE WHEN two THEN greatest(x2.s, 0.7) ELSE x1.s END AS conf FROM P2),
+P4 AS (SELECT doc_id, entry, CASE WHEN three THEN x3 ELSE y END AS y, CASE WHEN three THEN x3.s ELSE conf END AS conf FROM (SELECT *, coalesce(coalesce(conf, 0) < 0.6 AND x3.s > coalesce(conf, 0), false) AS three FROM P3))
+SELECT doc_id, entry, y.b AS block_id, y.p AS page, CAST(conf AS DOUBLE) AS confidence, 'toc_match' AS source FROM P4 WHERE y IS NOT NULL""")
 def anchors_of_contents(spark, sf):
-    """Every line as its own contents entry: each one is met by itself at least."""
-    b = blocks(spark, sf)
-    e = b.where("length(trim(regexp_replace(text, '[^A-Za-z0-9_\\\\s\u4e00-\u9fff]', ''))) > 0").select("doc_id", "id", F.col("text").alias("title"), F.col("page_idx").alias("page_number"), F.lit(1).alias("level"))
+    """Every line as its own contents entry, looked for on its page and its neighbours."""
+    b = kept_blocks(spark, sf)
+    e = b.where(text_functions.normal_title("text") != "").select("doc_id", "id", F.col("text").alias("title"), F.col("page_idx").alias("page_number"), F.lit(1).alias("level"))
     zero = b.select("doc_id").distinct().withColumn("page_offset", F.lit(0))
-    return anchors.match_contents(e, b, zero).select("doc_id", "entry", "source")
+    return anchors.match_contents(e, b, zero, reach=1).select("doc_id", "entry", "block_id", "page", "confidence", "source")
 
 
-@query("chapter_dispatch", rf"""WITH {B}, {_HEAD}, D AS (SELECT doc_id FROM H WHERE page_idx <= 1 GROUP BY doc_id HAVING count(*) FILTER (WHERE {_ENTRY}) >= 5 AND bool_or(page_idx = 0))
-SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM D) AS use_contents, true AS use_patterns, doc_id NOT IN (SELECT doc_id FROM D) AS use_model FROM B""")
+@query("chapter_dispatch", f"WITH {B}, {_HEAD}, {_PAGES} SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM CP) AS use_contents, true AS use_patterns, doc_id NOT IN (SELECT doc_id FROM CP) AS use_model FROM B")
 def chapter_dispatch(spark, sf):
-    return anchors.dispatch(headed(spark, sf))
+    return anchors.dispatch(headed(spark, sf, kept_blocks(spark, sf)))
 
 
 @query("coverage_of_all", f"WITH {B}, {E}, {C}, X AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS b FROM C), K AS (SELECT doc_id, count(*) AS covered FROM X GROUP BY doc_id) SELECT N.doc_id, coalesce(covered, 0) / total AS coverage_rate FROM N LEFT JOIN K ON N.doc_id = K.doc_id")
 def coverage_of_all(spark, sf):
-    return chapters.coverage_of_all(tree(spark, sf), blocks(spark, sf))
+    b = kept_blocks(spark, sf)
+    return chapters.coverage_of_all(tree(spark, sf, b), b)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import word_count
 from pageloom.operators.blocks import line_blocks
-from pageloom.session import table
+from pageloom.session import dealt, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,12 @@ def query(name: str, sql: str | None = None):
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a block."""
-    return line_blocks(table(spark, sf_dir, "documents"))
+    return line_blocks(dealt(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def kept_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for queries that read them several times."""
+    return stored(blocks(spark, sf_dir), "blocks")
 
 
 #: The same in SQL: view B(doc_id, id, type, text, page_idx).
@@ -40,8 +45,12 @@ B AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries_of(blocks(spark, sf_dir))
+
+
+def entries_of(b: DataFrame) -> DataFrame:
     """Short lines as chapter entries: level by their number of words, in the order of the blocks."""
-    b = blocks(spark, sf_dir).withColumn("wc", word_count("text")).where("wc <= 8")
+    b = b.withColumn("wc", word_count("text")).where("wc <= 8")
     level = F.ceil(F.col("wc") / 2).cast("int")
     return b.select("doc_id", F.col("id").alias("ord"), F.array("id").alias("ids"), level.alias("level"), F.concat(F.lit("T "), "text").alias("title"))
 

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if named is None:
         current = context._jsc.sc().getCheckpointDir()
+        if current.isEmpty() and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="pageloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -40,6 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The frame dealt out by a key where its input has fewer splits than would keep the cores busy.
+
+    Steps that group by the key then need no shuffle of their own. Inputs of many splits stay as they are.
+    """
+    few = df.rdd.getNumPartitions() < 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
+
+
 def stored(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
     """The frame written as a compressed table in the shared folder, and read again; its path goes to ``made``."""
     path = scratch_path(df.sparkSession, label)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pageloom.functions.predicates import SanityRules, TitleRules
 from pageloom.operators.blocks import RAW_BLOCK
 
 MODEL = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("supports_vision", T.BooleanType()), T.StructField("recommended", T.BooleanType()), T.StructField("context_window", T.IntegerType())])
-PRESET = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("base_url", T.StringType()), T.StructField("models", T.ArrayType(MODEL))])
+#: Characters of an address by which presets and configurations meet.
+KEY = 6
+PRESET = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("base_url", T.StringType()), T.StructField("models", T.ArrayType(MODEL))])
 
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:
@@ -26,6 +29,29 @@ def parse_layouts(rows: DataFrame, text: str = "json") -> DataFrame:
     return rows.select("doc_id", F.from_json(text, T.ArrayType(RAW_BLOCK), {"mode": "PERMISSIVE"}).alias("blocks"))
 
 
+def candidate_paths(path: str, roots: list[str], upload: str = "uploads") -> list[str]:
+    """Where a stored path may lie: from its upload folder on below each root, below the roots as it is, in their upload folders, and by itself."""
+    if "://" in path:
+        return [path]
+    bare, out = path.lstrip("/"), []
+    if f"/{upload}/" in path:
+        out += [f"{r.rstrip('/')}/{path[path.index(upload + '/'):]}" for r in roots]
+    out += [f"{r.rstrip('/')}/{bare}" for r in roots] + [f"{r.rstrip('/')}/{upload}/{bare}" for r in roots]
+    return list(dict.fromkeys([*out, path] if path.startswith("/") else out))
+
+
+def result_candidates(path: str | None, folder: str, name: str, roots: list[str], upload: str = "uploads") -> list[str]:
+    """Where a task's result file may lie: its stored path, then the results folder of the task's source folder."""
+    below = [f"{r.rstrip('/')}/{mid}{folder}/results/{name}" for mid in (f"{upload}/tasks/", f"{upload}/", "") for r in roots]
+    return ([path] if path else []) + below + [f"{folder}/results/{name}"]
+
+
+def result_text(spark: SparkSession, candidates: list[str], fetch: Callable[[], str] | None = None) -> DataFrame | None:
+    """(value) of a result file, from the first candidate that exists, else from the caller's function (as for an object store's address)."""
+    found = read_first(spark, candidates)
+    return spark.createDataFrame([(fetch(),)], "value string") if found is None and fetch is not None else found
+
+
 def read_first(spark: SparkSession, candidates: list[str], reader=None) -> DataFrame | None:
     """The first of some paths that exists on its Hadoop file system."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -95,8 +121,14 @@ def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def presets(spark: SparkSession, records: list[dict]) -> DataFrame:
-    """A preset catalog from its owner's records (id, name, base_url, models)."""
-    return spark.createDataFrame(records, PRESET)
+    """A preset catalog from its owner's records (id, name, base_url, models); ord is their order."""
+    return spark.createDataFrame([{"ord": i, **r} for i, r in enumerate(records)], PRESET)
+
+
+def read_presets(spark: SparkSession, path: str) -> DataFrame:
+    """A preset catalog from a JSON file that holds an array of records."""
+    found = _read_json(spark, path)
+    return presets(spark, found if isinstance(found, list) else [])
 
 
 def vision_presets(catalog: DataFrame) -> DataFrame:
@@ -110,7 +142,14 @@ def recommended_models(catalog: DataFrame) -> DataFrame:
 
 
 def preset_of_url(configs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """configs with preset_id: the first preset whose address is part of the configuration's."""
-    c = catalog.select(F.monotonically_increasing_id().alias("ord"), F.col("id").alias("preset"), "base_url")
-    best = configs.select("id", "api_url").join(F.broadcast(c), F.contains("api_url", F.col("base_url"))).groupBy("id").agg(F.min_by("preset", "ord").alias("preset_id"))
-    return configs.join(best, "id", "left")
+    """configs with preset_id: the first preset, in the catalog's order, whose address is part of the configuration's.
+
+    Addresses meet by their first KEY characters (shorter ones by all they have), so that this is an equi-join whatever
+    the size of the catalog; what meets is then compared whole.
+    """
+    c = catalog.select("ord", F.col("id").alias("preset"), "base_url", F.substring("base_url", 1, KEY).alias("key"))
+    urls = configs.select("api_url").where("api_url is not null").distinct()
+    at = F.transform(F.sequence(F.lit(1), F.length("api_url") + 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(KEY)), lambda n: F.substring("api_url", i, n)))
+    met = urls.select("api_url", F.explode(F.array_distinct(F.flatten(at))).alias("key")).join(c, "key").where(F.contains("api_url", F.col("base_url")))
+    best = met.groupBy("api_url").agg(F.min_by("preset", "ord").alias("preset_id"))
+    return configs.join(best, "api_url", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,11 +82,44 @@ def task_states(signals: DataFrame) -> DataFrame:
     return signals.groupBy("task_id").applyInPandasWithState(step, "task_id long, status string, legal boolean", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
+def progress_of(logs: DataFrame) -> DataFrame:
+    """(task_id, percent, message, total, completed, failed): where each task of a batch of log lines stands.
+
+    Percent runs from 10 to 90 while chunks are worked on, as share of the chunks that are done.
+    """
+    stats = chunk_stats(logs)
+    newest = logs.groupBy("task_id").agg(F.max_by("message", F.struct("created_at", "message")).alias("message"))
+    done = F.when(F.col("total") > 0, F.least(F.lit(1.0), (F.col("completed") + F.col("failed")) / F.col("total"))).otherwise(0.0)
+    return stats.join(newest, "task_id").select("task_id", (F.lit(10) + F.floor(done * 80)).cast("int").alias("percent"), "message", "total", "completed", "failed")
+
+
+def start_progress(logs: DataFrame, path: str, checkpoint: str, name: str | None = None, seconds: int = 2):
+    """A query that writes the progress of the tasks of each micro-batch below ``path``; a batch that is run again replaces its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        progress_of(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
+    return (writer if name is None else writer.queryName(name)).start()
+
+
+class Cancelled(Exception):
+    """A task was told to end."""
+
+
 class TaskControl:
-    """Pause and cancel for the running jobs of a task: its Spark jobs carry a tag, its streams are stopped."""
+    """Pause, resume and cancel for a task's work.
 
-    def __init__(self, spark: SparkSession, task_id: int):
-        self.spark, self.tag = spark, f"task-{task_id}"
+    Jobs started within the context carry the task's tag and end when it is cancelled. A batch flow calls ``point`` between its steps
+    (Settings.point): it waits there while the task is paused, and ends with Cancelled. A stream is given as a function
+    that starts it: pause stops it, resume starts it again from its checkpoint.
+    """
+
+    def __init__(self, spark: SparkSession, task_id: int, start=None, poll: float = 1.0):
+        self.spark, self.tag, self.start, self.poll = spark, f"task-{task_id}", start, poll
+        self.state, self.query = "processing", None
+        if start is not None:
+            self.query = start()
 
     def __enter__(self) -> TaskControl:
         self.spark.addTag(self.tag)
@@ -94,8 +128,37 @@ class TaskControl:
     def __exit__(self, *_) -> None:
         self.spark.removeTag(self.tag)
 
+    def point(self) -> None:
+        while self.state == "paused":
+            time.sleep(self.poll)
+        if self.state == "cancelled":
+            raise Cancelled(self.tag)
+
+    def pause(self) -> bool:
+        """False where the task isn't running."""
+        if self.state != "processing":
+            return False
+        self.state = "paused"
+        self._stop()
+        return True
+
+    def resume(self) -> bool:
+        if self.state != "paused":
+            return False
+        self.state = "processing"
+        if self.start is not None:
+            self.query = self.start()
+        return True
+
     def cancel(self) -> None:
+        self.state = "cancelled"
         self.spark.interruptTag(self.tag)
+        self._stop()
         for query in self.spark.streams.active:
             if query.name == self.tag:
                 query.stop()
+
+    def _stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+            self.query = None
