@@ -10,7 +10,6 @@ the ids are put back by position. No word, however frequent, makes more than one
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +21,19 @@ from pageloom.llm.common import pack_ints, unpack_ints
 
 #: Bytes of text after which a chunk ends; a longer document is a chunk of its own.
 CHUNK_BYTES = 64 << 20
-#: A vocabulary file over this size isn't broadcast (public ones have under 10 MB).
+#: A vocabulary file over this size is refused, as it is broadcast (public ones have under 10 MB).
 VOCABULARY_BYTES = 64 << 20
+#: Bytes of ids and decoded texts after which rows are handed on.
+ROW_BYTES = 16 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and their ranks; a file over VOCABULARY_BYTES is an error, never a part of it."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read(VOCABULARY_BYTES + 1).splitlines())}
+        raw = f.read(VOCABULARY_BYTES + 1)
+    if len(raw) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes, too many to broadcast")
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
 def word_target(words: list[bytes], targets: int) -> np.ndarray:
@@ -129,69 +134,74 @@ def encode_words(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[DataFr
     return answers, src.mapInArrow(sequences, "chunk long, target int, doc_id long, words binary")
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of documents: the ids of the whole text, and
-    the digest of what the ids decode to by the token-byte table.
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) for each row of documents: the ids of the whole text, and the bytes that they stand for.
 
-    Null text counts as empty; empty text has no ids; rows repeat as they do in the input; a null doc_id stays null.
+    Each distinct word of a chunk is decoded once, by the token-byte table, which is broadcast (its size is bounded by
+    VOCABULARY_BYTES). Null text counts as empty; empty text has no ids; rows repeat as they do in the input; a null
+    doc_id stays null; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     answers, sequences = encode_words(docs, ranks_path, pattern)
     token_bytes = spark.sparkContext.broadcast({i: b for b, i in load_ranks(ranks_path).items()})
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, ids array<int>, decoded binary"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = head = None
         table = token_bytes.value
-        text_of: list[str] = []
-        bytes_of: list[bytes] = []
-        count_of = np.empty(0, np.int64)
+        chunk = head = words_of = None
         parts: dict[int, tuple[bytes, bytes]] = {}
 
-        def resolve():
+        def resolve() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+            """(ids of all words, where each word's begin, how many it has, bytes of each word)."""
             target = unpack_ints(head)
-            texts, raws, counts = [""] * len(target), [b""] * len(target), np.zeros(len(target), np.int64)
             order = np.argsort(target, kind="stable")
             at = np.searchsorted(target[order], np.arange(int(target.max(initial=-1)) + 2))
-            for t, (n, i) in parts.items():
-                own, ns, ids = order[at[t] : at[t + 1]], unpack_ints(n), unpack_ints(i).tolist()
+            counts, found = np.zeros(len(target), np.int64), []
+            for t in sorted(parts):
+                own, ns, ids = order[at[t] : at[t + 1]], unpack_ints(parts[t][0]), unpack_ints(parts[t][1])
                 if len(own) != len(ns):
                     raise RuntimeError("a chunk's words changed between two reads of its input")
                 counts[own] = ns
-                end = 0
-                for w, k in zip(own.tolist(), ns.tolist(), strict=True):
-                    mine = ids[end : end + k]
-                    end += k
-                    texts[w] = ",".join(map(str, mine))
-                    raws[w] = b"".join([table[x] for x in mine])
+                found.append(ids)
             if not counts.all():
                 raise RuntimeError("a chunk's words have no answer: its input changed between two reads")
-            return texts, raws, counts
-
+            flat = np.concatenate([np.empty(0, np.int64), *found]).astype(np.int32)
+            begins = np.empty(len(target), np.int64)
+            ends = np.cumsum(counts[order])
+            begins[order] = ends - counts[order]
+            tokens = [table[i] for i in flat.tolist()]
+            return flat, begins, counts, [b"".join(tokens[s : s + n]) for s, n in zip(begins.tolist(), counts.tolist(), strict=True)]
+
+        def rows_of(out: list[tuple[int | None, np.ndarray, bytes]]) -> pa.RecordBatch:
+            names, ids, decoded = zip(*out, strict=True)
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(ids)), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+        out, size = [], 0
         for batch in batches:
-            out = []
             for c, target, doc_id, words, n, i in zip(*(batch.column(x).to_pylist() for x in ("chunk", "target", "doc_id", "words", "counts", "ids")), strict=True):
                 if c != chunk:
-                    chunk, head, parts, text_of = c, None, {}, None
+                    chunk, head, parts, words_of = c, None, {}, None
                 if target < 0:
                     head = words
                 elif words is None:
                     parts[target] = (n, i)
                 else:
-                    if text_of is None:
+                    if words_of is None:
                         if head is None:
                             raise RuntimeError("a chunk's words are missing: its input changed between two reads")
-                        text_of, bytes_of, count_of = resolve()
-                        parts = {}
+                        words_of, parts = resolve(), {}
+                    flat, begins, counts, raw = words_of
                     seq = unpack_ints(words)
-                    own = seq.tolist()
-                    text = ",".join([text_of[w] for w in own])
-                    row = (doc_id, int(count_of[seq].sum()), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join([bytes_of[w] for w in own])).hexdigest())
-                    out.append((*row, list(map(int, text.split(","))) if text else []) if keep_ids else row)
-            if out:
-                cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=False)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
+                    each = counts[seq]
+                    ids = flat[np.repeat(begins[seq] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+                    out.append((doc_id, ids, b"".join([raw[w] for w in seq.tolist()])))
+                    size += ids.nbytes + len(out[-1][2])
+                    if size > ROW_BYTES:
+                        yield rows_of(out)
+                        out, size = [], 0
+        if out:
+            yield rows_of(out)
 
     none = F.lit(None).cast("binary")
     both = answers.select("chunk", "target", F.lit(None).cast("long").alias("doc_id"), none.alias("words"), "counts", "ids")
@@ -199,6 +209,12 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: boo
     return both.repartition("chunk").sortWithinPartitions("chunk", "target").mapInArrow(assemble, schema)
 
 
+def digests(rows: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, more]) of (doc_id, ids, decoded)."""
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
+
+
 def decode_ids(rows: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, decoded) of (doc_id, ids): a join of exploded ids with the token-byte table, put back by position."""
     spark = rows.sparkSession

@@ -43,7 +43,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_50K), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_50K), public_tokenizers.PATTERN))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

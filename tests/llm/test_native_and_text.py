@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -25,12 +26,12 @@ def test_bpe_equals_library(docs):
     for i, t in texts(docs):
         ids = enc.encode_ordinary(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())))
-    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in bpe.bpe_round_trip(docs, RANKS, P.PATTERN).collect())
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in bpe.digests(bpe.encode_decode(docs, RANKS, P.PATTERN)).collect())
 
 
 def test_bpe_decode_join(edge_docs):
     small = edge_docs.where("doc_id < 23 or doc_id is null")
-    got = bpe.decode_ids(bpe.bpe_round_trip(small, RANKS, P.PATTERN, keep_ids=True), RANKS).collect()
+    got = bpe.decode_ids(bpe.encode_decode(small, RANKS, P.PATTERN), RANKS).collect()
     assert sorted((repr(r.doc_id), bytes(r.decoded).decode()) for r in got) == sorted((repr(i), t or "") for i, t in texts(small))
 
 
@@ -71,6 +72,15 @@ def test_simhash_brute_force(docs):
     assert kept == sorted(map(repr, {c for c in comp}))
 
 
+def test_vocabulary_is_whole_or_refused(tmp_path, monkeypatch):
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(b"token%d" % i) + b" %d\n" % i for i in range(50)))
+    assert len(bpe.load_ranks(str(path))) == 50
+    monkeypatch.setattr(bpe, "VOCABULARY_BYTES", 60)
+    with pytest.raises(ValueError):
+        bpe.load_ranks(str(path))
+
+
 def test_keep_one_by_component(spark):
     """Unrelated rows without an id, or with one id, stay; copies of a kept document don't."""
     a, b, c, d, e = (sentence(i, 80) for i in range(60, 65))

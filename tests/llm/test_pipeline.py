@@ -60,6 +60,6 @@ def test_stages(spark, tmp_path):
     before, after = kept["byte_bpe"]
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    want = [(r[0], len(ids := enc.encode_ordinary(r[1])), sha(",".join(map(str, ids)).encode()), sha(r[1].encode())) for r in before]
+    want = [(r[0], len(ids := enc.encode_ordinary(r[1])), sha(",".join(map(str, ids)).encode()), sha(r[1].encode()), ids) for r in before]
     assert after == sorted(want, key=repr)
     assert rows(QUERIES["pipeline"](spark, SF)) == after
