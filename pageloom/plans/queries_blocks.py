@@ -9,6 +9,7 @@ from pageloom.operators import anchors, blocks as ops, chunking
 from pageloom.plans.extraction import document_mode
 from pageloom.plans.registry import B, blocks, query
 from pageloom.session import table
+from pageloom.sources import readers
 
 
 @query("blocks_flatten", f"WITH {B} SELECT doc_id, id, type, text, page_idx FROM B")
@@ -216,3 +217,25 @@ def word_jaccard(spark, sf):
 
     b = blocks(spark, sf).withColumn("b", F.lead("text").over(Window.partitionBy("doc_id").orderBy("id")))
     return b.where("b is not null").select("doc_id", "id", text.word_jaccard("text", "b").alias("likeness"))
+
+
+@query("layout_json", r"""WITH H AS (SELECT page_id AS doc_id, regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1) AS head, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) AS x FROM pages),
+R AS (SELECT doc_id, 0 AS a, unnest(range(0, len(x))) AS b, 'text' AS type, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS text, 7 AS page_idx, 2 AS text_level FROM H
+ UNION ALL SELECT doc_id, 1, 0, 'text', regexp_replace(head, '^\s+|\s+$', '', 'g'), 7, NULL FROM H
+ UNION ALL SELECT doc_id, 2, 0, 'list', NULL, 7, NULL FROM H UNION ALL SELECT doc_id, 3, 0, 'equation', 'x = ' || doc_id, 0, NULL FROM H)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INTEGER) AS id, type, text, page_idx, text_level FROM R""")
+def layout_json(spark, sf):
+    """Every page as layout JSON, read back: a table with blocks inside, an opaque table, a list that isn't of texts, a formula, a cut table."""
+    items = F.regexp_extract_all("html", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1))
+    head = F.regexp_extract("html", r"<h1[^>]*>(.*?)</h1>", 1)
+    block = lambda **v: F.to_json(F.struct(*[c.alias(k) for k, c in v.items()]))
+    inside = F.transform(items, lambda x: F.struct(F.concat(F.lit(" "), x).alias("text"), F.lit(2).alias("text_level")))
+    seven = F.lit(7)
+    parts = F.array(
+        block(type=F.lit("table"), inside=inside, page_idx=seven), block(type=F.lit("table"), text=head, page_idx=seven), block(type=F.lit("list"), list_items=items, page_idx=seven),
+        block(type=F.lit("equation"), text=F.concat(F.lit("x = "), "page_id")), block(type=F.lit("table"), table_body=F.lit("<tr><td>cut")), block(type=F.lit("footer"), text=F.lit("foot")),
+    )
+    kept = F.filter(parts, lambda x: ~(x.contains('"inside":[]')))  # a table without children is another case
+    json = F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]"))
+    rows = readers.parse_layouts(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), json.alias("json")))
+    return ops.flatten_blocks(rows).select("doc_id", "id", "type", "text", "page_idx", "text_level")

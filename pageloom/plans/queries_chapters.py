@@ -463,3 +463,57 @@ def chapter_dispatch(spark, sf):
 def coverage_of_all(spark, sf):
     b = kept_blocks(spark, sf)
     return chapters.coverage_of_all(tree(spark, sf, b), b)
+
+
+@query("block_texts", rf"""WITH X AS (SELECT doc_id, coalesce(text, '') AS t, repeat(coalesce(text, ''), 3) AS f FROM documents),
+Y AS (SELECT doc_id, '![image](i/' || doc_id || '.jpg)' AS a, '![see ' || doc_id || '](i/b.jpg)' AS b, CASE WHEN t <> '' THEN '[Table] ' || t END AS c, CASE WHEN length(f) > 4096 THEN substr(f, 1, 4096) || '{answers.CUT_MARK}' WHEN f <> '' THEN f END AS e FROM X)
+SELECT doc_id, md5(regexp_replace(concat_ws(chr(10), a, b, c, e), '^\s+|\s+$', '', 'g')) AS whole, 'pre/i/' || doc_id || '.jpg,pre/i/b.jpg' AS images, md5(regexp_replace(concat_ws(chr(10), b, c), '^\s+|\s+$', '', 'g')) AS inner_text FROM Y""")
+def block_texts(spark, sf):
+    """Images, tables and long formulas as they stand in a question; of the second list only ids within the chunk's bounds."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    none = F.lit(None).cast("string")
+    one = lambda i, kind, text=none, img=none, caption=none: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("type"), text.alias("text"), img.alias("img_path"), caption.alias("image_caption"))
+    made = F.array(
+        one(0, "image", img=F.concat(F.lit("i/"), "doc_id", F.lit(".jpg"))), one(1, "image", img=F.lit("i/b.jpg"), caption=F.concat(F.lit("see "), "doc_id")),
+        one(2, "table", F.col("t")), one(3, "equation", F.repeat("t", 3)), one(4, "text", F.lit("")),
+    )
+    b = d.select("doc_id", F.explode(made).alias("b")).select("doc_id", "b.*")
+    lists = d.select("doc_id", F.lit("0,1,2,3,4,9").alias("ids"))
+    whole = answers.backfill(lists, "ids", b, ["doc_id"], prefix="pre/").select("doc_id", F.md5("text").alias("whole"), F.array_join("images", ",").alias("images"))
+    inner = answers.backfill(lists.withColumn("lo", F.lit(1)).withColumn("hi", F.lit(2)), "ids", b, ["doc_id"]).select("doc_id", F.md5("text").alias("inner_text"))
+    return whole.join(inner, "doc_id")
+
+
+@query("chapter_merged_text", rf"""WITH {B}, {E} SELECT E.doc_id, E.ord, trim(concat_ws(' ', nullif(substr(B.text, 1, 80), ''), nullif(substr(N.text, 1, 80), ''))) AS text, B.page_idx AS page, CASE WHEN N.id IS NULL THEN E.id || ',' || (E.id + 1) ELSE E.id || ',' || (E.id + 1) END AS merged
+FROM E JOIN B ON E.doc_id = B.doc_id AND E.id = B.id LEFT JOIN B N ON N.doc_id = E.doc_id AND N.id = E.id + 1""")
+def chapter_merged_text(spark, sf):
+    """Headings that run over two blocks."""
+    b = kept_blocks(spark, sf)
+    e = entries_of(b).withColumn("ids", F.array(F.col("ids")[0], F.col("ids")[0] + 1))
+    return chapters.flat_map(e, b).select("doc_id", "ord", F.trim("text").alias("text"), "page", F.array_join(F.col("merged_ids").cast("array<string>"), ",").alias("merged"))
+
+
+@query("answer_parse_legacy", f"WITH {B} SELECT doc_id, CAST(floor(id / 20) AS INTEGER) AS chunk_index, CAST(id % 20 AS INTEGER) AS pos, CAST(id + 1 AS VARCHAR) AS label, CASE WHEN length(text) % 2 = 0 THEN 'example' ELSE 'exercise' END AS type, CAST(id AS VARCHAR) AS question_ids, 'A' || id AS answer, CAST(NULL AS VARCHAR) AS error FROM B UNION ALL SELECT doc_id, -1, NULL, NULL, NULL, NULL, NULL, 'no question could be read' FROM documents")
+def answer_parse_legacy(spark, sf):
+    pairs = _answers(spark, sf, F.concat(F.col("id"), F.lit("</question><answer> A"), F.col("id"), F.lit(" </answer><question>")))
+    bad = table(spark, sf, "documents").select("doc_id", F.lit(-1).alias("chunk_index"), F.lit("nothing here").alias("output"))
+    return answers.parse_legacy(pairs.unionByName(bad)).select("doc_id", "chunk_index", "pos", "label", "type", "question_ids", "answer", "error")
+
+
+#: Broken directory answers and what is read of them: (answer, whether it can be read, entries as id|level|title).
+_BROKEN = [
+    ('{"directory": [{"id": 1, "level": 1, "title": "A"}]}', True, ["1|1|A"]),
+    ('{"directory": [{"id": 2, "level": , "title": "B"},]}', True, ["2|1|B"]),
+    ('{"chapters": [{"id": [3, 4], "level": 2, "title": " C "}', True, ["3,4|2|C"]),
+    ('note {"entries": [{"id": "5", "level": "3", "title": "D"}]} end', True, ["5|3|D"]),
+    ('{"directory": [{"id": 6, "level": 1, "title": "E"}, {"id": 7, "lev', True, ["6|1|E"]),
+    ('{"directory": [{"id": 8, "level": 9, "title": "F"}, {"id": "x", "level": 1, "title": "G"}]}', True, []),
+    ("no answer", False, []),
+]
+
+
+@query("json_repair_cases", "SELECT * FROM (VALUES " + ", ".join([f"({i}, true, '{e.split('|')[0]}', {e.split('|')[1]}, '{e.split('|')[2]}')" for i, (_, ok, es) in enumerate(_BROKEN) if ok for e in es] + [f"({i}, false, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), '')" for i, (_, ok, _e) in enumerate(_BROKEN) if not ok]) + ") t(doc_id, ok, ids, level, title)")
+def json_repair_cases(spark, sf):
+    """Each way of mending, one case for each; the expected rows are given."""
+    raw = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(_BROKEN)], "doc_id int, output string")
+    return answers.directory_entries(raw).select("doc_id", "ok", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "level", "title")

@@ -255,3 +255,45 @@ def result_names(spark, sf):
 @query("completed_tasks", f"WITH {TK} SELECT id, name FROM TK WHERE status = 'completed'")
 def completed_tasks(spark, sf):
     return tasks(spark, sf).where("status = 'completed'").select("id", "name")
+
+
+@query("page_logs_in_order", "SELECT l_orderkey AS task_id, l_linenumber AS page_index, CASE WHEN l_linestatus = 'F' THEN 'failed' ELSE 'completed' END AS status FROM lineitem WHERE l_orderkey = 7")
+def page_logs_in_order(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("page_index"), F.when(F.col("l_linestatus") == "F", "failed").otherwise("completed").alias("status"))
+    return ops.page_logs(rows, 7)
+
+
+@query("stage_log_slice", f"WITH {LG}, X AS (SELECT event_id, task_id, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS n FROM LG) SELECT event_id, task_id FROM X WHERE n <= 20")
+def stage_log_slice(spark, sf):
+    return ops.stage_slice(logs(spark, sf), "processing", 20, tie="event_id", newest_first=True).select("event_id", "task_id")
+
+
+@query("latest_task_logs", f"WITH {LG} SELECT event_id, task_id FROM LG WHERE task_id = (SELECT task_id FROM LG GROUP BY task_id ORDER BY max(ts) DESC, task_id DESC LIMIT 1) ORDER BY ts DESC, event_id DESC LIMIT 20")
+def latest_task_logs(spark, sf):
+    lines = logs(spark, sf)
+    newest = lines.groupBy(F.col("task_id").alias("id")).agg(F.max("created_at").alias("created_at"))
+    return ops.latest_task_logs(newest, lines, 20, log_tie="event_id").select("event_id", "task_id")
+
+
+@query("inserted_ids", "SELECT (SELECT max(c_custkey) FROM customer) + 1 AS first_id, (SELECT max(c_custkey) FROM customer) + (SELECT count(*) FROM orders) AS last_id, (SELECT count(*) FROM orders) AS n, (SELECT count(DISTINCT o_orderkey) FROM orders) AS names")
+def inserted_ids(spark, sf):
+    """Orders inserted after customers: their new ids run on without a gap."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    made = ops.inserted(c, table(spark, sf, "orders").select(F.col("o_orderkey").alias("name")))
+    return made.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("id").alias("n"), F.countDistinct("name").alias("names"))
+
+
+@query("page_of_text", r"""WITH Y AS (SELECT doc_id, unnest(range(0, len(a))) AS i, unnest(a) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+Z AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS item, trim(body) AS body FROM Y WHERE trim(body) <> ''), V AS (SELECT *, CAST(floor(item / 10) AS INTEGER) AS page, max(CAST(floor(item / 10) AS INTEGER)) OVER (PARTITION BY doc_id) AS last FROM Z)
+SELECT doc_id, item, page, body FROM V WHERE page = least(2, last)""")
+def page_of_text(spark, sf):
+    """The third page of each result; shorter ones show their last."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n---\n").alias("text"))
+    return ops.page_of_text(ops.pages_of_text(d), 2)
+
+
+@query("progress_of_logs", f"""WITH {LG}, S AS (SELECT task_id, CAST(CASE WHEN coalesce(max(k) FILTER (WHERE kind = 'signup'), 0) > 0 THEN max(k) FILTER (WHERE kind = 'signup') ELSE count(*) FILTER (WHERE kind = 'click') END AS BIGINT) AS total,
+ count(*) FILTER (WHERE kind = 'purchase') AS completed, count(*) FILTER (WHERE kind = 'error') AS failed FROM LG GROUP BY task_id)
+SELECT task_id, CAST(10 + floor(CASE WHEN total > 0 THEN least(1.0, (completed + failed) / total) ELSE 0.0 END * 80) AS INTEGER) AS percent, total, completed, failed FROM S""")
+def progress_of_logs(spark, sf):
+    return live.progress_of(logs(spark, sf)).select("task_id", "percent", "total", "completed", "failed")
