@@ -28,7 +28,9 @@ from pageloom.session import discard, scratch_path, stored
 
 WINDOW, GRAM = 20, 8
 #: Marked fingerprints of one reference that one task takes; more are shared out.
-SEGMENT_ROWS = 1_500
+SEGMENT_ROWS = 500
+#: The session's limit on buckets, which is raised where there are more.
+MAX_BUCKETS = "spark.sql.sources.bucketing.maxBuckets"
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -155,18 +157,33 @@ class Parts:
 
 
 class SubstringDedup:
-    """The steps over one table of documents, written to the shared folder once, in buckets of the id."""
+    """The steps over one table of documents, written to the shared folder once, in buckets of the id.
+
+    Texts are dealt out by id once, one file for each bucket, and both joins by id read them where they are. There are
+    as many buckets as the input has splits twice over, so a bucket doesn't grow with the input. ``close`` drops the table.
+    """
 
     def __init__(self, docs: DataFrame, window: int = WINDOW):
         spark = docs.sparkSession
         self.window, self.spent = window, []
-        path = scratch_path(spark, "substring-docs")
-        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        self.path = scratch_path(spark, "substring-docs")
+        self.name = self.path.rsplit("/", 1)[-1].replace("-", "_")
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+        if buckets > int(spark.conf.get(MAX_BUCKETS)):
+            spark.conf.set(MAX_BUCKETS, buckets)
         others = [docs[c] for c in docs.columns if c != "text"]  # the text is stored once
         rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"), F.struct(*others).alias("row"), F.col("text").isNull().alias("blank"))
-        rows.write.option("path", path).bucketBy(min(buckets, 4000), "d").saveAsTable(name)
-        self.docs = spark.table(name)
+        rows.repartition(buckets, "d").write.option("path", self.path).bucketBy(buckets, "d").saveAsTable(self.name)
+        self.docs = spark.table(self.name)
+
+    def close(self, result: DataFrame, label: str) -> DataFrame:
+        """The result written and read again, without the table of documents."""
+        spark = self.docs.sparkSession
+        out = stored(result, label)
+        spark.sql(f"DROP TABLE {self.name}")
+        discard(spark, self.path)
+        discard(spark, self.found)
+        return out
 
     def prints(self) -> DataFrame:
         """(fp, d, n): fingerprints of each document."""
@@ -276,7 +293,9 @@ class SubstringDedup:
 
     def removed(self) -> DataFrame:
         """(d, starts, counts): runs of windows to remove, for each document that has some."""
-        found = stored(self.matched(self.segments(self.marks())), "matched")
+        made: list[str] = []
+        found = stored(self.matched(self.segments(self.marks())), "matched", made)
+        self.found = made[0]
         while self.spent:
             discard(self.docs.sparkSession, self.spent.pop())  # only what has been read for good
         rest = found.where("n = 0").select("d", "start", "h1", "h2")
@@ -327,7 +346,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         kept = words if keep is None else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
         return None if d == LAST_ID else d, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return SubstringDedup(docs.select("doc_id", "text"), window).apply(T.StructType([T.StructField(n, t) for n, t in fields]), make)
+    steps = SubstringDedup(docs.select("doc_id", "text"), window)
+    return steps.close(steps.apply(T.StructType([T.StructField(n, t) for n, t in fields]), make), "substring-result")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -345,4 +365,5 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 row["n_chars"] = len(row["text"])
         return tuple(row[c] for c in names)
 
-    return SubstringDedup(docs, window).apply(docs.schema, make)
+    steps = SubstringDedup(docs, window)
+    return steps.close(steps.apply(docs.schema, make), "substring-result")
