@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import crc_mod
@@ -169,12 +169,16 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """A model from the labelled rows that may be learned from; without both classes it scores the share of toxic rows."""
+    """A model from the labelled rows that may be learned from; without both classes it scores the share of toxic rows.
+
+    Of rows that share an id one is learned from (by a hash of the text), so FIT_ROWS bounds rows, too.
+    """
     allowed = crc_mod(F.col("doc_id"), 3) != 1
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)  # the bounded sample
-    rows = docs.where("doc_id is not null").where(allowed).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(ids), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(20)))
+    rows = docs.where("doc_id is not null").where(allowed).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))  # one row for an id, limited before the shuffle, too
+    rows = rows.withColumn("_n", one).where("_n = 1").drop("_n").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(20)))
     rows = cut(rows)
     lexicon = learn_lexicon(rows.where("part < 13"))
 
@@ -219,7 +223,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the model doesn't reject, unchanged."""
+    """The rows of documents that the model doesn't reject, unchanged.
+
+    Rows with null or empty texts or null ids are scored like any other and kept unless rejected; repeated rows share
+    their fate; other columns, whatever their names, come through as they are. An empty table stays empty; without
+    labels nothing is rejected.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     place = docs.columns.index("text")
 
