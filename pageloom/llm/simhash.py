@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -26,6 +26,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 REFERENCES = np.random.default_rng(20).integers(0, 2**64, 24, dtype=np.uint64)
 #: Bucket rows compared at once; larger buckets are dealt again by finer keys.
 BUCKET_LIMIT = 2048
+#: Parts in which a component's fingerprints look up its smallest id.
+ROOT_PARTS = 64
 PIECE = 1 << 16
 
 
@@ -60,16 +62,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of documents with all its columns and its fingerprint in ``_fp``."""
+def with_fingerprints(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """Every row of documents with all its columns and its fingerprint in the column ``name``."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x) for x in byte_rows(batch.column(at))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -190,9 +192,13 @@ def near_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         finer = with_keys(big.select(F.col("a").alias("fp"), "key"), block_masks(2 * radius, radius), "key")
         links = links.union(bucket_links(finer, radius, last=True).select("a", "b"))
     roots = connected_components(links, "a", "b")
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "root").select("fp", "root", "component_id")
+    labelled = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc_id", "root"))
+    alone = labelled.where("root is null").select("fp", F.col("fp").alias("root"), F.col("doc_id").alias("component_id"))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(ROOT_PARTS)).cast("int")  # a component may hold a third of all fingerprints
+    linked = labelled.where("root is not null").withColumn("part", salt)
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.collect_set("part").alias("parts"))
+    least = least.select("root", "component_id", F.explode("parts").alias("part"))
+    return alone.union(linked.join(least, ["root", "part"]).select("fp", "root", "component_id"))
 
 
 def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -209,15 +215,19 @@ def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of documents for each near-duplicate component: that of the smallest doc_id, null last, then by a hash of the text.
 
-    Rows are told apart by component, so unrelated rows without an id, or with one id, all stay. The first row of each
-    component is found on narrow rows, by fingerprint before by component; texts meet only the key of that row.
+    Rows are told apart by their places in the table that is written first, so unrelated rows without an id, or with one
+    id, all stay, and of repeated rows one does. Null and empty texts are one component. Columns may have any type and
+    name; the first row of each component is found on narrow rows, by fingerprint before by component.
     """
-    key = F.xxhash64(F.isnull("doc_id"), F.isnull("text"), "_fp", *docs.columns).alias("_key")
-    rows = stored(with_fingerprints(docs), "fingerprinted").withColumn("_key", key)
-    order = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "_key")
-    firsts = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")))
+    name = "_fp"
+    while name in docs.columns:
+        name += "_"
+    table = stored(with_fingerprints(docs, name), "fingerprinted")
+    place = table.metadataColumn("_metadata")
+    rows = table.select(F.struct("*").alias("row"), place["file_name"].alias("file"), place["row_index"].alias("at"))
+    row = F.col("row")
+    order = F.struct(row["doc_id"].isNull().alias("no_id"), row["doc_id"].cast("long").alias("doc_id"), F.xxhash64(row["text"]).alias("h"), "file", "at")
+    firsts = cut(rows.groupBy(row[name].alias("fp")).agg(F.min(order).alias("first")))
     found = near_components(firsts.select("fp", "first.doc_id"), radius)
-    kept = firsts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._key").alias("_key"))
-    once = Window.partitionBy("_key").orderBy("doc_id", F.xxhash64("text"))
-    left = rows.join(kept, "_key", "left_semi").withColumn("_copy", F.row_number().over(once)).where("_copy = 1")
-    return left.select(*docs.columns)
+    kept = firsts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
+    return rows.join(kept, ["file", "at"], "left_semi").select(*[row[c].alias(c) for c in docs.columns])
