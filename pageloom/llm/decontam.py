@@ -115,23 +115,53 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS)
     bucket = lambda: F.pmod(F.xxhash64("key"), F.lit(FILTER_BUCKETS)).cast("int")
     passed = F.broadcast(starts.select(bucket().alias("bucket")).distinct())
     texts = docs.select("key", "text", bucket().alias("bucket")).join(passed, "bucket", "left_semi").select("key", pieces_of(F.col("text")).alias("words"))
-    wanted = _small(windows.select("w", "phrase").distinct(), F.octet_length(F.array_join("phrase", " ")))
-    held = starts.join(wanted, "w").groupBy("key").agg(F.collect_list(F.struct("w", "start", "phrase")).alias("c"))
-    checked = texts.join(held, "key").select("key", F.expr("filter(c, x -> slice(words, x.start + 1, size(x.phrase)) = x.phrase)").alias("ok"))
-    hits = checked.where("size(ok) > 0").select("key", F.explode("ok").alias("x")).select("key", "x.w", "x.start", F.size("x.phrase").alias("length"))
-    return hits.distinct()
+    wanted = windows.select("w", "phrase").distinct()
+    sizes = _small(wanted.groupBy("w").agg(F.max(F.size("phrase")).alias("n")), F.lit(12))
+    held = starts.join(sizes, "w").groupBy("key").agg(F.collect_list(F.struct("w", "start", "n")).alias("c"))  # three numbers for a place of the text
+    same = F.filter("c", lambda x: F.xxhash64(F.slice("words", x["start"] + 1, x["n"])) == x["w"])
+    checked = texts.join(held, "key").select("key", F.transform(same, lambda x: F.struct(x["w"], x["start"], F.slice("words", x["start"] + 1, x["n"]).alias("found"))).alias("ok"))
+    hits = checked.select("key", F.explode("ok").alias("x")).select("key", "x.w", "x.start", "x.found")
+    exact = hits.join(_small(wanted, F.octet_length(F.array_join("phrase", " "))), "w").where("found = phrase")
+    return exact.select("key", "w", "start", F.size("phrase").alias("length")).distinct()
 
 
-def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int, anchors: int = ANCHORS) -> DataFrame:
-    """(key, w, start): places where the rarest terms of a window lie in its order within ``slack`` extra words."""
+def _in_order(phrase: Column, words: Column) -> Column:
+    """How many words of a phrase (60 at most) occur in order among the words: the longest common subsequence, a bit for each word of the phrase."""
+    full = F.lit((1 << 62) - 1)
+    ones = lambda y: F.aggregate(F.transform(phrase, lambda p, i: F.when(p == y, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    def step(row, y):
+        met = F.struct(row.alias("v"), row.bitwiseAND(ones(y)).alias("u"))
+        return F.transform(F.array(met), lambda m: (m["v"] + m["u"]).bitwiseOR(m["v"] - m["u"]).bitwiseAND(full))[0]
+
+    return F.lit(62) - F.bit_count(F.aggregate(words, full, step))
+
+
+def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int, missing: int = 1) -> DataFrame:
+    """(key, w, start): places of distinct texts near which all but ``missing`` words of a window stand in its order,
+    within ``slack`` extra words; start is where its first word would be.
+
+    A near match has one at least of any missing + 1 words of the window, so the postings of its missing + 1 rarest words
+    (absent ones have none) give all candidates; each is then checked with all its words. A window of no more than
+    ``missing`` words needs one of them. Windows have 60 words at most.
+    """
     keyed = keyed_docs(docs)
-    terms = cut(test_terms(windows))
-    lookups = cut(anchored(windows, cut(term_counts(keyed, terms)), anchors))
-    index = postings(keyed, lookups.select("term").distinct())
-    hits = index.join(lookups, "term").withColumn("start", F.col("pos") - F.col("offset"))
-    first, rest = hits.alias("f"), hits.alias("r")
-    pairs = first.join(rest, F.expr("f.key = r.key and f.w = r.w and r.offset > f.offset and r.pos > f.pos and r.start between f.start and f.start + " + str(int(slack))))
-    return pairs.select("f.key", "f.w", "f.start").distinct()
+    terms = _small(cut(test_terms(windows)), F.lit(8))
+    counts = cut(term_counts(keyed, terms))
+    flat = windows.select("w", "phrase").distinct().select("w", F.posexplode("phrase").alias("offset", "word")).select("w", "offset", F.xxhash64("word").alias("term")).join(counts, "term")
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))), 1, missing + 1)
+    lookups = cut(flat.groupBy("w").agg(rarest.alias("t")).select("w", F.explode("t").alias("t")).select("w", "t.term", "t.offset"))
+    index = postings(keyed, _small(lookups.select("term").distinct(), F.lit(8)))
+    starts = index.join(_small(lookups, F.lit(24)), "term").select("key", "w", F.expr("pos - offset").alias("start")).distinct()
+    wanted = windows.select("w", "phrase").distinct()
+    texts = keyed.dropDuplicates(["key"]).select("key", pieces_of(F.col("text")).alias("words"))
+    near = starts.join(texts, "key").join(wanted, "w")
+    first = F.greatest(F.lit(0), F.col("start") - slack)
+    around = F.slice("words", first + 1, F.least(F.size("words"), F.col("start") + F.size("phrase") + slack) - first)
+    near = near.select("key", "w", "start", "phrase", around.alias("around"))
+    # some run of the window's length and the slack holds the words: each beginning within the slack on either side is tried
+    runs = F.transform(F.sequence(F.lit(0), F.lit(2 * slack)), lambda i: _in_order(F.col("phrase"), F.slice("around", i + 1, F.size("phrase") + slack)))
+    return near.where(F.array_max(runs) >= F.greatest(F.lit(1), F.size("phrase") - missing)).select("key", "w", "start").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -164,7 +194,13 @@ def _cover(acc: Column, x: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of documents in which no window of any benchmark item occurs."""
-    keyed = keyed_docs(docs)
-    found = phrase_matches(keyed, cut(phrases(benchmark, window))).select(F.col("key").alias("_hit")).distinct()
-    return docs.join(found, F.coalesce(F.md5("text"), F.lit("")) == F.col("_hit"), "left_anti")
+    """The rows of documents in which no window of any benchmark item occurs.
+
+    Rows with null or empty texts, null ids and repeated rows are judged by their text alone and come through as they
+    are; other columns may have any name. Items of null or empty text have no windows; an empty benchmark drops nothing.
+    """
+    name = "_hit"
+    while name in docs.columns:
+        name += "_"
+    found = phrase_matches(keyed_docs(docs), cut(phrases(benchmark, window))).select(F.col("key").alias(name)).distinct()
+    return docs.join(found, F.coalesce(F.md5("text"), F.lit("")) == F.col(name), "left_anti")
