@@ -76,6 +76,11 @@ def repair(states: list[int | None], first: int = START, last: int | None = None
     return out[::-1]
 
 
+def plain(text: str | None) -> str:
+    """A text that can't open or close a turn: the marks within it get a space."""
+    return (text or "").replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>")
+
+
 def render(text: str, before: int, role: int, last: bool) -> tuple[str, str]:
     """(piece of the rendered conversation, action): joined in order, the pieces of a conversation are its whole text."""
     if before == role:
@@ -94,7 +99,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     action: keep, relabel, merge or insert (an empty turn comes before, whatever the label); ends: the last turn of its
     conversation. Turns are ordered by turn (null first), then role and text; rows of a null conv_id form one
-    conversation; a null text is empty; null or unknown roles may become any role; repeated rows are turns of their own.
+    conversation; a null text is empty, and turn marks within a text are
+    broken by a space, so that no text makes turns; null or unknown roles may become any role; repeated rows are turns of their own.
     """
     spark = conversations.sparkSession
     order = ["conv_id", "turn", "role", "text"]
@@ -142,7 +148,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             out = []
             for i, (row, role) in enumerate(zip(own, repair([role_state(r[2]) for r in own], before, after), strict=True)):
                 last = ends and i == len(own) - 1
-                piece, action = render(row[3] or "", before, role, last)
+                piece, action = render(plain(row[3]), before, role, last)
                 if action == "keep" and role_state(row[2]) != role:
                     action = "relabel"
                 out.append((conv, row[1], skipped + i, row[2], ROLES[role - 1], action, piece, last))
