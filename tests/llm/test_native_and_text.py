@@ -91,6 +91,23 @@ def test_keep_one_by_component(spark):
     assert got == sorted([("None", a), ("None", b), ("3", c), ("7", d), ("7", e), ("None", ""), ("9", sentence(70, 80))])
 
 
+def test_keep_one_any_columns(spark):
+    """Maps, structs and clashing names come through; an empty table stays empty."""
+    rows = [(1, "same text here for all of us", {"k": 1}, 5, "x"), (2, "same text here for all of us", None, 6, "y"), (None, "other words stand in this row now", {"a": 2}, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, _fp int, file string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted((repr(r.doc_id), r.tags, r._fp, r.file) for r in got.collect()) == [("1", {"k": 1}, 5, "x"), ("None", {"a": 2}, 7, None)]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_decon_repetitive_text(spark):
+    """A long text that repeats a window, and one whose windows overlap themselves."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "r r r r r r r r r r r")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j " * 3000), (2, "r " * 5000), (3, "r " * 9)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {1: (30000, 30000, 1), 2: (5000, 5000, 1), 3: (9, 0, 0)}
+
+
 def test_simhash_large_bucket(spark, monkeypatch):
     """A family of many fingerprints near each other, in chains, over the bucket limit."""
     import random
@@ -146,11 +163,37 @@ def test_decontaminate_brute_force(docs, spark, sf):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "q alpha x beta r"), (2, "beta alpha"), (3, "alpha beta")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
-    found = decontam.proximity_matches(docs, decontam.phrases(bench, 10), slack=1)
-    keys = {hashlib.md5(t.encode()).hexdigest() for t in ("q alpha x beta r", "alpha beta")}
-    assert {r.key for r in found.collect()} == keys
+    """Near matches against brute force: a changed rare word, an extra word, a window of one word, order, repeats, nulls."""
+    phrase = "alpha beta gamma delta rare1 epsilon zeta rare2 eta theta"
+    words = phrase.split()
+    texts_ = [
+        f"x y {phrase} z", f"{phrase.replace('rare1', 'other')} x", "a b " + " ".join(words[:5] + ["extra"] + words[5:]), " ".join(words[:5] + ["e1", "e2"] + words[5:]), " ".join(reversed(words)),
+        "only lonely here", phrase.replace("rare1", "q").replace("rare2", "q"), f"{phrase.replace('rare2 ', '')} tail " * 3, None, "", "gamma alpha beta",
+    ]
+    bench = spark.createDataFrame([(1, phrase), (2, "lonely"), (3, None), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*texts_, texts_[0]])], "doc_id long, text string, w string")
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+        return row[-1]
+
+    key = {hashlib.md5(t.encode()).hexdigest() if t is not None else "": t for t in texts_}
+    for slack, missing in ((0, 0), (1, 1), (2, 0)):
+        found = decontam.proximity_matches(docs, decontam.phrases(bench, 10), slack=slack, missing=missing).collect()
+        got = {(key[r.key], r.start) for r in found}
+        hit = {t for t, _ in got}
+        want = set()
+        for t in texts_:
+            w = re.findall("[a-z0-9]+", t or "")
+            for p in (words, ["lonely"]):
+                need = max(1, len(p) - missing)
+                if any(lcs(p, w[s : s + len(p) + slack]) >= need for s in range(len(w))):
+                    want.add(t)
+        assert hit == want, (slack, missing)
 
 
 def brute_url(url, rules, default="allow"):
@@ -162,6 +205,7 @@ def brute_url(url, rules, default="allow"):
     fits = []
     for verdict, rule in rules:
         rh, s, rp = rule.partition("/")
+        rh = fold(rh)
         if (host == rh or host.endswith("." + rh)) and path.startswith(s + rp):
             fits.append((len(rule), rule, verdict))
     return (host, path, *(max(fits)[1:] if fits else (None, default)))
@@ -170,16 +214,25 @@ def brute_url(url, rules, default="allow"):
 URLS = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/7x?q", "https://a.b.example.com/en/", "http://com/en/", "http://xcom/en/1", "http://example.net/de/8#x", "http://example.net?/de/", "http://org/es/a://b", "a://.com/en/", "http://b.org\n/es/"]
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
-def test_url_rules_brute_force(spark, sf, monkeypatch, bound):
-    rules = [*urlrules.RULES, ("block", "a.b.example.com/"), ("allow", "b.example.com/en"), ("block", "m")]
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_url_rules(spark, sf, ranges):
+    """Against brute force, however many ranges there are; a third of the urls are one."""
+    rules = [*urlrules.RULES, ("block", "a.b.example.com/"), ("allow", "b.example.com/en"), ("block", "m"), ("allow", "Hot.org/x/"), ("block", "hot.org/x/y"), ("allow", "hot.org/x/y"), ("block", "org/"), ("block", None), (None, "z")]
+    rules += [("block", f"h{i % 40}.com/p{i}") for i in range(300)]
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
     rows = [(r.page_id, r.url) for r in pages] + [(1000 + i, u) for i, u in enumerate(URLS)] + [(1000, None), (None, "http://x.com/en/")]
+    rows += [(2000 + i, "http://www.hot.org/x/y?q") for i in range(150)] + [(3000 + i, f"http://{'w.' * (i % 3)}h{i % 40}.com/p{i}0/") for i in range(200)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, key string")
-    monkeypatch.setattr(urlrules, "BROADCAST_BYTES", bound)
-    got = urlrules.judge_urls(df, spark.createDataFrame(rules, "verdict string, rule string"))
-    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr((i, *brute_url(u, rules))) for i, u in rows)
-    assert urlrules.judge_urls(df.limit(0), spark.createDataFrame(rules, "verdict string, rule string")).count() == 0
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = urlrules.judge_urls(df, table).collect()
+        assert sorted(repr(tuple(r)) for r in got) == sorted(repr((i, *brute_url(u, [r for r in rules if None not in r]))) for i, u in rows)
+        assert urlrules.judge_urls(df.limit(0), table).count() == 0
+        assert {r.verdict for r in urlrules.judge_urls(df, table.limit(0)).collect()} == {"allow"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_queries_run(spark, sf):
