@@ -88,7 +88,8 @@ def page_offsets(entries: DataFrame, body: DataFrame) -> DataFrame:
     first = entries.where("page_number is not null").withColumn("k", F.row_number().over(w)).where("k <= 10").select("doc_id", "k", "page_number", normal_title("title").alias("a")).where("length(a) >= 3")
     sets = lambda c: F.array_distinct(F.split(c, r"\s+"))
     words = first.select("doc_id", "k", "page_number", F.size(sets("a")).alias("na"), F.explode(sets("a")).alias("word"))
-    texts = body.select("doc_id", F.col("id").alias("bid"), "page_idx", normal_title(F.coalesce("text", F.lit(""))).alias("b")).where("b <> ''")
+    asked = body.join(first.select("doc_id").distinct(), "doc_id", "left_semi")  # words of documents without entries stay where they are
+    texts = asked.select("doc_id", F.col("id").alias("bid"), "page_idx", normal_title(F.coalesce("text", F.lit(""))).alias("b")).where("b <> ''")
     texts = texts.select("doc_id", "bid", "page_idx", F.size(sets("b")).alias("nb"), F.explode(sets("b")).alias("word"))
     pairs = words.join(texts, ["doc_id", "word"]).groupBy("doc_id", "k", "page_number", "na", "bid", "page_idx", "nb").agg(F.count("*").alias("n"))
     pairs = pairs.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) > 0.8)
@@ -108,7 +109,8 @@ def match_contents(entries: DataFrame, body: DataFrame, offsets: DataFrame, reac
     """
     e = entries.join(offsets, "doc_id", "left").withColumn("expected", F.col("page_number") + F.coalesce("page_offset", F.lit(0))).withColumnRenamed("id", "entry")
     near = e.select("doc_id", "entry", "title", "level", "expected", normal_title("title").alias("a"), F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1).alias("num")).withColumn("wa", _words("a"))
-    b = body.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", trim_ws("text")).withColumn("b", normal_title("text")).withColumn("wb", _words("b"))
+    asked = body.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")
+    b = asked.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", trim_ws("text")).withColumn("b", normal_title("text")).withColumn("wb", _words("b"))
     paged = near.where("expected is not null").withColumn("page", F.explode(F.sequence(F.col("expected") - reach, F.col("expected") + reach)))
     by_page = paged.join(b, ["doc_id", "page"]).withColumn("both", F.size(F.array_intersect("wa", "wb")))
     loose = near.where("expected is null and a <> ''")
@@ -237,15 +239,20 @@ def dispatch(blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", hit.alias("use_contents"), F.lit(True).alias("use_patterns"), (~hit).alias("use_model"))
 
 
-def rule_tree(blocks: DataFrame) -> DataFrame:
-    """The chapter tree of each document by rules: contents where there are some, heading patterns everywhere else.
+def rule_anchors(blocks: DataFrame) -> DataFrame:
+    """Anchors of stored blocks: of contents entries where there are contents pages, of heading patterns everywhere else.
 
-    Blocks, their split into contents and body, and entries are written once, as several steps read them.
+    The split of the blocks into contents and body, and the entries, are written once, as several steps read them.
     """
-    blocks = stored(blocks.select(*TREE_COLUMNS), "tree-blocks")
     pages = contents_pages(blocks).withColumn("_contents", F.lit(True))
     split = stored(blocks.join(pages, ["doc_id", "page_idx"], "left"), "tree-split")
     body = split.where("_contents is null").drop("_contents")
     entries = stored(contents_entries(split.where("_contents").drop("_contents")), "tree-entries")
     found = match_contents(entries, body, page_offsets(entries, body)).drop("entry")
-    return anchor_tree(merge_anchors(found.unionByName(pattern_anchors(body))), blocks)
+    return found.unionByName(pattern_anchors(body))
+
+
+def rule_tree(blocks: DataFrame) -> DataFrame:
+    """The chapter tree of each document by rules alone."""
+    blocks = stored(blocks.select(*TREE_COLUMNS), "tree-blocks")
+    return anchor_tree(merge_anchors(rule_anchors(blocks)), blocks)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.predicates import SanityRules, TitleRules, sanity_verdict
 from pageloom.operators import anchors, answers, blocks as block_ops, chapters, chunking, questions
 from pageloom.operators.exports import write_stage
-from pageloom.plans.providers import DELAYS, Provider, directory_prompts
+from pageloom.plans.providers import DELAYS, Provider, directory_prompts, window_prompts
 from pageloom.session import stored
 
 
@@ -62,6 +62,8 @@ def asked_until_sane(provider: Provider, chunks: DataFrame, blocks: DataFrame, s
             time.sleep(settings.delays[min(attempt, len(settings.delays)) - 1])
         raw = stored(provider.answers(left, blocks, attempt), f"answers-{attempt}")
         parsed = stored(answers.parse_answers(raw), f"parsed-{attempt}")
+        if attempts == 1 and settings.debug is None:
+            return parsed
         verdicts = checked(parsed, left, blocks, settings.sanity)
         failed = raw.where("output is null").select("doc_id", "chunk_index").withColumn("none", F.lit(True))
         verdicts = stored(verdicts.join(failed, ["doc_id", "chunk_index"], "left").select("doc_id", "chunk_index", F.when(F.col("none"), "no_answer").otherwise(F.col("verdict")).alias("verdict")), f"verdicts-{attempt}")
@@ -201,6 +203,16 @@ def document_mode(outlines: DataFrame, context: int = 128_000) -> DataFrame:
     return outlines.select("doc_id", tokens.alias("tokens"), F.when(tokens <= int(context * 0.8), "whole").otherwise("chunked").alias("mode"))
 
 
-def rule_chapters(blocks: DataFrame) -> DataFrame:
-    """Chapters by rules, with no model."""
-    return anchors.rule_tree(blocks)
+def rule_chapters(blocks: DataFrame, scanner: Provider | None = None) -> DataFrame:
+    """Chapters by rules. A scanner looks for missed headings in documents without contents pages, in windows of the pages
+    that are far from any sure heading; without one no model is asked."""
+    if scanner is None:
+        return anchors.rule_tree(blocks)
+    blocks = stored(blocks.select(*anchors.TREE_COLUMNS), "scanned-blocks")
+    found = stored(anchors.rule_anchors(blocks), "anchors")
+    alone = anchors.dispatch(blocks).where("use_model").select("doc_id")
+    gaps = anchors.gap_regions(blocks.join(alone, "doc_id", "left_semi"), found)
+    windows = stored(anchors.page_windows(gaps), "windows")
+    said = stored(scanner.complete(window_prompts(windows, blocks), 0), "window-answers")
+    more = anchors.window_headings(said.select("doc_id", F.col("chunk_index").alias("start_page"), "output"), windows, blocks)
+    return anchors.anchor_tree(anchors.merge_anchors(found.unionByName(more)), blocks)

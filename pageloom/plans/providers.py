@@ -16,6 +16,25 @@ from pageloom.operators.chunking import members_of
 
 #: Seconds before an answer is asked for again.
 DELAYS = (2, 4, 8)
+# Limits of calls for questions and for chapters.
+EXTRACTION = {"temperature": 0.1, "max_tokens": 4000, "timeout": 60}
+CHAPTERS = {"temperature": 0, "max_tokens": 32000, "timeout": 300}
+#: What a chunk's blocks are put after. The form of the answer is the one that answers.parse_answers reads.
+QUESTION_PROMPT = """Find every question, worked example and solution among the blocks below. Refer to blocks by id; never copy their text.
+
+Answer in this form, chapter by chapter and question by question, in the order of the blocks:
+<chapter><title>ids of the heading's blocks</title>
+<qa_pair><label>the question's own number</label><type>example or exercise</type><question>ids</question><solution>ids, or nothing</solution></qa_pair>
+</chapter>
+
+- Ids are whole numbers joined by commas, and only ids that are listed.
+- A question has all blocks that belong to it: text, pictures, tables, formulas, parts and choices.
+- Several numbered parts under one stem are one question. Headings of sections are no questions.
+- A type is example where the text works the question out, else exercise. An exercise has a solution only if it is printed.
+- Answer <empty></empty> if there is no question.
+
+## Input JSON:
+"""
 
 
 class Provider(Protocol):
@@ -72,11 +91,12 @@ class CallProvider:
     Answers should be written to a table before they are used twice; ReplayProvider then reads that table.
     """
 
-    def __init__(self, ask: Callable[[str], str], workers: int = 5, attempts: int = 3, delays: tuple[float, ...] = DELAYS):
-        self.ask, self.workers, self.attempts, self.delays = ask, workers, attempts, delays
+    def __init__(self, ask: Callable[..., str], workers: int = 5, attempts: int = 3, delays: tuple[float, ...] = DELAYS, options: dict | None = None):
+        """options: keyword arguments of every call, such as EXTRACTION or CHAPTERS (how warm, how long, how many seconds)."""
+        self.ask, self.workers, self.attempts, self.delays, self.options = ask, workers, attempts, delays, dict(options or {})
 
     def complete(self, prompts: DataFrame, attempt: int | None = None) -> DataFrame:
-        ask, attempts, delays = self.ask, self.attempts, self.delays
+        ask, attempts, delays, options = self.ask, self.attempts, self.delays, self.options
         kind = prompts.schema["doc_id"].dataType.simpleString()
 
         def one(prompt: str) -> tuple[str | None, int, bool, str | None]:
@@ -85,7 +105,7 @@ class CallProvider:
                 if turn and delays:
                     time.sleep(delays[min(turn, len(delays)) - 1])
                 try:
-                    return ask(prompt), turn, True, None
+                    return ask(prompt, **options), turn, True, None
                 except Exception as e:  # the caller's function may fail in any way; the failure is recorded
                     error = str(e)
             return None, attempts - 1, False, error
@@ -102,7 +122,7 @@ class CallProvider:
         return self.complete(chunk_prompts(chunks, blocks), attempt)
 
 
-def chunk_prompts(chunks: DataFrame, blocks: DataFrame, head: str = "Answer with block ids only.\n\n## Input JSON:\n") -> DataFrame:
+def chunk_prompts(chunks: DataFrame, blocks: DataFrame, head: str = QUESTION_PROMPT) -> DataFrame:
     """(doc_id, chunk_index, prompt): the chunk's blocks as JSON after a head."""
     show = F.to_json(F.struct(*[c for c in ("id", "type", "text", "img_path", "image_caption") if c in blocks.columns]))
     rows = members_of(chunks).join(blocks.select("doc_id", "id", show.alias("_j")), ["doc_id", "id"])
@@ -110,7 +130,13 @@ def chunk_prompts(chunks: DataFrame, blocks: DataFrame, head: str = "Answer with
     return got.select("doc_id", "chunk_index", F.concat(F.lit(head + "["), F.array_join(F.col("x._j"), ","), F.lit("]")).alias("prompt"))
 
 
-_DIRECTORY = 'List the chapter headings as JSON {"directory": [{"id", "level", "title"}]}, ids from the outline, levels 1 to 4.\n'
+_DIRECTORY = """List the chapters and sections of the outline below. A line begins with its id and page in brackets.
+Answer with JSON only: {"directory": [{"id": 12, "level": 1, "title": "..."}]}; id is a list where a heading runs over several lines.
+Levels are 1 (chapter), 2 (section), 3 and 4 (below). Leave out contents pages, running heads, kinds of exercises, single questions, formulas and imprints.
+"""
+_WINDOW = """Some headings of the pages below may have been missed. A line begins with its id and page in brackets.
+Answer with JSON only: {"headings": [{"block_id": 12, "title": "...", "level": 1}]}, levels 1 to 4, an empty list if there is none.
+"""
 
 
 def directory_prompt(outline: str, known: list[dict] | None = None) -> str:
@@ -131,6 +157,14 @@ def directory_prompts(parts: DataFrame, blocks: DataFrame, known: DataFrame | No
     return out.join(shown, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", listed.alias("prompt"))
 
 
+def window_prompts(windows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, prompt) for page windows (doc_id, start_page, end_page); chunk_index is the first page."""
+    pages = windows.select("doc_id", F.col("start_page").alias("chunk_index"), F.explode(F.sequence("start_page", "end_page")).alias("page_idx"))
+    rows = pages.join(blocks, ["doc_id", "page_idx"]).withColumn("doc_id", _part())
+    outlines = full_text(rows.select("doc_id", "id", "type", "text", "page_idx", "text_level"))
+    return outlines.select("doc_id.doc_id", "doc_id.chunk_index", F.concat(F.lit(_WINDOW), "outline").alias("prompt"))
+
+
 def _part() -> Column:
     """A part of a document as a key of its own, where operators work document by document."""
     return F.struct("doc_id", "chunk_index")

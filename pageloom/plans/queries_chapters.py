@@ -211,13 +211,13 @@ def export_markdown(spark, sf):
     return exports.markdown_text(questions(spark, sf), "/data/out").select("doc_id", "total", F.md5("markdown").alias("digest"))
 
 
-@query("export_json", f"WITH {B}, {Q} SELECT doc_id, count(*) AS total, sum(length(question)) AS question_length, max(replace(image, '/data/out/', '../out/')) AS last_image FROM Q GROUP BY doc_id")
+@query("export_json", f"WITH {B}, {Q} SELECT doc_id, count(*) AS total, md5(string_agg(label || '|' || question || '|' || solution || '|' || replace(image, '/data/out/', '../out/'), chr(10) ORDER BY seq)) AS digest FROM Q GROUP BY doc_id")
 def export_json(spark, sf):
-    """The JSON of each document, read back: the export keeps all questions and texts."""
+    """The JSON of each document, read back: the export keeps all questions, texts and paths, in order."""
     j = exports.json_text(questions(spark, sf), "/data/results")
-    back = F.from_json("json", "total long, questions array<struct<question string, images array<string>>>")
-    rows = j.select("doc_id", back.alias("r")).select("doc_id", F.col("r.total").alias("total"), F.explode("r.questions").alias("q"))
-    return rows.groupBy("doc_id", "total").agg(F.sum(F.length("q.question")).alias("question_length"), F.max(F.col("q.images")[0]).alias("last_image"))
+    back = F.from_json("json", "total long, questions array<struct<label string, question string, solution string, images array<string>>>")
+    lines = F.transform(F.col("r.questions"), lambda q: F.concat_ws("|", q["label"], q["question"], q["solution"], q["images"][0]))
+    return j.select("doc_id", back.alias("r")).select("doc_id", F.col("r.total").alias("total"), F.md5(F.array_join(lines, "\n")).alias("digest"))
 
 
 _EXTRACTED = rf"""WITH {_AT}, V AS (SELECT doc_id, id, type, CASE WHEN length(text) > 60 THEN (id + 1) || '. ' || text ELSE text END AS text FROM B),
