@@ -163,7 +163,7 @@ def pattern_anchors(blocks: DataFrame) -> DataFrame:
 def merge_anchors(anchors: DataFrame) -> DataFrame:
     """One anchor for each block (the surest, surer by 0.1 for each further source), sentences and bare labels taken out, three for each page and level."""
     best = anchors.groupBy("doc_id", "block_id").agg(
-        F.max_by(F.struct("page", "text", "title", "level", "source"), F.struct("confidence", F.when(F.col("source") == "toc_match", 1).otherwise(0))).alias("a"),
+        F.max_by(F.struct("page", "text", "title", "level", "source"), F.struct("confidence", F.when(F.col("source") == "toc_match", 1).otherwise(0), "title")).alias("a"),
         F.least(F.max("confidence") + 0.1 * (F.count("*") - 1), F.lit(1.0)).alias("confidence"), F.sort_array(F.collect_list("source")).alias("sources"),
     )
     rows = best.select("doc_id", "block_id", "a.page", "a.text", "a.title", "a.level", "confidence", "sources")

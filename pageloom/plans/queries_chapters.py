@@ -378,13 +378,16 @@ def contents_pages(spark, sf):
     return anchors.contents_pages(headed(spark, sf))
 
 
-@query("contents_entries", rf"""WITH {B}, {_HEAD}, {_PAGES},
-K AS (SELECT H.*, regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$') AS wide, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 1) AS t1, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 2) AS n1,
+#: Contents entries in SQL: view EN(doc_id, id, title, page_number, level, source_page), after CP.
+_ENTRIES = rf"""K AS (SELECT H.*, regexp_matches(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$') AS wide, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 1) AS t1, regexp_extract(text, '^(.+?)[\s.]{{2,}}(\d{{1,4}})\s*$', 2) AS n1,
  regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 1) AS t2, regexp_extract(text, '^(.+?)\s+(\d{{1,4}})\s*$', 2) AS n2, trim(regexp_replace(text, '^[>\-\s]+', '')) AS bare FROM H JOIN CP ON H.doc_id = CP.doc_id AND H.page_idx = CP.page_idx),
 T2 AS (SELECT doc_id, id, page_idx, regexp_replace(trim(regexp_replace(trim(CASE WHEN wide THEN t1 WHEN length(t2) > 3 THEN t2 ELSE text END), '\.{{2,}}$', '')), '([0-9])([A-Z])', '\1 \2', 'g') AS title, TRY_CAST(CASE WHEN wide THEN n1 WHEN length(t2) > 3 THEN n2 END AS INTEGER) AS page_number
- FROM K WHERE length(text) >= 2 AND NOT regexp_matches(bare, '(?i)^(table\s+of\s+)?contents?$') AND bare <> '目录' AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT + anchors.IMPRINT_MORE)}'))
-SELECT doc_id, id, title, page_number, CASE {' '.join(f"WHEN regexp_matches(title, '{p}') THEN {k}" for k, p in anchors.ENTRY_LEVELS)} ELSE 1 END AS level, page_idx AS source_page
-FROM T2 WHERE length(title) BETWEEN 2 AND 120 AND NOT regexp_matches(title, '(?i){predicates.any_of(anchors.FRONT_MATTER)}')""")
+ FROM K WHERE length(text) >= 2 AND NOT regexp_matches(bare, '(?i)^(table\s+of\s+)?contents?$') AND bare <> '目录' AND NOT regexp_matches(text, '(?i){predicates.any_of(anchors.IMPRINT + anchors.IMPRINT_MORE)}')),
+EN AS (SELECT doc_id, id, title, page_number, CASE {' '.join(f"WHEN regexp_matches(title, '{p}') THEN {k}" for k, p in anchors.ENTRY_LEVELS)} ELSE 1 END AS level, page_idx AS source_page
+ FROM T2 WHERE length(title) BETWEEN 2 AND 120 AND NOT regexp_matches(title, '(?i){predicates.any_of(anchors.FRONT_MATTER)}'))"""
+
+
+@query("contents_entries", f"WITH {B}, {_HEAD}, {_PAGES}, {_ENTRIES} SELECT doc_id, id, title, page_number, level, source_page FROM EN")
 def contents_entries(spark, sf):
     b = headed(spark, sf, kept_blocks(spark, sf))
     return anchors.contents_entries(b, anchors.contents_pages(b))
@@ -401,11 +404,6 @@ def page_offset_mode(spark, sf):
     return anchors.page_offsets(printed, b)
 
 
-@query("rule_tree")
-def rule_tree(spark, sf):
-    return rule_chapters(headed(spark, sf, kept_blocks(spark, sf)))
-
-
 @query("total_pages", f"WITH {B} SELECT doc_id, max(page_idx) + 1 AS total_pages FROM B GROUP BY doc_id")
 def total_pages(spark, sf):
     return anchors.total_pages(blocks(spark, sf))
@@ -437,14 +435,20 @@ def window_headings(spark, sf):
 _SET = r"list_distinct(regexp_split_to_array({}, '\s+'))"
 
 
-@query("anchors_of_contents", rf"""WITH {B}, X AS (SELECT doc_id, id, page_idx, text, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s一-鿿]', '', 'g')) AS t, regexp_extract(text, '^(\d+(?:\.\d+)*)', 1) AS num FROM B),
-S AS (SELECT *, {_SET.format('t')} AS w FROM X),
-J AS (SELECT a.doc_id, a.id AS entry, b.id AS block_id, b.page_idx AS page, a.num, b.text, a.t AS ta, b.t AS tb, CASE WHEN a.t = '' OR b.t = '' THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS s FROM S a JOIN S b ON a.doc_id = b.doc_id AND b.page_idx BETWEEN a.page_idx - 1 AND a.page_idx + 1 WHERE a.t <> ''),
-R AS (SELECT *, tb <> '' AND (contains(tb, ta) OR contains(ta, tb)) AND s > 0 AS i, num <> '' AND (starts_with(text, num || ' ') OR starts_with(text, num || '.')) AS n, length(text) BETWEEN 3 AND 200 AND s > 0.6 AS c FROM J),
-P1 AS (SELECT doc_id, entry, max(CASE WHEN i THEN {{'s': s, 'o': -block_id, 'b': block_id, 'p': page}} END) AS x1, max(CASE WHEN n THEN {{'s': s, 'o': -block_id, 'b': block_id, 'p': page}} END) AS x2, max(CASE WHEN c THEN {{'s': s, 'o': -block_id, 'b': block_id, 'p': page}} END) AS x3 FROM R GROUP BY ALL),
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '[^A-Za-z0-9_\s一-鿿]', '', 'g'))"
+_NUMBER = r"regexp_extract({}, '^(\d+(?:\.\d+)*)', 1)"
+#: The best block of each entry, of view J(doc_id, entry, block_id, page, num, text, ta, tb, wa, wb): view P4(doc_id, entry, y, conf).
+_BEST = r"""J2 AS (SELECT *, CASE WHEN ta = '' OR tb = '' THEN 0.0 ELSE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) END AS s FROM J),
+R AS (SELECT *, tb <> '' AND (contains(tb, ta) OR contains(ta, tb)) AND s > 0 AS i, num <> '' AND (starts_with(text, num || ' ') OR starts_with(text, num || '.')) AS n, length(text) BETWEEN 3 AND 200 AND s > 0.6 AS c FROM J2),
+P1 AS (SELECT doc_id, entry, max(CASE WHEN i THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x1, max(CASE WHEN n THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x2, max(CASE WHEN c THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x3 FROM R GROUP BY ALL),
 P2 AS (SELECT *, coalesce(coalesce(x1.s, 0) < 0.8 AND x2.s > CASE WHEN x1 IS NULL THEN 0.5 ELSE x1.s END, false) AS two FROM P1),
 P3 AS (SELECT *, CASE WHEN two THEN x2 ELSE x1 END AS y, CASE WHEN two THEN greatest(x2.s, 0.7) ELSE x1.s END AS conf FROM P2),
-P4 AS (SELECT doc_id, entry, CASE WHEN three THEN x3 ELSE y END AS y, CASE WHEN three THEN x3.s ELSE conf END AS conf FROM (SELECT *, coalesce(coalesce(conf, 0) < 0.6 AND x3.s > coalesce(conf, 0), false) AS three FROM P3))
+P4 AS (SELECT doc_id, entry, CASE WHEN three THEN x3 ELSE y END AS y, CASE WHEN three THEN x3.s ELSE conf END AS conf FROM (SELECT *, coalesce(coalesce(conf, 0) < 0.6 AND x3.s > coalesce(conf, 0), false) AS three FROM P3))"""
+
+
+@query("anchors_of_contents", f"""WITH {B}, X AS (SELECT doc_id, id, page_idx, text, {_NORMAL.format('text')} AS t, {_NUMBER.format('text')} AS num FROM B),
+S AS (SELECT *, {_SET.format('t')} AS w FROM X),
+J AS (SELECT a.doc_id, a.id AS entry, b.id AS block_id, b.page_idx AS page, a.num, b.text, a.t AS ta, b.t AS tb, a.w AS wa, b.w AS wb FROM S a JOIN S b ON a.doc_id = b.doc_id AND b.page_idx BETWEEN a.page_idx - 1 AND a.page_idx + 1 WHERE a.t <> ''), {_BEST}
 SELECT doc_id, entry, y.b AS block_id, y.p AS page, CAST(conf AS DOUBLE) AS confidence, 'toc_match' AS source FROM P4 WHERE y IS NOT NULL""")
 def anchors_of_contents(spark, sf):
     """Every line as its own contents entry, looked for on its page and its neighbours."""
@@ -454,6 +458,37 @@ def anchors_of_contents(spark, sf):
     return anchors.match_contents(e, b, zero, reach=1).select("doc_id", "entry", "block_id", "page", "confidence", "source")
 
 
+_RULES = f"""WITH {B}, {_HEAD}, {_PAGES}, {_ENTRIES}, BODY AS (SELECT H.* FROM H LEFT JOIN CP ON H.doc_id = CP.doc_id AND H.page_idx = CP.page_idx WHERE CP.doc_id IS NULL),
+BT AS (SELECT *, {_SET.format('t')} AS w FROM (SELECT doc_id, id, page_idx, text, {_NORMAL.format('text')} AS t FROM BODY)),
+F0 AS (SELECT doc_id, page_number, t, {_SET.format('t')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM (SELECT doc_id, id, page_number, {_NORMAL.format('title')} AS t FROM EN WHERE page_number IS NOT NULL)),
+O1 AS (SELECT F0.doc_id, k, page_number, arg_min(BT.page_idx, BT.id) AS page FROM F0 JOIN BT ON F0.doc_id = BT.doc_id WHERE k <= 10 AND length(F0.t) >= 3 AND BT.t <> '' AND len(list_intersect(F0.w, BT.w)) / len(list_distinct(list_concat(F0.w, BT.w))) > 0.8 GROUP BY ALL),
+O2 AS (SELECT doc_id, page - page_number AS o, count(*) AS n, min(k) AS k FROM O1 GROUP BY ALL),
+OFS AS (SELECT doc_id, o FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM O2) WHERE r = 1),
+EX AS (SELECT *, {_SET.format('ta')} AS wa FROM (SELECT EN.doc_id, EN.id AS entry, title, level, page_number + coalesce(o, 0) AS expected, {_NORMAL.format('title')} AS ta, {_NUMBER.format('title')} AS num FROM EN LEFT JOIN OFS ON EN.doc_id = OFS.doc_id)),
+J AS (SELECT EX.doc_id, entry, BT.id AS block_id, BT.page_idx AS page, num, BT.text, ta, BT.t AS tb, wa, BT.w AS wb FROM EX JOIN BT ON EX.doc_id = BT.doc_id AND (BT.page_idx BETWEEN expected - 5 AND expected + 5 OR expected IS NULL)), {_BEST},
+FOUND AS (SELECT P4.doc_id, P4.entry, y.b AS block_id, y.p AS page, BODY.text, EX.title, EX.level, conf AS confidence FROM P4 JOIN EX ON P4.doc_id = EX.doc_id AND P4.entry = EX.entry JOIN BODY ON BODY.doc_id = P4.doc_id AND BODY.id = y.b WHERE y IS NOT NULL),
+FIRSTS AS (SELECT doc_id, page_idx AS page, min(id) AS block_id FROM BODY GROUP BY ALL),
+G0 AS (SELECT EX.doc_id, EX.entry, title, level, FIRSTS.block_id, FIRSTS.page, CASE FIRSTS.page - expected WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS o FROM EX JOIN FIRSTS ON EX.doc_id = FIRSTS.doc_id AND FIRSTS.page BETWEEN expected - 1 AND expected + 1 WHERE NOT EXISTS (SELECT 1 FROM FOUND WHERE FOUND.doc_id = EX.doc_id AND FOUND.entry = EX.entry)),
+G1 AS (SELECT doc_id, block_id, page, '' AS text, title, level, 0.4 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entry ORDER BY o) AS r FROM G0) WHERE r = 1),
+{_ANCH.replace("FROM H WHERE", "FROM BODY WHERE")},
+ALLA AS (SELECT doc_id, block_id, page, text, title, level, confidence, 1 AS toc FROM FOUND UNION ALL SELECT *, 1 FROM G1 UNION ALL SELECT doc_id, block_id, page, text, text, level, confidence, 0 FROM A WHERE level IS NOT NULL),
+MB AS (SELECT doc_id, block_id, arg_max({{'page': page, 'text': text, 'title': title, 'level': level}}, {{'c': CAST(confidence AS DOUBLE), 'toc': toc, 'title': title}}) AS a FROM ALLA GROUP BY ALL),
+F AS (SELECT doc_id, block_id, a.page AS page, a.text AS text, a.title AS title, a.level AS level FROM MB WHERE NOT (regexp_matches(a.text, '(?i)^Chapter\\s+\\d+\\s+\\w{{2,}}') AND length(trim(a.text)) > 30)),
+G AS (SELECT *, lead(level) OVER w AS nl, lead(block_id) OVER w AS nb FROM F WINDOW w AS (PARTITION BY doc_id ORDER BY block_id)),
+G2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, level ORDER BY block_id) AS k FROM G WHERE NOT coalesce(regexp_matches(text, '(?i)^(Chapter|Unit|Part|Topic)\\s+\\d+\\s*$') AND nl = level AND nb - block_id <= 2, false)),
+N AS (SELECT doc_id, count(*) AS total FROM H GROUP BY doc_id),
+O AS (SELECT doc_id, block_id, page, title, level, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_id) - 1 AS INTEGER) AS ord FROM G2 WHERE k <= 3),
+Z AS (SELECT a.*, N.total, (SELECT min(b.block_id) FROM O b WHERE b.doc_id = a.doc_id AND b.ord > a.ord AND b.level <= a.level) AS nxt, (SELECT max(b.ord) FROM O b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.level < a.level) AS up FROM O a JOIN N ON a.doc_id = N.doc_id)
+SELECT a.doc_id, a.ord, a.title AS text, a.level, a.page, a.block_id AS range_start, CAST(coalesce(a.nxt, a.total) AS INTEGER) AS range_end, a.up AS parent_id, concat_ws(' > ', d.title, c.title, b.title, a.title) AS path
+FROM Z a LEFT JOIN Z b ON a.doc_id = b.doc_id AND a.up = b.ord LEFT JOIN Z c ON a.doc_id = c.doc_id AND b.up = c.ord LEFT JOIN Z d ON a.doc_id = d.doc_id AND c.up = d.ord"""
+
+
+@query("rule_tree", _RULES)
+def rule_tree(spark, sf):
+    t = rule_chapters(headed(spark, sf, kept_blocks(spark, sf)))
+    return t.select("doc_id", "ord", "text", "level", "page", F.col("block_range.start").alias("range_start"), F.col("block_range.end").alias("range_end"), "parent_id", "path")
+
+
 @query("chapter_dispatch", f"WITH {B}, {_HEAD}, {_PAGES} SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM CP) AS use_contents, true AS use_patterns, doc_id NOT IN (SELECT doc_id FROM CP) AS use_model FROM B")
 def chapter_dispatch(spark, sf):
     return anchors.dispatch(headed(spark, sf, kept_blocks(spark, sf)))
