@@ -22,12 +22,15 @@ NOISE_ANY_CASE = [
     r"^Multiple\s+Choice$", r"^Section\s+[A-Z]$", r"^Question\s*\d+$", r"^Example\s*\d*", r"^Practice\s*(Test|Questions)?",
     r"^Past\s+paper\s+questions?", r"^ISBN\s",
 ]
+# Words that mark a structure, verbs that begin a question, signs of a formula.
 STRUCTURAL = "chapter|unit|module|part|section|lesson|topic|appendix|glossary|index|review|summary|preface|introduction|foreword"
 QUESTION_VERB = r"^(simplify|solve|find|calculate|evaluate|show|prove|determine|given|use|draw|write|work\s+out)\b"
 FORMULA = r"[=<>$]|\\frac|\\sqrt|\\sum|\\int"
+# Kinds of exercises that are no titles, titles that mark a structure, labels of questions and examples.
 NOISE_TITLES = ["选择题", "填空题", "判断题", "应用题", "计算题", "递等式", "竖式", "基础训练", "拓展训练", "练习", "练习题", "随堂练习", "综合训练"]
 STRUCTURAL_TITLES = [r"^\d+(\.\d+)*$", "第[一二三四五六七八九十百零]+章", r"^Unit\s*\d+", r"^Chapter\s*\d+"]
 NUMERIC_LABEL, EXAMPLE_LABEL = r"^\s*\d+[.．、]", r"例\d"
+# Headings that are no chapters, without and with case.
 TITLE_NOISE_ANY_CASE = [
     r"^(Question|Problem|Q)\s*\d", r"^\d+\.\s+(Find|Calculate|Solve|Determine|Evaluate|Simplify|Write|Show|Prove|Given)",
     r"^(Figure|Table|Diagram|Graph)\s+\d", r"^Page\s+\d", "^(Answer|Solution|Hint|Explanation)",

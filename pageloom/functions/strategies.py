@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import _col, trim_ws
 
+# Section markers and headers of answers; the strategies' names, scores and reasons below are fixed, too.
 SECTION_MARKER = "^(一、|二、|三、|四、|五、|六、|七、|八、|九、|十、)(选择题|填空题|判断题|解答题|综合题|本章小结|复习题)"
 ANSWER_HEADER = r"(?i)(参考答案|答案|解答|Answer\s*Key)"
 
