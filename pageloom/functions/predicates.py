@@ -66,7 +66,7 @@ class SanityRules:
 
 def digit_ratio(c: Column | str) -> Column:
     c = _col(c)
-    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\d]", "")) / F.length(c)).otherwise(0.0)
+    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\d]+", "")) / F.length(c)).otherwise(0.0)
 
 
 def cleanup_reason(text: Column | str, title: Column | str, rules: TitleRules = TitleRules()) -> Column:

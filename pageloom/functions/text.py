@@ -46,7 +46,7 @@ def word_count(c: Column | str) -> Column:
 def utf16_length(c: Column | str) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     c = _col(c)
-    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))
 
 
 def clean_line(c: Column | str) -> Column:
@@ -78,7 +78,7 @@ def outline_tokens(kind: Column, text: Column) -> Column:
 def block_tokens(kind: Column, text: Column) -> Column:
     """Estimated tokens of a block: 1.5 for a CJK character, 0.25 for any other; 50 for an image."""
     text = F.coalesce(text, F.lit(""))
-    cjk = F.length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}]", ""))
+    cjk = F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}]+", "")))
     return F.when(kind == "image", 50).otherwise(F.floor(cjk * 1.5 + (F.length(text) - cjk) * 0.25)).cast("int")
 
 

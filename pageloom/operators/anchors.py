@@ -37,7 +37,7 @@ ENTRY_LEVELS = [
 
 def is_entry(text: Column | str) -> Column:
     t = trim_ws(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    return (F.length(t) >= 3) & ~t.rlike("(?i)" + any_of(IMPRINT)) & (t.rlike(any_of(ENTRY_WITH_CASE)) | t.rlike("(?i)" + any_of(ENTRY_ANY_CASE)))
+    return (F.length(t) >= 3) & (t.rlike(any_of(ENTRY_WITH_CASE)) | t.rlike("(?i)" + any_of(ENTRY_ANY_CASE))) & ~t.rlike("(?i)" + any_of(IMPRINT))
 
 
 def entry_level(title: Column | str) -> Column:
@@ -50,9 +50,10 @@ def entry_level(title: Column | str) -> Column:
 def contents_pages(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_idx): the contents pages of each document, found by a mark or else by density, and those that follow."""
     t = trim_ws(F.coalesce("text", F.lit("")))
-    mark = t.rlike(CONTENTS_MARK) | trim_ws(F.regexp_replace(t, r"^[>\-–—•·*#\s]+", "")).rlike(CONTENTS_MARK)
-    loose = is_entry(t) | t.rlike(r"^\d+(\.\d+)*\s+[A-Z]")
-    pages = blocks.where("page_idx <= 30").groupBy("doc_id", "page_idx").agg(F.count_if(is_entry(t)).alias("n"), F.count_if(loose).alias("m"), F.bool_or(mark).alias("mark"))
+    named = F.lower(t).contains("content") | t.contains("目录")  # what no mark can do without
+    mark = named & (t.rlike(CONTENTS_MARK) | trim_ws(F.regexp_replace(t, r"^[>\-\s–—•·*#]+", "")).rlike(CONTENTS_MARK))
+    flags = blocks.where("page_idx <= 30").select("doc_id", "page_idx", is_entry(t).alias("entry"), t.rlike(r"^\d+(\.\d+)*\s+[A-Z]").alias("numbered"), mark.alias("mark"))
+    pages = flags.groupBy("doc_id", "page_idx").agg(F.count_if("entry").alias("n"), F.count_if(F.col("entry") | F.col("numbered")).alias("m"), F.bool_or("mark").alias("mark"))
     w = Window.partitionBy("doc_id").orderBy("page_idx")
     following = F.when(F.lead("page_idx").over(w) == F.col("page_idx") + 1, F.lead("n").over(w))
     marked = F.min(F.when(F.col("mark") & (F.col("n") + F.coalesce("after", F.lit(0)) >= 5), F.col("page_idx")))
@@ -248,7 +249,8 @@ def rule_anchors(blocks: DataFrame) -> DataFrame:
     split = stored(blocks.join(pages, ["doc_id", "page_idx"], "left"), "tree-split")
     body = split.where("_contents is null").drop("_contents")
     entries = stored(contents_entries(split.where("_contents").drop("_contents")), "tree-entries")
-    found = match_contents(entries, body, page_offsets(entries, body)).drop("entry")
+    offsets = stored(page_offsets(entries, body), "tree-offsets")
+    found = stored(match_contents(entries, body, offsets).drop("entry"), "tree-found")
     return found.unionByName(pattern_anchors(body))
 
 
