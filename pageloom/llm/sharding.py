@@ -75,6 +75,8 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) ->
     tried again with other ties before it is over.
     """
     shards = range(len(quotas))
+    parts = max(1, -(-state.count() // RANK_ROWS))  # the state has far fewer rows than the documents; so have its tasks
+    state = state.coalesce(parts)
     found = dict(state.groupBy("shard").agg(F.sum("n")).collect())  # one row for each shard
     loads = [found.get(t, 0) for t in shards]
     closed: set[int] = set()
@@ -82,8 +84,8 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) ->
     while idle < IDLE and (rounds is None or turn < rounds):
         of_use = [0 if t in closed else q for t, q in enumerate(quotas)]
         liked = F.struct("n", F.xxhash64("g", "shard", F.lit(turn)).alias("tie"), "shard")
-        best = state.where(F.col("n") < _pick(of_use, F.col("shard"))).groupBy("g").agg(F.max(liked).alias("to"))
-        asks = state.join(best, "g").where("shard <> to.shard and n <= to.n").select("g", "shard", "n", F.col("to.shard").alias("to"), F.col("to.n").alias("m"))
+        best = state.where(F.col("n") < _pick(of_use, F.col("shard"))).groupBy("g").agg(F.max(liked).alias("to")).coalesce(parts)
+        asks = state.join(best, "g").where("shard <> to.shard and n <= to.n").select("g", "shard", "n", F.col("to.shard").alias("to"), F.col("to.n").alias("m")).coalesce(parts)
         wanted = {(s, t): n for s, t, n in asks.groupBy("shard", "to").agg(F.sum("n")).collect()}  # one row for two shards
         flow = _flows(wanted, loads, quotas)
         turn += 1
@@ -93,11 +95,11 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) ->
             first = Window.partitionBy("shard", "to").orderBy(F.desc("m"), F.xxhash64("g"), "g").rowsBetween(Window.unboundedPreceding, -1)
             granted = state.sparkSession.createDataFrame([(s, t, n) for (s, t), n in flow.items()], "shard int, to int, most long")
             moves = asks.join(F.broadcast(granted), ["shard", "to"]).withColumn("moved", F.least("n", F.col("most") - F.coalesce(F.sum("n").over(first), F.lit(0))))
-            moves = moves.where("moved > 0").select("g", "shard", "to", "moved")
+            moves = moves.where("moved > 0").select("g", "shard", "to", "moved").coalesce(parts)
             after = state.join(moves, ["g", "shard"], "left").select("g", F.explode(F.array(
                 F.struct("shard", (F.col("n") - F.coalesce("moved", F.lit(0))).alias("n")), F.struct(F.col("to").alias("shard"), F.coalesce("moved", F.lit(0)).alias("n"))
             )).alias("x"))
-            state = cut(after.select("g", "x.shard", "x.n").where("n > 0").groupBy("g", "shard").agg(F.sum("n").alias("n")))
+            state = cut(after.select("g", "x.shard", "x.n").where("n > 0").coalesce(parts).groupBy("g", "shard").agg(F.sum("n").alias("n")).coalesce(parts))
             for (s, t), n in flow.items():
                 loads[s], loads[t] = loads[s] - n, loads[t] + n
             closed = {t for t in closed | full if loads[t] >= quotas[t]}
