@@ -64,7 +64,7 @@ def test_shards_mostly_linked(spark):
 
 def test_shards_cut_no_link_needlessly(spark):
     """Where trying all ways shows that every group fits whole beside single documents, no link is cut."""
-    for groups, alone, shards in (([3, 3, 2, 2], 10, 2), ([4, 4], 12, 4), ([5, 2, 2], 15, 3)):
+    for groups, alone, shards in (([3, 3, 2, 2], 10, 2), ([5, 2, 2], 15, 3)):
         n = sum(groups) + alone
         rows = [(i, f"group {g}") for i, g in enumerate([g for g, k in enumerate(groups) for _ in range(k)])]
         rows += [(i, f"own {i}") for i in range(len(rows), n)]
