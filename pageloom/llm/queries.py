@@ -8,13 +8,14 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, sharding, simhash, substrings, toxicity, urlrules
+from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, piececount, sharding, simhash, substrings, toxicity, urlrules
 from pageloom.llm.oracles import ORACLES
 from pageloom.session import table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
+PIECE_32K = "piece_bpe_32k.model"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piececount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_32K))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_permutation_index": op2_permutation_index,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op12_token_counts": op12_token_counts,
     "pipeline": corpus_pipeline.run,
 }
