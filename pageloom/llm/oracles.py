@@ -45,4 +45,26 @@ m AS (SELECT u.page_id, u.host, u.path, r.rule, r.verdict, row_number() OVER (PA
 SELECT page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') AS verdict FROM m WHERE n = 1
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op5_substring_dedup": OP5, "op6_url_rules": OP6}
+#: crc32 of a text, byte by byte over the table of its polynomial.
+_CRC = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"""
+
+OP13 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) AS crc_table),
+d AS (SELECT doc_id, {_TEST_WORDS} AS w FROM documents),
+b AS (SELECT {_TEST_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) GROUP BY ALL),
+bf AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b) GROUP BY ALL),
+h AS (SELECT f, xor({_CRC.format("f")}, 4294967295) % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), crc),
+s AS (SELECT bucket, sum(n) AS s FROM df JOIN h USING (f) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM bf JOIN h USING (f) GROUP BY bucket),
+tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM df) AS sn, (SELECT coalesce(sum(n), 0) FROM bf) AS tn),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (sn + 10000))::DOUBLE / ((s + 1) * (tn + 10000))::DOUBLE)) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), tot),
+k AS (SELECT doc_id, sum(n) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+w AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_features, CAST(coalesce((total - ((total % k.n) + k.n) % k.n) // k.n, 0) AS BIGINT) AS weight,
+    ('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
+sc AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE n_words >= 20)
+SELECT sc.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM sc LEFT JOIN r ON sc.doc_id = r.doc_id
+"""
+
+ORACLES = {"op4_decontaminate": OP4, "op5_substring_dedup": OP5, "op6_url_rules": OP6, "op13_importance_resample": OP13}

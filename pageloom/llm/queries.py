@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, piececount, sharding, simhash, substrings, toxicity, urlrules
+from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, piececount, resample, sharding, simhash, substrings, toxicity, urlrules
 from pageloom.llm.oracles import ORACLES
 from pageloom.session import table
 
@@ -63,6 +63,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_32K))
 
 
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_permutation_index": op2_permutation_index,
@@ -75,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
     "op12_token_counts": op12_token_counts,
+    "op13_importance_resample": op13_importance_resample,
     "pipeline": corpus_pipeline.run,
 }
