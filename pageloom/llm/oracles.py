@@ -67,4 +67,21 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FRO
 SELECT sc.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM sc LEFT JOIN r ON sc.doc_id = r.doc_id
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op5_substring_dedup": OP5, "op6_url_rules": OP6, "op13_importance_resample": OP13}
+OP11 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pw AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+st AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pw),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM st, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM pw GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inside AS (SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, max(a) AS within FROM c, range(1, 5) t(i), range(2, 5) u(j) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
+cut AS (SELECT c.lang, c.phrase, a, x, n, array_to_string(w[1 : x], ' ') AS first, array_to_string(w[x + 1 : k], ' ') AS rest
+        FROM c LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang), range(1, 5) t(x) WHERE x < k AND (within IS NULL OR within < a)),
+sc AS (SELECT cut.lang, cut.phrase, a, x, l.f AS l, r.f AS r, n, (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+       FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = cut.first JOIN f r ON r.lang = cut.lang AND r.phrase = cut.rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) AS o FROM sc),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM top WHERE rank <= 2000
+"""
+
+ORACLES = {"op4_decontaminate": OP4, "op5_substring_dedup": OP5, "op6_url_rules": OP6, "op11_collocations": OP11, "op13_importance_resample": OP13}

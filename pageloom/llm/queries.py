@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, chat, decontam, ngramlm, permindex, piececount, resample, sharding, simhash, substrings, toxicity, urlrules
+from pageloom.llm import bpe, chat, collocations, decontam, ngramlm, permindex, piececount, resample, sharding, simhash, substrings, toxicity, urlrules
 from pageloom.llm.oracles import ORACLES
 from pageloom.session import table
 
@@ -59,6 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_32K))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
     "op12_token_counts": op12_token_counts,
     "op13_importance_resample": op13_importance_resample,
     "pipeline": corpus_pipeline.run,
