@@ -60,6 +60,27 @@ def stored(df: DataFrame, label: str, made: list[str] | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """A frame that gives the same rows in the same partitions each time it is read.
+
+    A projection or filter of files does; anything else (a shuffle may be coalesced or fetched in another way the next
+    time) is written first. For steps that cut their input into chunks and read it twice.
+    """
+
+    def nodes(plan):
+        yield plan.nodeName()
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    steady = all(name in ("Project", "Filter") or name.startswith("LogicalRelation") for name in nodes(df._jdf.queryExecution().optimizedPlan()))
+    return df if steady else stored(df, label)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a frame's size to be; for files and stored tables about their size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
