@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import retry_name
@@ -16,17 +16,22 @@ def task_stats(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count("*").alias("total"), c("completed"), c("processing"), c("failed"), F.coalesce(F.sum("extracted_count"), F.lit(0)).alias("extracted"))
 
 
-def chunk_stats(logs: DataFrame) -> DataFrame:
-    """(task_id, total, completed, failed, model_calls, fallback_used) of (task_id, level, stage, message, total_chunks)."""
+def chunk_counts() -> list[Column]:
+    """Aggregates of log lines: total, completed, failed, model_calls, fallback_used."""
     has = lambda *xs: F.coalesce(F.expr(" or ".join(f"contains(message, '{x}')" for x in xs)), F.lit(False))
     started = F.count_if(has("开始处理Chunk", "Processing chunk"))
     total = F.coalesce(F.max("total_chunks"), F.lit(0))
-    return logs.groupBy("task_id").agg(
+    return [
         F.when(total > 0, total).otherwise(started).alias("total"),
         F.count_if(has("Chunk") & has("完成", "completed", "处理完毕") & ~has("LLM")).alias("completed"),
         F.count_if((F.col("level") == "error") & (has("Chunk") | (F.col("stage") == "processing"))).alias("failed"),
         F.count_if(has("LLM响应", "LLM response")).alias("model_calls"), F.count_if(has("Fallback")).alias("fallback_used"),
-    )
+    ]
+
+
+def chunk_stats(logs: DataFrame) -> DataFrame:
+    """(task_id, total, completed, failed, model_calls, fallback_used) of (task_id, level, stage, message, total_chunks)."""
+    return logs.groupBy("task_id").agg(*chunk_counts())
 
 
 def latest(rows: DataFrame, by: str, n: int, tie: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageloom.operators.tasks import LEGAL_MOVES, chunk_stats
+from pageloom.operators.tasks import LEGAL_MOVES, chunk_counts, chunk_stats
+from pageloom.sources.keyed import KeyedTable
 
 LOGS = T.StructType([
     T.StructField("task_id", T.LongType()), T.StructField("level", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("chunk_index", T.IntegerType()),
@@ -83,23 +84,39 @@ def task_states(signals: DataFrame) -> DataFrame:
 
 
 def progress_of(logs: DataFrame) -> DataFrame:
-    """(task_id, percent, message, total, completed, failed): where each task of a batch of log lines stands.
+    """(task_id, percent, message, total, completed, failed): where each task of the log lines stands, on a table or a stream.
 
     Percent runs from 10 to 90 while chunks are worked on, as share of the chunks that are done.
     """
-    stats = chunk_stats(logs)
-    newest = logs.groupBy("task_id").agg(F.max_by("message", F.struct("created_at", "message")).alias("message"))
+    newest = F.max_by("message", F.struct("created_at", "message")).alias("message")
+    stats = logs.groupBy("task_id").agg(newest, *chunk_counts())
     done = F.when(F.col("total") > 0, F.least(F.lit(1.0), (F.col("completed") + F.col("failed")) / F.col("total"))).otherwise(0.0)
-    return stats.join(newest, "task_id").select("task_id", (F.lit(10) + F.floor(done * 80)).cast("int").alias("percent"), "message", "total", "completed", "failed")
+    return stats.select("task_id", (F.lit(10) + F.floor(done * 80)).cast("int").alias("percent"), "message", "total", "completed", "failed")
 
 
-def start_progress(logs: DataFrame, path: str, checkpoint: str, name: str | None = None, seconds: int = 2):
-    """A query that writes the progress of the tasks of each micro-batch below ``path``; a batch that is run again replaces its own folder."""
+def progress_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The table that start_progress keeps: one row for each task."""
+    return KeyedTable(spark, path, "task_id long, percent int, message string, total long, completed long, failed long", "task_id", buckets=8)
 
-    def write(batch: DataFrame, number: int) -> None:
-        progress_of(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
+def start_progress(logs: DataFrame, path: str, checkpoint: str, name: str | None = None, seconds: int = 2, keep: int = 20):
+    """A query that keeps the progress of all tasks in a table below ``path`` (progress_table reads it, in any session).
+
+    Counts are the stream's state, over all batches; a batch hands on the tasks that it changed, which are merged into
+    the table under the batch's number. So a batch that is run again, or a restart from the checkpoint, counts nothing
+    twice. Percent never falls, also where the number of chunks only becomes known later. After ``keep`` batches the
+    table is compacted.
+    """
+    table = progress_table(logs.sparkSession, path)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = table.read(below=number).select("task_id", F.col("percent").alias("_before"))
+        rows = batch.join(before, "task_id", "left").withColumn("percent", F.greatest("percent", "_before")).drop("_before")
+        table.put(rows, number)
+        if len(table.versions()) >= keep:
+            table.compact()
+
+    writer = progress_of(logs).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
     return (writer if name is None else writer.queryName(name)).start()
 
 
@@ -113,14 +130,36 @@ class TaskControl:
     Jobs started within the context carry the task's tag and end when it is cancelled. A batch flow calls ``point`` between its steps
     (Settings.point): it waits there while the task is paused, and ends with Cancelled. A stream is given as a function
     that starts it: pause stops it, resume starts it again from its checkpoint.
+
+    signals: the folder of signals.start_signals. Then the state is that of the durable table, which every session
+    sees and which outlives this one: ``point`` follows what others have sent, and a control opened anew takes the task up
+    as it stands.
     """
 
-    def __init__(self, spark: SparkSession, task_id: int, start=None, poll: float = 1.0):
+    def __init__(self, spark: SparkSession, task_id: int, start=None, poll: float = 1.0, signals: str | None = None):
         self.spark, self.tag, self.start, self.poll = spark, f"task-{task_id}", start, poll
+        self.task_id, self.signals = task_id, signals
         self.state, self.query = "processing", None
-        if start is not None:
+        self._follow()
+        if start is not None and self.state == "processing":
             self.query = start()
 
+    def _follow(self) -> None:
+        """Take over what the durable table says, and let the stream follow."""
+        if self.signals is None:
+            return
+        from pageloom.streaming.signals import state_of
+
+        seen = state_of(self.spark, self.signals, self.task_id)
+        if seen is None or seen == self.state:
+            return
+        self.state = seen
+        if seen == "processing":
+            if self.start is not None and self.query is None:
+                self.query = self.start()
+        else:
+            self._stop()
+
     def __enter__(self) -> TaskControl:
         self.spark.addTag(self.tag)
         return self
@@ -129,8 +168,10 @@ class TaskControl:
         self.spark.removeTag(self.tag)
 
     def point(self) -> None:
+        self._follow()
         while self.state == "paused":
             time.sleep(self.poll)
+            self._follow()
         if self.state == "cancelled":
             raise Cancelled(self.tag)
 

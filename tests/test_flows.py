@@ -123,7 +123,7 @@ def test_progress_sink(spark, tmp_path):
     q = live.start_progress(stream, str(tmp_path / "out"), str(tmp_path / "c"), "progress", 0)
     q.processAllAvailable()
     q.stop()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = live.progress_table(spark, str(tmp_path / "out")).read().collect()
     assert [(r.task_id, r.percent, r.message, r.total, r.completed) for r in got] == [(1, 50, "Chunk 1 completed", 4, 2)]
 
 
