@@ -4,12 +4,15 @@ Documents are read in chunks. A chunk's pre-tokens are numbered in order of firs
 sequence of numbers (its words' positions) and the chunk a list of distinct words. The words are dealt out by hash,
 packed in one blob for each chunk and target; a target encodes each distinct word once, whatever the number of chunks
 that have it, and answers every blob with the ids in the order asked. Answers and sequences meet again by chunk, where
-the ids are put back by position. No word, however frequent, makes more than one entry for each chunk.
+the ids are put back by position. No word, however frequent, makes more than one entry for each chunk, and a chunk makes
+no more blobs than it has distinct words. As the input is cut into chunks twice, one that isn't a plain read of files
+is written first.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import pack_ints, unpack_ints
+from pageloom.session import estimated_bytes, settled
 
 #: Bytes of text after which a chunk ends; a longer document is a chunk of its own.
 CHUNK_BYTES = 64 << 20
 #: A vocabulary file over this size is refused, as it is broadcast (public ones have under 10 MB).
 VOCABULARY_BYTES = 64 << 20
+#: Targets are the root of the input in units of so many bytes (as distinct words grow with the root, about), and this many at least.
+TARGET_BYTES, LEAST_TARGETS = 16 << 10, 256
 #: Bytes of ids and decoded texts after which rows are handed on.
 ROW_BYTES = 16 << 20
 
@@ -77,8 +83,8 @@ def encode_words(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[DataFr
     """(answers, sequences): answers (chunk, target, ids), sequences (chunk, doc_id, words)."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    targets = max(256, 1 << (4 * src.rdd.getNumPartitions() - 1).bit_length())
+    src = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "bpe-texts")
+    targets = max(LEAST_TARGETS, math.isqrt(estimated_bytes(src) // TARGET_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -87,12 +93,11 @@ def encode_words(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[DataFr
         for chunk, words, _ in chunks(batches, pattern):
             target = word_target(words, targets)
             order = np.argsort(target, kind="stable")
-            at = np.searchsorted(target[order], np.arange(targets + 1))
+            present, starts = np.unique(target[order], return_index=True)
             out: list[tuple[int, bytes, bytes]] = []
-            for t in range(targets):
-                if len(own := order[at[t] : at[t + 1]]):
-                    mine = [words[i] for i in own.tolist()]
-                    out.append((t, pack_ints(np.fromiter(map(len, mine), np.int64, len(mine))), pack(b"".join(mine))))
+            for t, own in zip(present.tolist(), np.split(order, starts[1:]), strict=True):
+                mine = [words[i] for i in own.tolist()]
+                out.append((t, pack_ints(np.fromiter(map(len, mine), np.int64, len(mine))), pack(b"".join(mine))))
             if out:
                 t, lengths, body = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(t)), pa.array(t, pa.int32()), pa.array(lengths, pa.binary()), pa.array(body, pa.binary())], names=["chunk", "target", "lengths", "body"])
