@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.session import cut
+from pageloom.session import stored
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -13,9 +13,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round hangs a node on its smallest neighbour (a min aggregate, so a hub with many edges is combined
     on the map side), jumps pointers twice and relabels the edges by parent. The remaining edges shrink until
-    none is left; the per-round parent tables are then composed. Every table of a round is checkpointed.
+    none is left; the per-round parent tables are then composed. Every table of a round is written and read again, so
+    that plans (and what the optimizer takes tables to weigh, a product over joins) don't grow from round to round.
     """
-    e = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct())
+    e = stored(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct(), "edges")
     levels: list[DataFrame] = []
     while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,10 +24,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         for _ in range(2):
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p").select("u", F.col("pp").alias("p"))
-        parent = cut(parent)
+        parent = stored(parent, "parents")
         levels.append(parent)
         e = e.join(parent.select("u", F.col("p").alias("pu")), "u").join(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        e = cut(e.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct())
+        e = stored(e.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(), "edges")
     if not levels:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = levels[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
