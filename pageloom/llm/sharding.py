@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.session import cut
+from pageloom.session import cut, discard, stored
 
 SHARDS = 40
-#: Rounds without a move, under other ties, after which propagation is over.
-IDLE = 3
+#: Rounds that move little or nothing, under other ties, after which propagation is over; little is a thousandth of the documents.
+IDLE, LITTLE = 3, 1000
 #: Rows that one window of the distributed ranking should hold.
 RANK_ROWS = 50_000
 
@@ -68,11 +68,12 @@ def _flows(wanted: dict[tuple[int, int], int], loads: list[int], quotas: list[in
 
 
 def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
-    """Rounds of label propagation over (g, shard, n) under a quota for each shard, until nothing moves any more.
+    """Rounds of label propagation over (g, shard, n) under a quota for each shard, until next to nothing moves any more.
 
     Every move goes to a place where the group has as many documents at least, so cut links get fewer in each round
-    and the rounds come to an end. A shard that is full and lets nothing go is closed to requests; idle rounds are
-    tried again with other ties before it is over.
+    and the rounds come to an end. A shard that is full and lets nothing go is closed to requests; idle rounds, which
+    move less than a share of 1 / LITTLE of the documents, are tried again with other ties before it is over. A round's
+    state is written and read again: lineage, and what the optimizer takes the table to weigh, stay as they are.
     """
     shards = range(len(quotas))
     parts = max(1, -(-state.count() // RANK_ROWS))  # the state has far fewer rows than the documents; so have its tasks
@@ -80,6 +81,7 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) ->
     found = dict(state.groupBy("shard").agg(F.sum("n")).collect())  # one row for each shard
     loads = [found.get(t, 0) for t in shards]
     closed: set[int] = set()
+    little, made = sum(loads) // LITTLE, []
     turn = idle = 0
     while idle < IDLE and (rounds is None or turn < rounds):
         of_use = [0 if t in closed else q for t, q in enumerate(quotas)]
@@ -99,11 +101,13 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) ->
             after = state.join(moves, ["g", "shard"], "left").select("g", F.explode(F.array(
                 F.struct("shard", (F.col("n") - F.coalesce("moved", F.lit(0))).alias("n")), F.struct(F.col("to").alias("shard"), F.coalesce("moved", F.lit(0)).alias("n"))
             )).alias("x"))
-            state = cut(after.select("g", "x.shard", "x.n").where("n > 0").coalesce(parts).groupBy("g", "shard").agg(F.sum("n").alias("n")).coalesce(parts))
+            state = stored(after.select("g", "x.shard", "x.n").where("n > 0").coalesce(parts).groupBy("g", "shard").agg(F.sum("n").alias("n")).coalesce(parts), "shard-state", made).coalesce(parts)
+            if len(made) > 1:
+                discard(state.sparkSession, made.pop(0))
             for (s, t), n in flow.items():
                 loads[s], loads[t] = loads[s] - n, loads[t] + n
             closed = {t for t in closed | full if loads[t] >= quotas[t]}
-            idle = 0
+            idle = idle + 1 if sum(flow.values()) <= little else 0
         elif full <= closed:  # nothing moves, and nothing more is to be closed
             if not wanted and not closed:
                 break
