@@ -30,7 +30,7 @@ LONGEST = 5
 #: Words after which a chunk of pieces is dealt out; a longer piece is a chunk of its own.
 CHUNK_WORDS = 1 << 19
 #: Bytes of text for each hash bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 256
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: Distinct texts (by hash, on average) in which hot beginnings are looked for, for each bucket; that only says where windows are counted.
 SAMPLE_TEXTS = 64
 #: Languages up to which their totals are broadcast; more are met by a shuffle.
@@ -150,26 +150,26 @@ def gram_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                 depth = np.where(go, k + 2, depth)
                 longer = keys[k + 1] if k + 1 < LONGEST else _mix(key + np.arange(len(key), dtype=np.uint64))
                 key = np.where(go, longer, key)
-            bucket = (_mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((rows[:, 1], rows[:, 0], lang, bucket))
-            group = bucket[order] * len(langs) + lang[order]
-            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            out = []
-            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-                own = order[s:e]
-                used, local = np.unique(rows[own], return_inverse=True)  # -1, if there, comes first
-                used = used.tolist() if used[0] < 0 else [-1, *used.tolist()]
-                local = local.reshape(-1, LONGEST) + (len(used) - 1 - local.max() if len(local) else 0)
-                names = " ".join(words[i] for i in used[1:])
-                out.append((int(bucket[own[0]]), langs[int(lang[own[0]])], pack(names.encode()), pack_ints(local.T.reshape(-1)), pack_ints(times[own], 8), pack_ints(depth[own], 1)))
-            for i in range(0, len(out), 256):
-                b, g, *blobs = zip(*out[i : i + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(g), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "lang", "words", "rows", "times", "depth"])
+            bucket = (_mix(key) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            present, starts = np.unique(bucket[order], return_index=True)
+            number, out = np.empty(len(words) + 1, np.int64), []  # -1 is the last place
+            for b, own in zip(present.tolist(), np.split(order, starts[1:]), strict=True):
+                flat = rows[own].T.reshape(-1)
+                number[flat] = np.arange(len(flat))
+                used = flat[(number[flat] == np.arange(len(flat))) & (flat >= 0)]  # each word once
+                number[used] = np.arange(1, len(used) + 1)
+                number[-1] = 0
+                names = " ".join([words[i] for i in used.tolist()])
+                out.append((b, langs, pack(names.encode()), pack_ints(number[flat]), pack_ints(lang[own]), pack_ints(times[own], 8), pack_ints(depth[own], 1)))
+            for i in range(0, len(out), 64):
+                b, g, *blobs = zip(*out[i : i + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(g, pa.list_(pa.string())), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "langs", "words", "rows", "lang", "times", "depth"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, buckets = None, Buckets(least)
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[0] != last:
                     yield from buckets.close()
                 last = row[0]
@@ -177,7 +177,7 @@ def gram_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         yield from buckets.close()
         buckets.end()
 
-    blobs = pieces.mapInArrow(deal, "bucket long, lang string, words binary, rows binary, times binary, depth binary")
+    blobs = pieces.mapInArrow(deal, "bucket long, langs array<string>, words binary, rows binary, lang binary, times binary, depth binary")
     found = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "lang string, k int, phrase string, f long")
     found = stored(found, "collocation-counts")
     counts = found.where("k > 0").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -205,13 +205,13 @@ class Buckets:
         self.db.close()
         self.folder.cleanup()
 
-    def add(self, lang: str, words: bytes, rows: bytes, times: bytes, depth: bytes) -> None:
+    def add(self, langs: list[str], words: bytes, rows: bytes, lang: bytes, times: bytes, depth: bytes) -> None:
         import zstandard
 
         names = zstandard.ZstdDecompressor().decompress(words, max_output_size=1 << 31).decode().split(" ")
         to_bucket = np.array([-1, *[self.words.setdefault(w, len(self.words)) for w in names]], np.int32)
         ids = to_bucket[unpack_ints(rows)].reshape(LONGEST, -1)
-        number = np.full(ids.shape[1], self.langs.setdefault(lang, len(self.langs)), np.int32)
+        number = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)[unpack_ints(lang)]
         self.waiting.append([number, *ids, unpack_ints(times, 8), unpack_ints(depth, 1).astype(np.int8)])
         self.rows += ids.shape[1]
         if self.rows > 1 << 19:

@@ -93,7 +93,7 @@ def test_spilling_bucket(monkeypatch):
         words = [f"w{i}" for i in range(n // 100)]
         rows = rnd.integers(1, len(words) + 1, (n, C.LONGEST))
         for part in C.np.array_split(rows, 8):
-            buckets.add("en", zstandard.compress(" ".join(words).encode()), C.pack_ints(part.T.reshape(-1)), C.pack_ints(C.np.ones(len(part), C.np.int64), 8), C.pack_ints(C.np.full(len(part), 2), 1))
+            buckets.add(["en"], zstandard.compress(" ".join(words).encode()), C.pack_ints(part.T.reshape(-1)), C.pack_ints(C.np.zeros(len(part), C.np.int64)), C.pack_ints(C.np.ones(len(part), C.np.int64), 8), C.pack_ints(C.np.full(len(part), 2), 1))
         got = {(b.column(1)[i].as_py(), b.column(2)[i].as_py()): b.column(3)[i].as_py() for b in buckets.close() for i in range(len(b))}
         pairs = Counter(map(tuple, rows[:, :2].tolist()))
         assert {p: n for (k, p), n in got.items() if k == 2} == {f"w{a - 1} w{b - 1}": n for (a, b), n in pairs.items() if n > 1}
