@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.predicates import any_of, noisy_heading
 from pageloom.functions.text import normal_title, split_digit_capital, trim_ws
 from pageloom.operators.chapters import with_tree
+from pageloom.operators.similarity import containing_pairs, number_pairs, similar_pairs
 from pageloom.session import stored
 
 #: What the rules read of a block.
@@ -87,14 +88,11 @@ def page_offsets(entries: DataFrame, body: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("id")
     first = entries.where("page_number is not null").withColumn("k", F.row_number().over(w)).where("k <= 10").select("doc_id", "k", "page_number", normal_title("title").alias("a")).where("length(a) >= 3")
-    sets = lambda c: F.array_distinct(F.split(c, r"\s+"))
-    words = first.select("doc_id", "k", "page_number", F.size(sets("a")).alias("na"), F.explode(sets("a")).alias("word"))
     asked = body.join(first.select("doc_id").distinct(), "doc_id", "left_semi")  # words of documents without entries stay where they are
-    texts = asked.select("doc_id", F.col("id").alias("bid"), "page_idx", normal_title(F.coalesce("text", F.lit(""))).alias("b")).where("b <> ''")
-    texts = texts.select("doc_id", "bid", "page_idx", F.size(sets("b")).alias("nb"), F.explode(sets("b")).alias("word"))
-    pairs = words.join(texts, ["doc_id", "word"]).groupBy("doc_id", "k", "page_number", "na", "bid", "page_idx", "nb").agg(F.count("*").alias("n"))
-    pairs = pairs.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) > 0.8)
-    hit = pairs.groupBy("doc_id", "k", "page_number").agg(F.min(F.struct("bid", "page_idx")).alias("h"))
+    texts = asked.select("doc_id", F.col("id").alias("b_id"), "page_idx", normal_title(F.coalesce("text", F.lit(""))).alias("b")).where("b <> ''")
+    met = similar_pairs(first.select("doc_id", F.col("k").alias("a_id"), _words("a").alias("wa")), texts.select("doc_id", F.struct("b_id", "page_idx").alias("b_id"), _words("b").alias("wb")), 8)
+    pairs = met.withColumnRenamed("a_id", "k").join(first.select("doc_id", "k", "page_number"), ["doc_id", "k"])
+    hit = pairs.groupBy("doc_id", "k", "page_number").agg(F.min("b_id").alias("h"))
     seen = hit.select("doc_id", "k", (F.col("h.page_idx") - F.col("page_number")).alias("o")).groupBy("doc_id", "o").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     return seen.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "k", "o"))["o"].alias("page_offset"))
 
@@ -103,34 +101,53 @@ def _words(c: Column | str) -> Column:
     return F.array_distinct(F.split(c, r"\s+"))
 
 
+def loose_pairs(entries: DataFrame, body: DataFrame) -> DataFrame:
+    """(doc_id, entry, block_id): the blocks that may match entries without a page, in the whole document.
+
+    entries: (doc_id, entry, a, num), body: (doc_id, block_id, t, b), a and b normalised. By containment, by number, or
+    by a likeness over 0.6, each by keys of its own, so that a title of common words doesn't meet every block.
+    """
+    e = entries.select("doc_id", F.col("entry").alias("a_id"), "a", "num", _words("a").alias("wa"))
+    b = body.select("doc_id", F.col("block_id").alias("b_id"), "t", "b", _words("b").alias("wb"))
+    alike = similar_pairs(e.select("doc_id", "a_id", "wa"), b.where((F.col("b") != "") & F.length("t").between(3, 200)).select("doc_id", "b_id", "wb"), 6)
+    pairs = containing_pairs(e.select("doc_id", "a_id", "a"), b.select("doc_id", "b_id", "b")).union(number_pairs(e, b)).union(alike)
+    return pairs.distinct().select("doc_id", F.col("a_id").alias("entry"), F.col("b_id").alias("block_id"))
+
+
 def match_contents(entries: DataFrame, body: DataFrame, offsets: DataFrame, reach: int = 5) -> DataFrame:
     """Anchors of contents entries: the best block within ``reach`` pages by containment, number, or likeness; else by page only.
 
-    Entries without a page are met by their words, in the whole document: a block that shares none can't be a match.
+    The most alike block by containment counts. Where it is below 0.8, a block that begins with the entry's number takes
+    its place: the first that is more alike, at 0.7 at least, or the most alike of those above 0.7. Where that is
+    below 0.6, the most alike of all short blocks above 0.6 does.
     """
     e = entries.join(offsets, "doc_id", "left").withColumn("expected", F.col("page_number") + F.coalesce("page_offset", F.lit(0))).withColumnRenamed("id", "entry")
     near = e.select("doc_id", "entry", "title", "level", "expected", normal_title("title").alias("a"), F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1).alias("num")).withColumn("wa", _words("a"))
     asked = body.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")
     b = asked.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", trim_ws("text")).withColumn("b", normal_title("text")).withColumn("wb", _words("b"))
+    columns = ["doc_id", "entry", "title", "level", "block_id", "page", "text", "t", "a", "b", "num", "wa", "wb"]
     paged = near.where("expected is not null").withColumn("page", F.explode(F.sequence(F.col("expected") - reach, F.col("expected") + reach)))
-    by_page = paged.join(b, ["doc_id", "page"]).withColumn("both", F.size(F.array_intersect("wa", "wb")))
     loose = near.where("expected is null and a <> ''")
-    ids = loose.select("doc_id", "entry", F.explode("wa").alias("word")).join(b.select("doc_id", "block_id", F.explode("wb").alias("word")), ["doc_id", "word"])
-    by_word = loose.join(ids.groupBy("doc_id", "entry", "block_id").agg(F.count("*").cast("int").alias("both")), ["doc_id", "entry"]).join(b, ["doc_id", "block_id"])
-    columns = ["doc_id", "entry", "title", "level", "block_id", "page", "text", "t", "a", "b", "num", "both", F.size("wa").alias("na"), F.size("wb").alias("nb")]
-    joined = by_page.select(*columns).unionByName(by_word.select(*columns))
-    score, t = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))), F.col("t")
-    inside = (F.col("b") != "") & (F.contains("b", F.col("a")) | F.contains("a", F.col("b"))) & (score > 0)
+    few = b.join(loose.select("doc_id").distinct(), "doc_id", "left_semi")
+    by_word = loose.join(loose_pairs(loose, few), ["doc_id", "entry"]).join(few, ["doc_id", "block_id"])
+    joined = paged.join(b, ["doc_id", "page"]).select(*columns).unionByName(by_word.select(*columns))
+    t, both = F.col("t"), F.size(F.array_intersect("wa", "wb"))
+    score = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(both / (F.size("wa") + F.size("wb") - both))
+    inside = (F.col("b") != "") & (F.contains("b", F.col("a")) | F.contains("a", F.col("b")))
     numbered = (F.col("num") != "") & (t.startswith(F.concat("num", F.lit(" "))) | t.startswith(F.concat("num", F.lit("."))))
-    close = F.length(t).between(3, 200)
-    rows = joined.select("doc_id", "entry", "title", "level", "block_id", "page", "text", score.alias("s"), inside.alias("i"), numbered.alias("n"), close.alias("c"))
-    pick = lambda ok: F.max(F.when(ok, F.struct(F.col("s"), (-F.col("block_id")).alias("o"), "block_id", "page", "text")))
-    best = rows.groupBy("doc_id", "entry", "title", "level").agg(pick(F.col("i")).alias("x1"), pick(F.col("n")).alias("x2"), pick(F.col("c") & (F.col("s") > 0.6)).alias("x3"))
-    s1 = F.coalesce(F.col("x1.s"), F.lit(0.0))
-    two = (s1 < 0.8) & (F.col("x2.s") > F.when(F.col("x1").isNull(), 0.5).otherwise(s1))
-    best = best.withColumn("y", F.when(two, F.col("x2")).otherwise(F.col("x1"))).withColumn("conf", F.when(two, F.greatest(F.col("x2.s"), F.lit(0.7))).otherwise(F.col("x1.s")))
+    rows = joined.select("doc_id", "entry", "title", "level", "block_id", "page", "text", score.alias("s"), inside.alias("i"), numbered.alias("n"), F.length(t).between(3, 200).alias("c")).where("s > 0")
+    rows = rows.withColumn("s1", F.max(F.when(F.col("i"), F.col("s"))).over(Window.partitionBy("doc_id", "entry")))
+    better = F.col("n") & (F.col("s") > F.coalesce("s1", F.lit(0.5)))
+    place = [(-F.col("block_id")).alias("o"), "block_id", "page", "text"]
+    pick = lambda ok: F.max(F.when(ok, F.struct(F.col("s"), *place)))
+    best = rows.groupBy("doc_id", "entry", "title", "level").agg(
+        pick(F.col("i")).alias("x1"), pick(better & (F.col("s") > 0.7)).alias("x2"), F.max(F.when(better, F.struct((-F.col("block_id")).alias("first"), F.struct("s", *place).alias("x"))))["x"].alias("x2first"),
+        pick(F.col("c") & (F.col("s") > 0.6)).alias("x3"),
+    )
+    two = (F.coalesce(F.col("x1.s"), F.lit(0.0)) < 0.8) & F.col("x2first").isNotNull()
+    best = best.withColumn("y", F.when(two, F.coalesce("x2", "x2first")).otherwise(F.col("x1"))).withColumn("conf", F.when(two, F.greatest(F.col("y.s"), F.lit(0.7))).otherwise(F.col("x1.s")))
     three = (F.coalesce("conf", F.lit(0.0)) < 0.6) & (F.col("x3.s") > F.coalesce("conf", F.lit(0.0)))
-    best = best.withColumn("conf", F.when(three, F.col("x3.s")).otherwise(F.col("conf"))).withColumn("y", F.when(three, F.col("x3")).otherwise(F.col("y")))
+    best = best.withColumns({"y": F.when(three, F.col("x3")).otherwise(F.col("y")), "conf": F.when(three, F.col("x3.s")).otherwise(F.col("conf"))})
     found = best.where("y is not null").select("doc_id", "entry", F.col("y.block_id").alias("block_id"), F.col("y.page").alias("page"), F.col("y.text").alias("text"), "title", "level", F.col("conf").alias("confidence"))
     missed = e.join(found.select("doc_id", "entry"), ["doc_id", "entry"], "left_anti").where("expected is not null")
     firsts = body.groupBy("doc_id", F.col("page_idx").alias("page")).agg(F.min("id").alias("block_id"))

@@ -440,9 +440,13 @@ _NUMBER = r"regexp_extract({}, '^(\d+(?:\.\d+)*)', 1)"
 #: The best block of each entry, of view J(doc_id, entry, block_id, page, num, text, ta, tb, wa, wb): view P4(doc_id, entry, y, conf).
 _BEST = r"""J2 AS (SELECT *, CASE WHEN ta = '' OR tb = '' THEN 0.0 ELSE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) END AS s FROM J),
 R AS (SELECT *, tb <> '' AND (contains(tb, ta) OR contains(ta, tb)) AND s > 0 AS i, num <> '' AND (starts_with(text, num || ' ') OR starts_with(text, num || '.')) AS n, length(text) BETWEEN 3 AND 200 AND s > 0.6 AS c FROM J2),
-P1 AS (SELECT doc_id, entry, max(CASE WHEN i THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x1, max(CASE WHEN n THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x2, max(CASE WHEN c THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x3 FROM R GROUP BY ALL),
-P2 AS (SELECT *, coalesce(coalesce(x1.s, 0) < 0.8 AND x2.s > CASE WHEN x1 IS NULL THEN 0.5 ELSE x1.s END, false) AS two FROM P1),
-P3 AS (SELECT *, CASE WHEN two THEN x2 ELSE x1 END AS y, CASE WHEN two THEN greatest(x2.s, 0.7) ELSE x1.s END AS conf FROM P2),
+R1 AS (SELECT *, max(CASE WHEN i THEN s END) OVER (PARTITION BY doc_id, entry) AS s1 FROM R),
+P1 AS (SELECT doc_id, entry, max(CASE WHEN i THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x1,
+       max(CASE WHEN n AND s > coalesce(s1, 0.5) AND s > 0.7 THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x2,
+       arg_min(CASE WHEN n AND s > coalesce(s1, 0.5) THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END, block_id) FILTER (WHERE n AND s > coalesce(s1, 0.5)) AS x2f,
+       max(CASE WHEN c THEN {'s': s, 'o': -block_id, 'b': block_id, 'p': page} END) AS x3 FROM R1 GROUP BY ALL),
+P2 AS (SELECT *, coalesce(x1.s, 0) < 0.8 AND x2f IS NOT NULL AS two FROM P1),
+P3 AS (SELECT *, CASE WHEN two THEN coalesce(x2, x2f) ELSE x1 END AS y, CASE WHEN two THEN greatest(coalesce(x2, x2f).s, 0.7) ELSE x1.s END AS conf FROM P2),
 P4 AS (SELECT doc_id, entry, CASE WHEN three THEN x3 ELSE y END AS y, CASE WHEN three THEN x3.s ELSE conf END AS conf FROM (SELECT *, coalesce(coalesce(conf, 0) < 0.6 AND x3.s > coalesce(conf, 0), false) AS three FROM P3))"""
 
 
