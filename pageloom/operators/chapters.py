@@ -117,14 +117,45 @@ def chapter_paths(chapters: DataFrame) -> DataFrame:
     return out.drop("_up")
 
 
+def disjoint(ranges: DataFrame) -> DataFrame:
+    """(doc_id, tier, s, e, v) of ranges (doc_id, tier, s, e, level, ord, v): no two of a tier overlap.
+
+    Ranges that don't overlap stay as they are, as those of one level of a tree do. Where some of a document's tier
+    overlap, its line is cut at all of their ends, and each part goes to the deepest range that covers it (ties: the
+    first in order).
+    """
+    tier, order = Window.partitionBy("doc_id", "tier"), Window.partitionBy("doc_id", "tier").orderBy("s", "ord")
+    met = F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("s"), F.lit(False))
+    flagged = ranges.withColumn("_met", met).withColumn("_tangled", F.bool_or("_met").over(tier)).drop("_met")
+    plain = flagged.where("not _tangled").select("doc_id", "tier", "s", "e", "v")
+    tangled = flagged.where("_tangled").select("doc_id", "tier", "s", "e", F.struct((-F.col("level")).alias("l"), "ord", "v").alias("c"))
+    ends = tangled.select("doc_id", "tier", F.explode(F.array("s", "e")).alias("at")).distinct()
+    line = Window.partitionBy("doc_id", "tier").orderBy("at")
+    ends = ends.select("doc_id", "tier", "at", F.lead("at").over(line).alias("next"), F.row_number().over(line).alias("k"))
+    spans = tangled.join(ends.select("doc_id", "tier", F.col("at").alias("s"), F.col("k").alias("ks")), ["doc_id", "tier", "s"])
+    spans = spans.join(ends.select("doc_id", "tier", F.col("at").alias("e"), F.col("k").alias("ke")), ["doc_id", "tier", "e"])
+    best = spans.select("doc_id", "tier", "c", F.explode(F.sequence("ks", F.col("ke") - 1)).alias("k")).groupBy("doc_id", "tier", "k").agg(F.min("c").alias("c"))
+    return plain.unionByName(best.join(ends, ["doc_id", "tier", "k"]).select("doc_id", "tier", F.col("at").alias("s"), F.col("next").alias("e"), F.col("c.v").alias("v")))
+
+
 def chapter_of(points: DataFrame, chapters: DataFrame, id_col: str = "id", value: str = "path") -> DataFrame:
     """points (doc_id, id) with the ``value`` of the deepest chapter whose range holds the id, the first in order on ties.
 
-    Ranges are lists of dense ids, so they are spread out and met by an equi-join instead of a range join.
+    A sweep: the starts of ranges and the points in one sorted union for each document, where the open range of each
+    level is the last one that began, if it goes on. One row for each point and for each chapter is shuffled, however
+    long the ranges are.
     """
-    spread = chapters.where("block_range.start < block_range.end").select("doc_id", F.explode(F.sequence(F.col("block_range.start"), F.col("block_range.end") - 1)).alias("_bid"), F.struct((-F.col("level")).alias("l"), "ord", F.col(value).alias("v")).alias("c"))
-    best = spread.groupBy("doc_id", "_bid").agg(F.min("c").alias("c"))
-    return points.join(best, (points["doc_id"] == best["doc_id"]) & (points[id_col] == best["_bid"]), "left").select(*[points[c] for c in points.columns], F.col("c.v").alias(value))
+    tier = F.least(F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)), F.lit(LEVELS + 1))
+    ranges = chapters.where("block_range.start < block_range.end").select("doc_id", tier.alias("tier"), F.col("block_range.start").alias("s"), F.col("block_range.end").alias("e"), F.coalesce("level", F.lit(0)).alias("level"), "ord", F.col(value).alias("v"))
+    begun = disjoint(ranges).select("doc_id", F.col("s").cast("long").alias("_at"), F.lit(0).alias("_kind"), "tier", F.struct("e", "v").alias("c"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_row"))
+    asked = points.select("doc_id", F.col(id_col).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast(begun.schema["c"].dataType).alias("c"), F.struct(*points.columns).alias("_row"))
+    swept = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = [F.last(F.when(F.col("tier") == k, F.col("c")), ignorenulls=True).over(swept) for k in range(LEVELS + 2)]
+    rows = begun.unionByName(asked)
+    for k, last in enumerate(open_):
+        rows = rows.withColumn(f"_open{k}", last)
+    found = F.coalesce(*[F.when(F.col(f"_open{k}.e") > F.col("_at"), F.struct(F.col(f"_open{k}.v").alias("v"))) for k in reversed(range(LEVELS + 2))])
+    return rows.where("_kind = 1").select(*[F.col(f"_row.{c}").alias(c) for c in points.columns], found["v"].alias(value))
 
 
 def entries_in_chunk(entries: DataFrame, members: DataFrame) -> DataFrame:
