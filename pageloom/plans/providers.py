@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.operators.blocks import full_text
 from pageloom.operators.chunking import members_of
+from pageloom.session import discard, scratch_path, stored
 
 #: Seconds before an answer is asked for again.
 DELAYS = (2, 4, 8)
@@ -85,19 +87,50 @@ class RuleProvider:
         return out.select("doc_id", "chunk_index", F.coalesce(text, F.lit("<empty></empty>")).alias("output"))
 
 
+class CallLedger:
+    """Answers of a model that were paid for, kept by prompt: each wave of calls is a table of its own below a folder.
+
+    A call's name is a digest of its options, its turn and its prompt. Whatever job asks, in whatever session, an
+    answered name is never asked again; calls that failed are.
+    """
+
+    SCHEMA = "call string, output string, attempt int, success boolean, error string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def rows(self) -> DataFrame:
+        """All calls; waves that were not written in full are not there."""
+        self.spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(f"{self.path}/wave=none")  # the folder is there before the first wave
+        return self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
+
+    def answered(self) -> DataFrame:
+        """(call, output, attempt): one answer for each call that succeeded."""
+        return self.rows().where("success").groupBy("call").agg(F.min_by(F.struct("output", "attempt"), F.struct("attempt", "output")).alias("x")).select("call", "x.output", "x.attempt")
+
+    def write(self, calls: DataFrame) -> None:
+        calls.write.parquet(f"{self.path}/wave={uuid.uuid4().hex}")
+
+
 class CallProvider:
     """Asks a function (prompt -> answer) once for each chunk, on at most ``workers`` tasks, with retries after ``delays`` seconds.
 
     Answers should be written to a table before they are used twice; ReplayProvider then reads that table.
+
+    ledger: a folder that driver and executors share. Then calls go in waves of ``workers`` times ``per_worker``, each of
+    which is written before the next begins: a job that is killed loses its last wave at most, and started again it
+    asks only what has no answer yet; equal prompts are asked once. ``point`` is called before each wave, to wait or to stop there.
     """
 
-    def __init__(self, ask: Callable[..., str], workers: int = 5, attempts: int = 3, delays: tuple[float, ...] = DELAYS, options: dict | None = None):
+    def __init__(self, ask: Callable[..., str], workers: int = 5, attempts: int = 3, delays: tuple[float, ...] = DELAYS, options: dict | None = None, ledger: str | None = None, per_worker: int = 1, point: Callable[[], None] | None = None):
         """options: keyword arguments of every call, such as EXTRACTION or CHAPTERS (how warm, how long, how many seconds)."""
         self.ask, self.workers, self.attempts, self.delays, self.options = ask, workers, attempts, delays, dict(options or {})
+        self.ledger, self.per_worker, self.point = ledger, per_worker, point
 
-    def complete(self, prompts: DataFrame, attempt: int | None = None) -> DataFrame:
+    def _asked(self, prompts: DataFrame, keys: list[str]) -> DataFrame:
+        """The key columns with (output, attempt, success, error) of each prompt; calls in flight at a time: workers."""
         ask, attempts, delays, options = self.ask, self.attempts, self.delays, self.options
-        kind = prompts.schema["doc_id"].dataType.simpleString()
+        kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
 
         def one(prompt: str) -> tuple[str | None, int, bool, str | None]:
             error = None
@@ -113,10 +146,34 @@ class CallProvider:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 got = pd.DataFrame([one(p) for p in pdf["prompt"]], columns=["output", "attempt", "success", "error"], dtype=object)
-                yield pd.concat([pdf[["doc_id", "chunk_index"]].reset_index(drop=True), got], axis=1)
+                yield pd.concat([pdf[keys].reset_index(drop=True), got], axis=1)
+
+        dealt = prompts.select(*keys, "prompt").repartition(self.workers)
+        return dealt.mapInPandas(run, f"{kinds}, output string, attempt int, success boolean, error string")
 
-        dealt = prompts.select("doc_id", "chunk_index", "prompt").repartition(self.workers)
-        return dealt.mapInPandas(run, f"doc_id {kind}, chunk_index int, output string, attempt int, success boolean, error string")
+    def complete(self, prompts: DataFrame, attempt: int | None = None) -> DataFrame:
+        if self.ledger is None:
+            return self._asked(prompts, ["doc_id", "chunk_index"])
+        spark = prompts.sparkSession
+        ledger, options = CallLedger(spark, self.ledger), json.dumps(self.options, sort_keys=True, default=str)
+        call = F.sha2(F.concat_ws("\n", F.lit(options), F.lit(str(attempt or 0)), "prompt"), 256)
+        named = stored(prompts.select("doc_id", "chunk_index", "prompt", call.alias("call")), "calls")
+        todo = named.select("call", "prompt").dropDuplicates(["call"]).join(ledger.answered().select("call"), "call", "left_anti")
+        left = todo.count()
+        waves = -(-left // (self.workers * self.per_worker))
+        if left:
+            path = scratch_path(spark, "call-waves")
+            todo.withColumn("wave", F.pmod(F.xxhash64("call"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(path)
+            for wave in range(waves):
+                if self.point is not None:
+                    self.point()
+                mine = spark.read.schema("call string, prompt string, wave int").parquet(path).where(F.col("wave") == wave)  # one folder
+                ledger.write(self._asked(mine, ["call"]))
+            discard(spark, path)
+        failed = ledger.rows().where("not success").groupBy("call").agg(F.max("error").alias("error"))
+        rows = named.select("doc_id", "chunk_index", "call").join(ledger.answered(), "call", "left").join(failed, "call", "left")
+        ok = F.col("attempt").isNotNull()
+        return rows.select("doc_id", "chunk_index", "output", F.coalesce("attempt", F.lit(self.attempts - 1)).alias("attempt"), ok.alias("success"), F.when(~ok, F.col("error")).alias("error"))
 
     def answers(self, chunks: DataFrame, blocks: DataFrame, attempt: int | None = None) -> DataFrame:
         return self.complete(chunk_prompts(chunks, blocks), attempt)

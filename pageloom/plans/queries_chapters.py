@@ -286,11 +286,25 @@ def model_chapters_replayed(spark, sf):
     return model_chapters(b, ReplayProvider(both), ReplayProvider(both), context=100_000_000).select("doc_id", "id", "text", "level", "parent_id")
 
 
-@query("line_diff")
+def _refined(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", text.alias("a"), F.regexp_replace(text, "the ", "").alias("b"))
+
+
+@query("line_diff", """WITH RECURSIVE T AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a, string_split(replace(coalesce(text, ''), 'the ', ''), chr(10)) AS b FROM documents),
+R AS (SELECT doc_id, 0 AS i, list_transform(a, lambda x: 0) AS r FROM T
+      UNION ALL SELECT doc_id, i + 1, list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN a[k] = b[i + 1] THEN coalesce(r[k - 1], 0) + 1 ELSE r[k] END)))
+      FROM R JOIN T USING (doc_id) WHERE i < len(b))
+SELECT doc_id, CAST(r[len(a)] AS BIGINT) AS same, CAST(len(b) - r[len(a)] AS BIGINT) AS added, CAST(len(a) - r[len(a)] AS BIGINT) AS removed FROM R JOIN T USING (doc_id) WHERE i = len(b)""")
 def line_diff(spark, sf):
     """(doc_id, same, added, removed): lines of each document against those of its refined form."""
-    text = F.coalesce("text", F.lit(""))
-    return text_diff.line_diff(table(spark, sf, "documents").select("doc_id", text.alias("a"), F.regexp_replace(text, r"\bthe ", "").alias("b")))
+    return text_diff.line_diff(_refined(spark, sf))
+
+
+@query("line_diff_hunks")
+def line_diff_hunks(spark, sf):
+    """The edit script of each document against its refined form; which of several shortest scripts it is, SQL can't say."""
+    return text_diff.diff_hunks(_refined(spark, sf))
 
 
 @query("line_diff_multiset", r"""WITH A AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), Z AS (SELECT regexp_replace(unnest(string_split(text, chr(10))), 'the ', '', 'g') AS line FROM documents),
