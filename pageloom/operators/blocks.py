@@ -6,7 +6,7 @@ joined and exploded with their position, so the dense id needs no window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,19 @@ def flatten_blocks(docs: DataFrame, blocks: str = "blocks") -> DataFrame:
     return docs.select("doc_id", F.posexplode(flat).alias("id", "b")).select("doc_id", "id", *[F.col(f"b.{c}").alias(c) for c in FLAT])
 
 
+def flatten_block_rows(rows: DataFrame) -> DataFrame:
+    """The same of (doc_id, pos, fields of a raw block), one row for each raw block: no row grows with the document.
+
+    The dense id is the number of flat blocks before, a running sum over the document.
+    """
+    raw = F.struct(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_BLOCK.fields])
+    flat = rows.select("doc_id", "pos", flat_blocks_of(raw).alias("_flat"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = flat.withColumn("_first", F.coalesce(F.sum(F.size("_flat")).over(before), F.lit(0)))
+    out = placed.select("doc_id", "_first", F.posexplode("_flat").alias("_at", "b"))
+    return out.select("doc_id", (F.col("_first") + F.col("_at")).cast("int").alias("id"), *[F.col(f"b.{c}").alias(c) for c in FLAT])
+
+
 def converted(blocks: DataFrame) -> DataFrame:
     """Flat blocks as they are shown to a model: without page and heading level."""
     return blocks.drop("text_level", "page_idx")

@@ -8,8 +8,10 @@ from pageloom.functions import predicates, strategies, text
 from pageloom.operators import anchors, blocks as ops, chunking
 from pageloom.plans.extraction import document_mode
 from pageloom.plans.registry import B, blocks, query
-from pageloom.session import table
+from pageloom.session import scratch_path, table
 from pageloom.sources import readers
+from pageloom.sources.layouts import LayoutSource
+from pageloom.sources.results import ResultSink
 
 
 @query("blocks_flatten", f"WITH {B} SELECT doc_id, id, type, text, page_idx FROM B")
@@ -219,13 +221,15 @@ def word_jaccard(spark, sf):
     return b.where("b is not null").select("doc_id", "id", text.word_jaccard("text", "b").alias("likeness"))
 
 
-@query("layout_json", r"""WITH H AS (SELECT page_id AS doc_id, regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1) AS head, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) AS x FROM pages),
+_LAYOUT_SQL = r"""WITH H AS (SELECT page_id AS doc_id, regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1) AS head, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) AS x FROM pages),
 R AS (SELECT doc_id, 0 AS a, unnest(range(0, len(x))) AS b, 'text' AS type, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS text, 7 AS page_idx, 2 AS text_level FROM H
  UNION ALL SELECT doc_id, 1, 0, 'text', regexp_replace(head, '^\s+|\s+$', '', 'g'), 7, NULL FROM H
  UNION ALL SELECT doc_id, 2, 0, 'list', NULL, 7, NULL FROM H UNION ALL SELECT doc_id, 3, 0, 'equation', 'x = ' || doc_id, 0, NULL FROM H)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INTEGER) AS id, type, text, page_idx, text_level FROM R""")
-def layout_json(spark, sf):
-    """Every page as layout JSON, read back: a table with blocks inside, an opaque table, a list that isn't of texts, a formula, a cut table."""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INTEGER) AS id, type, text, page_idx, text_level FROM R"""
+
+
+def _layout_texts(spark, sf):
+    """(doc_id, json): every page as layout JSON: a table with blocks inside, an opaque table, a list that isn't of texts, a formula, a cut table."""
     items = F.regexp_extract_all("html", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1))
     head = F.regexp_extract("html", r"<h1[^>]*>(.*?)</h1>", 1)
     block = lambda **v: F.to_json(F.struct(*[c.alias(k) for k, c in v.items()]))
@@ -237,5 +241,23 @@ def layout_json(spark, sf):
     )
     kept = F.filter(parts, lambda x: ~(x.contains('"inside":[]')))  # a table without children is another case
     json = F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]"))
-    rows = readers.parse_layouts(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), json.alias("json")))
-    return ops.flatten_blocks(rows).select("doc_id", "id", "type", "text", "page_idx", "text_level")
+    return table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), json.alias("json"))
+
+
+@query("layout_json", _LAYOUT_SQL)
+def layout_json(spark, sf):
+    """Every page's layout JSON, read back as one array for each page."""
+    return ops.flatten_blocks(readers.parse_layouts(_layout_texts(spark, sf))).select("doc_id", "id", "type", "text", "page_idx", "text_level")
+
+
+@query("layout_files", _LAYOUT_SQL)
+def layout_files(spark, sf):
+    """Every page's layout JSON as a file in the shared folder, read by the layout source as one row for each raw block."""
+    folder = scratch_path(spark, "layout-files")
+    spark.dataSource.register(ResultSink)
+    spark.dataSource.register(LayoutSource)
+    files = _layout_texts(spark, sf).select(F.concat("doc_id", F.lit("_content_list.json")).alias("name"), F.col("json").alias("content"))
+    files.write.format("results").mode("append").option("path", folder).save()
+    rows = spark.read.format("layout").load(folder)
+    page = F.regexp_extract("doc_id", r"([0-9]+)_content_list\.json$", 1).cast("long")
+    return ops.flatten_block_rows(rows).select(page.alias("doc_id"), "id", "type", "text", "page_idx", "text_level")

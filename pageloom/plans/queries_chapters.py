@@ -553,20 +553,25 @@ def answer_parse_legacy(spark, sf):
     return answers.parse_legacy(pairs.unionByName(bad)).select("doc_id", "chunk_index", "pos", "label", "type", "question_ids", "answer", "error")
 
 
-#: Broken directory answers and what is read of them: (answer, whether it can be read, entries as id|level|title).
+#: Broken directory answers and what is read of them: (answer, whether it can be read, entries as id|level|title); # is a number of the document's.
 _BROKEN = [
-    ('{"directory": [{"id": 1, "level": 1, "title": "A"}]}', True, ["1|1|A"]),
-    ('{"directory": [{"id": 2, "level": , "title": "B"},]}', True, ["2|1|B"]),
-    ('{"chapters": [{"id": [3, 4], "level": 2, "title": " C "}', True, ["3,4|2|C"]),
-    ('note {"entries": [{"id": "5", "level": "3", "title": "D"}]} end', True, ["5|3|D"]),
-    ('{"directory": [{"id": 6, "level": 1, "title": "E"}, {"id": 7, "lev', True, ["6|1|E"]),
-    ('{"directory": [{"id": 8, "level": 9, "title": "F"}, {"id": "x", "level": 1, "title": "G"}]}', True, []),
-    ("no answer", False, []),
+    ('{"directory": [{"id": #1, "level": 1, "title": "A#"}]}', True, ["#1|1|A#"]),
+    ('{"directory": [{"id": #2, "level": , "title": "B"},]}', True, ["#2|1|B"]),
+    ('{"chapters": [{"id": [3#, #4], "level": 2, "title": " C# "}', True, ["3#,#4|2|C#"]),
+    ('note {"entries": [{"id": "5#", "level": "3", "title": "D"}]} end', True, ["5#|3|D"]),
+    ('{"directory": [{"id": 6#, "level": 1, "title": "E#"}, {"id": 7#, "lev', True, ["6#|1|E#"]),
+    ('{"directory": [{"id": 8#, "level": 9, "title": "F"}, {"id": "x#", "level": 1, "title": "G"}]}', True, []),
+    ("no answer #", False, []),
 ]
+_READ = [(i, "true", *(f"'{x}'" if k != 1 else x for k, x in enumerate(e.split("|")))) for i, (_, ok, es) in enumerate(_BROKEN) if ok for e in es]
+_READ += [(i, "false", "CAST(NULL AS VARCHAR)", "CAST(NULL AS INTEGER)", "''") for i, (_, ok, _) in enumerate(_BROKEN) if not ok]
 
 
-@query("json_repair_cases", "SELECT * FROM (VALUES " + ", ".join([f"({i}, true, '{e.split('|')[0]}', {e.split('|')[1]}, '{e.split('|')[2]}')" for i, (_, ok, es) in enumerate(_BROKEN) if ok for e in es] + [f"({i}, false, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), '')" for i, (_, ok, _e) in enumerate(_BROKEN) if not ok]) + ") t(doc_id, ok, ids, level, title)")
+@query("json_repair_cases", "SELECT doc_id, k AS chunk_index, ok, replace(ids, '#', n) AS ids, level, replace(title, '#', n) AS title FROM (SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS VARCHAR) AS n FROM documents), (VALUES " + ", ".join(f"({', '.join(map(str, r))})" for r in _READ) + ") t(k, ok, ids, level, title)")
 def json_repair_cases(spark, sf):
-    """Each way of mending, one case for each; the expected rows are given."""
-    raw = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(_BROKEN)], "doc_id int, output string")
-    return answers.directory_entries(raw).select("doc_id", "ok", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "level", "title")
+    """Each document's answer broken in every way that can be mended, and in one that can't; ids and titles hold its number of lines."""
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("string")
+    cases = F.array(*[F.lit(t) for t, _, _ in _BROKEN])
+    raw = table(spark, sf, "documents").select("doc_id", lines.alias("n"), F.posexplode(cases).alias("chunk_index", "t"))
+    read = answers.directory_entries(raw.select("doc_id", "chunk_index", F.replace("t", F.lit("#"), F.col("n")).alias("output")), ("doc_id", "chunk_index"))
+    return read.select("doc_id", "chunk_index", "ok", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "level", "title")

@@ -201,14 +201,27 @@ PRESETS = [
 ]
 
 
-@query("presets_vision", "SELECT * FROM (VALUES ('alpha', 'Alpha'), ('gamma', 'Gamma')) t(id, name)")
+#: The pages' addresses as a catalog in SQL: view K(id, name, models), a model for each part of a path.
+_CATALOG = r"""K AS (SELECT CAST(page_id AS VARCHAR) AS id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS name,
+  list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS models FROM pages WHERE url IS NOT NULL)"""
+
+
+def _page_catalog(spark, sf):
+    """A preset for each page: its host, and a model for each part of its path, which sees images if it has a 1 and is recommended if it has a 2."""
+    part = F.filter(F.split(F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    model = F.transform(part, lambda x: F.struct(x.alias("id"), x.alias("name"), F.contains(x, F.lit("1")).alias("supports_vision"), F.contains(x, F.lit("2")).alias("recommended"), F.lit(None).cast("int").alias("context_window")))
+    host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
+    return table(spark, sf, "pages").where("url is not null").select(F.col("page_id").cast("int").alias("ord"), F.col("page_id").cast("string").alias("id"), host.alias("name"), host.alias("base_url"), model.alias("models"))
+
+
+@query("presets_vision", f"WITH {_CATALOG} SELECT id, name FROM K WHERE len(list_filter(models, lambda x: contains(x, '1'))) > 0")
 def presets_vision(spark, sf):
-    return readers.vision_presets(readers.presets(spark, PRESETS)).select("id", "name")
+    return readers.vision_presets(_page_catalog(spark, sf)).select("id", "name")
 
 
-@query("presets_recommended", "SELECT * FROM (VALUES ('alpha', 'a-see')) t(preset_id, model_id)")
+@query("presets_recommended", f"WITH {_CATALOG}, G AS (SELECT id, list_filter(models, lambda x: contains(x, '1') AND contains(x, '2')) AS good FROM K) SELECT id AS preset_id, good[1] AS model_id FROM G WHERE len(good) > 0")
 def presets_recommended(spark, sf):
-    return readers.recommended_models(readers.presets(spark, PRESETS))
+    return readers.recommended_models(_page_catalog(spark, sf))
 
 
 @query("preset_of_url", "SELECT page_id AS id, CASE WHEN contains(url, 'example.com/en') THEN 'alpha' WHEN contains(url, 'example.net') THEN 'beta' WHEN contains(url, 'example.com') THEN 'gamma' END AS preset_id FROM pages")
