@@ -13,7 +13,7 @@ from pageloom.functions.predicates import SanityRules, TitleRules, sanity_verdic
 from pageloom.operators import anchors, answers, blocks as block_ops, chapters, chunking, questions
 from pageloom.operators.exports import write_stage
 from pageloom.plans.providers import DELAYS, Provider, directory_prompts, window_prompts
-from pageloom.session import stored
+from pageloom.session import scope, stored
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,12 @@ def extract_questions(blocks: DataFrame, provider: Provider, tree: DataFrame | C
     return questions.quality_filtered(rows)
 
 
+def write_questions(blocks: DataFrame, provider: Provider, path: str, tree: DataFrame | Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings()) -> None:
+    """The question table written to ``path``; the tables that the way there needed are gone afterwards."""
+    with scope(blocks.sparkSession):
+        extract_questions(blocks, provider, tree, settings).write.parquet(path)
+
+
 def chapters_from_answers(round1: DataFrame, round2: DataFrame | None, blocks: DataFrame, rules: TitleRules = TitleRules()) -> DataFrame:
     """The chapter tree from one or two rounds of directory answers (doc_id, output), cleaned and checked."""
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +54,35 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key) if few else df
 
 
+_open_scope: ContextVar[list[str] | None] = ContextVar("stored tables of the open scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``stored`` writes inside are discarded at the end, also after an error.
+
+    Frames made inside read those tables, so what is to last must be written or collected before the end.
+    """
+    paths: list[str] = []
+    token = _open_scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _open_scope.reset(token)
+        for path in paths:
+            discard(spark, path)
+
+
 def stored(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
-    """The frame written as a compressed table in the shared folder, and read again; its path goes to ``made``."""
+    """The frame written as a compressed table in the shared folder, and read again; its path goes to ``made``.
+
+    It lasts until the scope that it is written in ends; without one, until the folder is emptied.
+    """
     path = scratch_path(df.sparkSession, label)
+    for paths in (made, _open_scope.get()):
+        if paths is not None:
+            paths.append(path)
     df.write.parquet(path)
-    if made is not None:
-        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import answers, chapters, questions, tasks, text_diff
 from pageloom.plans import extraction
-from pageloom.plans.providers import CallProvider, ReplayProvider, chunk_prompts, directory_prompts
+from pageloom.plans.providers import CallProvider, ReplayProvider, RuleProvider, chunk_prompts, directory_prompts
 from pageloom.session import stored
 from pageloom.sources import readers
 from pageloom.streaming import live
@@ -194,6 +194,30 @@ def test_scanner_finds_missed_headings(spark):
     assert got == [(4, 40, "Early", 1, None), (40, 80, "Chapter 2 Middle", 1, None), (70, 80, "Late", 2, 1)]
 
 
+def test_stored_tables_end_with_their_scope(spark, tmp_path, monkeypatch):
+    """A flow leaves its result and nothing else, also where it fails; without a scope tables stay."""
+    import os
+    import uuid
+
+    from pageloom.session import scope
+
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr("pageloom.session.scratch_path", lambda spark, label: str(tmp_path / "shared" / f"{label}-{uuid.uuid4().hex}"))
+    here = lambda: set(os.listdir(tmp_path / "shared"))
+    before = here()
+    rows = [("a", i, "text", f"{i}. question" if i % 3 == 0 else "more words", 0, None) for i in range(30)]
+    blocks = spark.createDataFrame(rows, BLOCK)
+    extraction.write_questions(blocks, RuleProvider(), str(tmp_path / "out"), extraction.rule_chapters)
+    assert here() == before and spark.read.parquet(str(tmp_path / "out")).count() == 10
+    with pytest.raises(ZeroDivisionError), scope(spark) as paths:
+        with scope(spark):
+            stored(spark.range(3), "inner")
+        kept = stored(spark.range(3), "outer")
+        assert kept.count() == 3 and len(paths) == 1 and len(here()) == len(before) + 1
+        1 / 0
+    assert here() == before
+
+
 def test_call_options(spark):
     from pageloom.plans.providers import EXTRACTION
 
