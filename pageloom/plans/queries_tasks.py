@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pageloom.functions import predicates, text
 from pageloom.operators import exports, tasks as ops
 from pageloom.plans.registry import B, Q, query, questions
-from pageloom.sources import readers
-from pageloom.streaming import live
-from pageloom.session import table
+from pageloom.session import scratch_path, table
+from pageloom.sources import keyed, readers
+from pageloom.streaming import live, signals
 
 
 def tasks(spark, sf):
@@ -310,3 +310,46 @@ def page_of_text(spark, sf):
 SELECT task_id, CAST(10 + floor(CASE WHEN total > 0 THEN least(1.0, (completed + failed) / total) ELSE 0.0 END * 80) AS INTEGER) AS percent, total, completed, failed FROM S""")
 def progress_of_logs(spark, sf):
     return live.progress_of(logs(spark, sf)).select("task_id", "percent", "total", "completed", "failed")
+
+
+@query("progress_of_stream", f"""WITH {LG} SELECT task_id, CAST(CASE WHEN coalesce(max(k) FILTER (WHERE kind = 'signup'), 0) > 0 THEN max(k) FILTER (WHERE kind = 'signup') ELSE count(*) FILTER (WHERE kind = 'click') END AS BIGINT) AS total,
+ count(*) FILTER (WHERE kind = 'purchase') AS completed, count(*) FILTER (WHERE kind = 'error') AS failed FROM LG GROUP BY task_id""")
+def progress_of_stream(spark, sf):
+    """The same counts by a stream over the log, several micro-batches long, from the table that it keeps."""
+    path = scratch_path(spark, "progress")
+    lines = logs(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("chunk_index", F.lit(None).cast("int"))
+    lines.select(*live.LOGS.names).repartition(4).write.parquet(f"{path}/logs")
+    stream = live.start_progress(live.log_stream(spark, f"{path}/logs", 2), f"{path}/table", f"{path}/checkpoint", seconds=0)
+    stream.processAllAvailable()
+    stream.stop()
+    return live.progress_table(spark, f"{path}/table").read().select("task_id", "total", "completed", "failed")
+
+
+@query("signal_states", """WITH S AS (SELECT user_id AS task_id, ts, event_type AS kind, max(CASE WHEN event_type IN ('signup', 'purchase') THEN ts END) OVER (PARTITION BY user_id) AS reset FROM events),
+X AS (SELECT task_id, arg_max(kind, ts) FILTER (WHERE ts = reset) AS first, bool_or(kind = 'error' AND ts > reset) AS gone, arg_max(kind, ts) FILTER (WHERE kind IN ('click', 'view') AND ts > reset) AS last FROM S WHERE reset IS NOT NULL GROUP BY task_id)
+SELECT task_id, CASE WHEN gone THEN 'cancelled' WHEN last = 'click' THEN 'paused' ELSE 'processing' END AS state FROM X WHERE first = 'signup'""")
+def signal_states(spark, sf):
+    """Events as signals of their user's task, through the durable state table."""
+    path = scratch_path(spark, "signals")
+    kind = F.col("event_type")
+    signal = F.when(kind == "signup", "register").when(kind == "click", "pause").when(kind == "view", "resume").when(kind == "error", "cancel").when(kind == "purchase", "unregister")
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), signal.alias("signal"), F.col("ts").cast("timestamp").alias("sent_at")).where("signal is not null")
+    rows.write.parquet(f"{path}/signals")
+    stream = signals.start_signals(spark, path, 0, keep_ms=10**12)
+    stream.processAllAvailable()
+    stream.stop()
+    return signals.all_states(spark, path).select("task_id", "state")
+
+
+@query("keyed_changes", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'late' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS price
+FROM orders WHERE o_orderpriority <> '1-URGENT'""")
+def keyed_changes(spark, sf):
+    """Orders as a keyed table: written, compacted into buckets, then changed and in part deleted; read without moving the base."""
+    o = table(spark, sf, "orders")
+    kept = keyed.KeyedTable(spark, scratch_path(spark, "orders"), "id long, status string, price double", "id")
+    kept.put(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")), 0)
+    kept.compact()
+    late = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.lit("late").alias("status"), (F.col("o_totalprice") * 2).alias("price"))
+    kept.put(late, 1)
+    kept.delete(o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id")), 2)
+    return kept.read()
