@@ -81,6 +81,17 @@ def cut_points(urls: DataFrame, ranges: int) -> list[tuple[str, str]]:
     return [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
 
 
+def rule_ranges(points: list[tuple[str, str]], key: str, path: str) -> list[int]:
+    """The ranges that a rule may be needed in: where its host's urls begin with its path, and where urls of subdomains are.
+
+    So the rules of a host whose urls fill many ranges are shared out among these by their paths.
+    """
+    first = bisect.bisect_left(points, (key, path))
+    past = bisect.bisect_left(range(first, len(points)), True, key=lambda i: points[i][0] != key or not points[i][1].startswith(path))
+    below = range(bisect.bisect_left(points, (key + "\0", "")), bisect.bisect_right(points, (key + TOP, "")) + 1)
+    return sorted({*range(first, first + past + 1), *below})
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages; rules has (verdict, rule).
 
@@ -109,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     def place_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = cuts.value
         for batch in batches:
-            spans = [range(bisect.bisect_left(points, (k, "")), bisect.bisect_right(points, (k + TOP, "")) + 1) for k in batch.column("key").to_pylist()]
+            spans = [rule_ranges(points, k, p) for k, p in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             which = pa.array([i for i, s in enumerate(spans) for _ in s], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r for s in spans for r in s], pa.int32()), *[batch.column(c).take(which) for c in ("path", "key", "rule", "verdict")]], names=["range", "path", "key", "rule", "verdict"])
 

@@ -238,3 +238,21 @@ def test_url_rules(spark, sf, ranges):
 def test_queries_run(spark, sf):
     for name in ("op4_decontaminate", "op6_url_rules"):
         assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_rule_ranges_hold_all_that_fits():
+    """A rule is in every range where a url may be that it fits, and in few of those that its host fills."""
+    import random
+
+    rnd = random.Random(11)
+    keys = ["com.", "com.example.", "com.example.a.", "com.example.b.", "org."]
+    urls = [(rnd.choice(keys), "/" + "".join(rnd.choice("ab/") for _ in range(rnd.randint(0, 5)))) for _ in range(400)]
+    for n in (0, 1, 7, 60):
+        points = sorted(rnd.choice(urls) for _ in range(n))
+        for key, path in {(rnd.choice(keys), rnd.choice(urls)[1]) for _ in range(60)}:
+            held = set(urlrules.rule_ranges(points, key, path))
+            for k, p in urls:
+                if (k == key or k.startswith(key)) and p.startswith(path):
+                    assert set(range(urlrules.bisect.bisect_left(points, (k, p)), urlrules.bisect.bisect_right(points, (k, p)) + 1)) <= held
+    points = sorted(("com.big.", f"/{i:05}") for i in range(1000))
+    assert sum(len(urlrules.rule_ranges(points, "com.big.", f"/{i:05}")) for i in range(1000)) <= 3000
