@@ -127,10 +127,12 @@ def match_contents(entries: DataFrame, body: DataFrame, offsets: DataFrame, reac
     b = asked.select("doc_id", F.col("id").alias("block_id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", trim_ws("text")).withColumn("b", normal_title("text")).withColumn("wb", _words("b"))
     columns = ["doc_id", "entry", "title", "level", "block_id", "page", "text", "t", "a", "b", "num", "wa", "wb"]
     paged = near.where("expected is not null").withColumn("page", F.explode(F.sequence(F.col("expected") - reach, F.col("expected") + reach)))
-    loose = near.where("expected is null and a <> ''")
-    few = b.join(loose.select("doc_id").distinct(), "doc_id", "left_semi")
-    by_word = loose.join(loose_pairs(loose, few), ["doc_id", "entry"]).join(few, ["doc_id", "block_id"])
-    joined = paged.join(b, ["doc_id", "page"]).select(*columns).unionByName(by_word.select(*columns))
+    joined = paged.join(b, ["doc_id", "page"]).select(*columns)
+    loose = stored(near.where("expected is null and a <> ''"), "loose-entries")
+    if not loose.isEmpty():  # their documents' blocks are read several times, so they are written once
+        few = stored(b.join(loose.select("doc_id").distinct(), "doc_id", "left_semi"), "loose-blocks")
+        by_word = loose.join(loose_pairs(loose, few), ["doc_id", "entry"]).join(few, ["doc_id", "block_id"])
+        joined = joined.unionByName(by_word.select(*columns))
     t, both = F.col("t"), F.size(F.array_intersect("wa", "wb"))
     score = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(both / (F.size("wa") + F.size("wb") - both))
     inside = (F.col("b") != "") & (F.contains("b", F.col("a")) | F.contains("a", F.col("b")))

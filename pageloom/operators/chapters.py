@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.predicates import TitleRules, cleanup_reason
 from pageloom.functions.text import TITLE_LIMIT
+from pageloom.session import stored
 
 LEVELS = 4
 
@@ -122,12 +123,14 @@ def disjoint(ranges: DataFrame) -> DataFrame:
 
     Ranges that don't overlap stay as they are, as those of one level of a tree do. Where some of a document's tier
     overlap, its line is cut at all of their ends, and each part goes to the deepest range that covers it (ties: the
-    first in order).
+    first in order). The ranges are written once, as both kinds are read from them.
     """
     tier, order = Window.partitionBy("doc_id", "tier"), Window.partitionBy("doc_id", "tier").orderBy("s", "ord")
     met = F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("s"), F.lit(False))
-    flagged = ranges.withColumn("_met", met).withColumn("_tangled", F.bool_or("_met").over(tier)).drop("_met")
+    flagged = stored(ranges.withColumn("_met", met).withColumn("_tangled", F.bool_or("_met").over(tier)).drop("_met"), "ranges")
     plain = flagged.where("not _tangled").select("doc_id", "tier", "s", "e", "v")
+    if flagged.where("_tangled").isEmpty():
+        return plain
     tangled = flagged.where("_tangled").select("doc_id", "tier", "s", "e", F.struct((-F.col("level")).alias("l"), "ord", "v").alias("c"))
     ends = tangled.select("doc_id", "tier", F.explode(F.array("s", "e")).alias("at")).distinct()
     line = Window.partitionBy("doc_id", "tier").orderBy("at")
