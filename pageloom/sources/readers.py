@@ -15,6 +15,8 @@ from pageloom.operators.blocks import RAW_BLOCK
 MODEL = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("supports_vision", T.BooleanType()), T.StructField("recommended", T.BooleanType()), T.StructField("context_window", T.IntegerType())])
 #: Characters of an address by which presets and configurations meet.
 KEY = 6
+#: Presets up to which a catalog's addresses are tried one by one.
+FEW = 64
 PRESET = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("base_url", T.StringType()), T.StructField("models", T.ArrayType(MODEL))])
 
 
@@ -144,12 +146,22 @@ def recommended_models(catalog: DataFrame) -> DataFrame:
 def preset_of_url(configs: DataFrame, catalog: DataFrame) -> DataFrame:
     """configs with preset_id: the first preset, in the catalog's order, whose address is part of the configuration's.
 
-    Addresses meet by their first KEY characters (shorter ones by all they have), so that this is an equi-join whatever
-    the size of the catalog; what meets is then compared whole.
+    The addresses of a catalog of FEW presets at most are tried one by one where each configuration is: no shuffle, and
+    nothing for the driver but these presets. Those of a larger one meet by their first KEY characters (shorter ones by
+    all they have), an equi-join whatever the catalog's size; what meets is then compared whole.
     """
-    c = catalog.select("ord", F.col("id").alias("preset"), "base_url", F.substring("base_url", 1, KEY).alias("key"))
+    c = catalog.select("ord", F.col("id").alias("preset"), "base_url").where("ord is not null and base_url is not null")
+    few = c.limit(FEW + 1).collect()
+    rest = [x for x in configs.columns if x != "api_url"]
+    if len(few) <= FEW:
+        found = F.lit(None).cast("string")
+        for r in sorted(few, key=lambda r: r.ord, reverse=True):
+            found = F.when(F.contains("api_url", F.lit(r.base_url)), F.lit(r.preset).cast("string")).otherwise(found)
+        return configs.select("api_url", *rest, found.alias("preset_id"))
+    c = c.withColumn("key", F.substring("base_url", 1, KEY))
+    lengths = sorted(r[0] for r in c.select(F.length("key")).distinct().collect())  # KEY + 1 at most
     urls = configs.select("api_url").where("api_url is not null").distinct()
-    at = F.transform(F.sequence(F.lit(1), F.length("api_url") + 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(KEY)), lambda n: F.substring("api_url", i, n)))
+    at = F.transform(F.sequence(F.lit(1), F.length("api_url") + 1), lambda i: F.array(*[F.substring("api_url", i, F.lit(n)) for n in lengths]))
     met = urls.select("api_url", F.explode(F.array_distinct(F.flatten(at))).alias("key")).join(c, "key").where(F.contains("api_url", F.col("base_url")))
     best = met.groupBy("api_url").agg(F.min_by("preset", "ord").alias("preset_id"))
     return configs.join(best, "api_url", "left")

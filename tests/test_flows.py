@@ -165,6 +165,18 @@ def test_preset_of_any_address(spark):
     assert got == {i: next((r["id"] for r in records if u is not None and r["base_url"] in u), None) for i, u in enumerate(urls)}
 
 
+def test_preset_of_few_and_many(spark):
+    """Few presets need no shuffle; many meet by keys, with the same result."""
+    urls = [f"http://api{i}.net/v{i % 3}" for i in range(90)] + ["", None, "api", "zzz"]
+    df = spark.createDataFrame(list(enumerate(urls)), "id int, api_url string")
+    for n in (0, 3, readers.FEW, 90):
+        records = [{"id": f"p{i}", "base_url": f"api{i}.net" if i % 9 else f"/v{i % 2}", "models": []} for i in range(n)]
+        found = readers.preset_of_url(df, readers.presets(spark, records))
+        assert found.columns == ["api_url", "id", "preset_id"]
+        assert {r.id: r.preset_id for r in found.collect()} == {i: next((r["id"] for r in records if u is not None and r["base_url"] in u), None) for i, u in enumerate(urls)}
+        assert n > readers.FEW or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chapters_and_prompts_stay_small(spark):
     """Stored tables keep types; prompts hold only their chunk's blocks."""
     blocks = stored(spark.createDataFrame([("a", i, "text", f"t{i}", 0, None) for i in range(6)], BLOCK), "b")
