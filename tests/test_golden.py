@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,12 @@ def test_rule_tree(spark):
     tree = anchors.rule_tree(b).orderBy("ord").collect()
     assert [(r.text, r.level, r.block_range.start) for r in tree][:3] == [("1 Numbers", 1, 6), ("2 Shapes here", 1, 8), ("Unit 3 Data", 1, 9)]
     assert next(r for r in tree if r.text == "3.1 Bars").parent_id == 2
+
+
+def test_quick_patterns(spark):
+    """The classes that every character is tried on hold the same characters as their plain forms, of all there are."""
+    every = spark.range(0x110000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    plain = {text.WS: r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]", text.NO_WORD: r"[^A-Za-z0-9_\s\x{4e00}-\x{9fff}]", text.NUMERAL: "[一二三四五六七八九十百零]"}
+    counts = every.agg(*[F.count_if(F.col("c").rlike(a) != F.col("c").rlike(b)) for a, b in plain.items()], F.count("*")).first()
+    assert tuple(counts) == (0, 0, 0, 0x110000 - 0x800)
+    assert all(not re.search(r"\\s|A-Z|a-z", p) for p in plain)  # an ASCII range or class is not in the bit set
