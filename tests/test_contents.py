@@ -91,3 +91,13 @@ def test_similar_pairs_equal_all_pairs(spark):
         got = similarity.similar_pairs(spark.createDataFrame(a, "doc_id string, a_id int, wa array<string>"), spark.createDataFrame(b, "doc_id string, b_id int, wb array<string>"), tenths)
         want = {("d", i, j) for _, i, x in a for _, j, y in b if 10 * len(set(x) & set(y)) > tenths * len(set(x) | set(y))}
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_page_offsets_move_blocks_once(spark):
+    """Long texts are met whole: their words are not spread out, so nothing that is shuffled is larger than the texts."""
+    long = " ".join(f"word{i}" for i in range(60))
+    entries = spark.createDataFrame([("a", 0, "Alpha beta gamma", 3), ("a", 1, long, 4), ("a", 2, "xy", 1), ("b", 0, long, 7)], "doc_id string, id int, title string, page_number int")
+    body = spark.createDataFrame([("a", 5, 9, "alpha  BETA, gamma"), ("a", 6, 8, long + " more"), ("a", 7, 6, "alpha beta gamma"), ("a", 8, 2, None), ("b", 1, 7, long[:100]), ("c", 1, 7, long)], "doc_id string, id int, page_idx int, text string")
+    found = anchors.page_offsets(entries, body)
+    assert [tuple(r) for r in found.collect()] == [("a", 6)]
+    assert "explode(slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
