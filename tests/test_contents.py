@@ -101,3 +101,14 @@ def test_page_offsets_move_blocks_once(spark):
     found = anchors.page_offsets(entries, body)
     assert [tuple(r) for r in found.collect()] == [("a", 6)]
     assert "explode(slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_best_over_ends_of_runs(spark):
+    """Each block in reach is met once, also beyond the end of a run of pages; an entry is a row or two, not one for each pair."""
+    entries = spark.createDataFrame([("a", 1, 63, "one two", ""), ("a", 2, 64, "3 gamma", "3"), ("a", 3, 10, "far away", ""), (None, 4, 63, "one two", "")], "doc_id string, entry int, expected int, a string, num string")
+    body = spark.createDataFrame([("a", 100 + p, p, "3 gamma one two", "3 gamma one two") for p in range(50, 80)] + [("a", 300, 65, "3 gamma", "3 gamma"), ("a", 301, None, "one two", "one two"), (None, 5, 63, "one two", "one two")], "doc_id string, block_id int, page int, t string, b string")
+    rows = anchors.near_best(entries, body, 5).collect()
+    assert len(rows) <= 4 and {r.doc_id for r in rows} == {"a"}
+    best = lambda e: max(r.x1 for r in rows if r.entry == e and r.x1 is not None)
+    assert tuple(best(1)) == (0.5, -158, 58) and tuple(best(2)) == (1.0, -300, 65) and not [r for r in rows if r.entry == 3]
+    assert sorted(tuple(x) for r in rows if r.entry == 2 for x in r.firsts) == [(0.5, -164, 64), (0.5, -159, 59), (1.0, -300, 65)]
