@@ -25,3 +25,7 @@ def test_word_count_upto(spark):
 
 def test_round_acceptance_reads_entries_once(spark, sf):
     assert "split(" not in plan(query(spark, sf, "round_acceptance"))
+
+
+def test_chapter_paths_by_joins_reads_the_tree_once(spark, sf):
+    assert "split(" not in plan(query(spark, sf, "chapter_paths_by_joins"))
