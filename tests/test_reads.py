@@ -29,3 +29,22 @@ def test_round_acceptance_reads_entries_once(spark, sf):
 
 def test_chapter_paths_by_joins_reads_the_tree_once(spark, sf):
     assert "split(" not in plan(query(spark, sf, "chapter_paths_by_joins"))
+
+
+def seen_plans(monkeypatch, module, name):
+    """The plans of the frames that a function is given, or gives, in the order of its calls."""
+    real, plans = getattr(module, name), []
+
+    def watched(*args, **more):
+        out = real(*args, **more)
+        plans.append((plan(args[0]), plan(out)))
+        return out
+
+    monkeypatch.setattr(module, name, watched)
+    return plans
+
+
+def test_chapters_from_answers_reads_answers_once(spark, sf, monkeypatch):
+    plans = seen_plans(monkeypatch, answers, "directory_entries")
+    query(spark, sf, "chapters_from_answers")
+    assert len(plans) == 2 and not any("split(" in given for given, _ in plans)
