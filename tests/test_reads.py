@@ -48,3 +48,25 @@ def test_chapters_from_answers_reads_answers_once(spark, sf, monkeypatch):
     plans = seen_plans(monkeypatch, answers, "directory_entries")
     query(spark, sf, "chapters_from_answers")
     assert len(plans) == 2 and not any("split(" in given for given, _ in plans)
+
+
+def test_model_chapters_makes_outlines_once(spark, sf, monkeypatch):
+    plans = seen_plans(monkeypatch, extraction, "directory_prompts")
+    query(spark, sf, "model_chapters")
+    assert len(plans) == 2 and not any("regexp_replace" in made for _, made in plans)
+
+
+def test_outline_lines_of_long_texts(spark):
+    """A line is the same whether its text is cleaned in whole or in part."""
+    long = ["ab  c\t" * 300, " " * 700 + "x y " * 200, "x" * 199 + " " * 900 + "y", "x" * 200 + " " * 900, "a" * 601, "q " * 300 + "$a$", "![i](j)" + "w  " * 400, "é　" * 500]
+    rows = spark.createDataFrame(list(enumerate(long)), "id int, text string").select(F.lit(1).alias("doc_id"), "id", F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"), F.lit(None).cast("int").alias("text_level"))
+    got = {r.id: r.line for r in block_ops.outline_lines(rows).collect()}
+    clean = [" ".join(t.replace("$a$", "[EQ]").replace("![i](j)", "[IMG]").split()) for t in long]
+    assert got == {i: f"[{i}|p0] " + (c[:200] + "..." if len(c) > 200 else c) for i, c in enumerate(clean)}
+
+
+def test_trims_and_spaces(spark):
+    rows = spark.createDataFrame([(t,) for t in (" a b ", "a\tb", "　a　 b", "a  b\n", "", None, "   ")], "t string")
+    got = rows.select(trim_plain("t").alias("p"), trim_ws("t").alias("w"), collapse_ws("t").alias("c")).collect()
+    assert [r.p for r in got] == [r.w for r in got] == ["a b", "a\tb", "a　 b", "a  b", "", None, ""]
+    assert [r.c for r in got] == [" a b ", "a b", " a b", "a b ", "", None, " "]
