@@ -70,3 +70,19 @@ def test_trims_and_spaces(spark):
     got = rows.select(trim_plain("t").alias("p"), trim_ws("t").alias("w"), collapse_ws("t").alias("c")).collect()
     assert [r.p for r in got] == [r.w for r in got] == ["a b", "a\tb", "a　 b", "a  b", "", None, ""]
     assert [r.c for r in got] == [" a b ", "a b", " a b", "a b ", "", None, " "]
+
+
+def test_contents_entries_reads_contents_pages_only(spark, sf):
+    """Patterns of entries are tried on the written blocks of contents pages, and pages are found in one read."""
+    made = plan(query(spark, sf, "contents_entries"))
+    assert made.count("Relation [") == 1 and "Join" not in made
+
+
+def test_contents_pages_reads_blocks_once(spark):
+    rows = [(d, i, "text", t, i // 4, None) for d in (1, None) for i, t in enumerate(["Contents", *[f"Unit {k} Words of it {k}" for k in range(1, 7)], "Unit 7 and 8 9\x85", "so 12", "1 Title 3", "2 Title 5", "Unit x"])]
+    b = spark.createDataFrame(rows, "doc_id int, id int, type string, text string, page_idx int, text_level int")
+    pages = anchors.contents_pages(b)
+    assert plan(pages).count("LogicalRDD") == 1
+    assert sorted(map(tuple, pages.collect())) == [(1, 0), (1, 1)]  # page 2 has two entries, a page that follows needs three
+    want = "(?i)" + "|".join(f"(?:{p})" for p in anchors.ENTRY_ANY_CASE) + "|(?-i:" + "|".join(anchors.ENTRY_WITH_CASE) + ")"
+    assert [r[0] for r in b.where("doc_id = 1").orderBy("id").select(F.col("text").rlike(want)).collect()] == [r[0] for r in b.where("doc_id = 1").orderBy("id").select(anchors.is_entry("text")).collect()]
