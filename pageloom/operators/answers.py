@@ -68,8 +68,11 @@ def parse_legacy(answers: DataFrame) -> DataFrame:
 
 
 def id_list(ids: Column) -> Column:
-    """Array of the leading integers of a comma-separated list; what has none is null."""
-    return F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.regexp_extract(x, r"^\s*([+-]?\d+)", 1).try_cast("int"))
+    """Array of the leading integers of a comma-separated list; what has none is null.
+
+    An empty one isn't cast: a cast that fails costs as much as a hundred that don't.
+    """
+    return F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.when(x != "", F.regexp_extract(x, r"^\s*([+-]?\d+)", 1).try_cast("int")))
 
 
 def shown_text(kind: Column, text: Column, img: Column, caption: Column, limit: int = MAX_FORMULA) -> Column:

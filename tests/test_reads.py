@@ -86,3 +86,17 @@ def test_contents_pages_reads_blocks_once(spark):
     assert sorted(map(tuple, pages.collect())) == [(1, 0), (1, 1)]  # page 2 has two entries, a page that follows needs three
     want = "(?i)" + "|".join(f"(?:{p})" for p in anchors.ENTRY_ANY_CASE) + "|(?-i:" + "|".join(anchors.ENTRY_WITH_CASE) + ")"
     assert [r[0] for r in b.where("doc_id = 1").orderBy("id").select(F.col("text").rlike(want)).collect()] == [r[0] for r in b.where("doc_id = 1").orderBy("id").select(anchors.is_entry("text")).collect()]
+
+
+def test_answers_are_spread(spark, sf, monkeypatch):
+    """Short answers are parsed by as many tasks as there are cores, not in one for their few bytes."""
+    plans = []
+    real = answers.parse_answers
+    monkeypatch.setattr(answers, "parse_answers", lambda raw: (plans.append(len(raw.inputFiles())), real(raw))[1])
+    query(spark, sf, "extract_questions")
+    assert plans and min(plans) >= 4
+
+
+def test_id_list(spark):
+    rows = spark.createDataFrame([("1, 2",), ("",), (None,), ("3,,x, +4b,-5 ",), (" ",)], "t string")
+    assert [r[0] for r in rows.select(answers.id_list(F.col("t"))).collect()] == [[1, 2], [None], [None], [3, None, None, 4, -5], [None]]
