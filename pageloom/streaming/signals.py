@@ -7,11 +7,11 @@ writes what changed into a table with one row for each task. Flows look their ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -41,7 +41,10 @@ def after(state: str | None, signal: str) -> str | None:
 
 
 class SignalState(StatefulProcessor):
-    """One value for each task: its state and since when it is paused or cancelled."""
+    """One value for each task: its state and since when it is paused or cancelled.
+
+    It takes and gives rows: a task has few signals in a batch, and a frame for each would cost more than they do.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
@@ -51,10 +54,10 @@ class SignalState(StatefulProcessor):
         value = T.StructType([T.StructField("state", T.StringType()), T.StructField("paused_at", T.TimestampType()), T.StructField("cancelled_at", T.TimestampType())])
         self.value = handle.getValueState("state", value)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         state, paused, cancelled = self.value.get() if self.value.exists() else (None, None, None)
-        waiting = sorted((r.sent_at.to_pydatetime(), r.signal) for pdf in rows for r in pdf.itertuples(index=False))
-        for at, signal in waiting:
+        waiting = sorted((-math.inf if r.sent_at is None else r.sent_at.timestamp(), r.signal, r.sent_at) for r in rows)
+        for _, signal, at in waiting:
             now = after(state, signal)
             if now != state or signal == "register":
                 paused = at if now == "paused" else None
@@ -63,21 +66,16 @@ class SignalState(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if state == "cancelled":
-            self.handle.registerTimer(int(pd.Timestamp(cancelled).timestamp() * 1000) + self.keep_ms)
+            self.handle.registerTimer(int(cancelled.timestamp() * 1000) + self.keep_ms)
         if state is None:
             self.value.clear()
         else:
             self.value.update((state, paused, cancelled))
-        yield self._row(key[0], state, paused, cancelled)
+        yield Row(task_id=key[0], state=state, paused_at=paused, cancelled_at=cancelled)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.value.clear()
-        yield self._row(key[0], None, None, None)
-
-    @staticmethod
-    def _row(task_id, state, paused, cancelled) -> pd.DataFrame:
-        out = pd.DataFrame({"task_id": [task_id], "state": pd.Series([state], dtype=object)})
-        return out.assign(paused_at=pd.Series([paused], dtype="datetime64[ns]"), cancelled_at=pd.Series([cancelled], dtype="datetime64[ns]"))
+        yield Row(task_id=key[0], state=None, paused_at=None, cancelled_at=None)
 
     def close(self) -> None:
         pass
@@ -90,7 +88,7 @@ def signal_states(signals: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
     none but its end.
     """
     timed = signals.withWatermark("sent_at", LATE)
-    return timed.groupBy("task_id").transformWithStateInPandas(SignalState(keep_ms), STATES, "Update", "EventTime")
+    return timed.groupBy("task_id").transformWithState(SignalState(keep_ms), STATES, "Update", "EventTime")
 
 
 def state_table(spark: SparkSession, path: str) -> KeyedTable:

@@ -100,3 +100,27 @@ def test_answers_are_spread(spark, sf, monkeypatch):
 def test_id_list(spark):
     rows = spark.createDataFrame([("1, 2",), ("",), (None,), ("3,,x, +4b,-5 ",), (" ",)], "t string")
     assert [r[0] for r in rows.select(answers.id_list(F.col("t"))).collect()] == [[1, 2], [None], [None], [3, None, None, 4, -5], [None]]
+
+
+def test_signals_are_taken_as_rows(spark):
+    """A state is kept row by row: no frame is made for each task."""
+    from pyspark.sql import Row
+    from datetime import datetime
+
+    from pageloom.streaming.signals import SignalState
+
+    class Value:
+        state = None
+        exists = lambda self: self.state is not None
+        get = lambda self: self.state
+        update = lambda self, x: setattr(self, "state", x)
+        clear = lambda self: setattr(self, "state", None)
+
+    class Handle:
+        listTimers = lambda self: iter(())  # noqa: E731, N815
+
+    one = SignalState(1000)
+    one.handle, one.value = Handle(), Value()
+    at = [datetime(2024, 1, 1, 0, 0, k) for k in range(3)]
+    rows = [Row(task_id=7, signal="pause", sent_at=at[2]), Row(task_id=7, signal="register", sent_at=at[1]), Row(task_id=7, signal="resume", sent_at=at[0])]
+    assert list(one.handleInputRows((7,), iter(rows), None)) == [Row(task_id=7, state="paused", paused_at=at[2], cancelled_at=None)]
