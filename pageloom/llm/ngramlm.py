@@ -1,23 +1,25 @@
 """N-gram language model in Elias-Fano tries, dealt out by context.
 
 Documents are read in chunks. A chunk sends each target its distinct words and word pairs with their counts in the
-training documents; the target merges what all chunks sent, builds a trie (contexts with monotone pointers into their
-sorted successors, all in Elias-Fano code under sampled counts, and quantised counts of pairs) in a memory map, and
+training documents, and the target merges what all chunks sent. When all have counted, each target builds a trie
+(contexts with monotone pointers into their sorted successors, all in Elias-Fano code under sampled counts, with the
+quantised probabilities of pairs and backoff weights of contexts) in a file of its task that is mapped into memory, and
 answers every chunk's pairs by successor search within the context's range. Answers and the chunk's word sequences
 meet again by chunk, where each document is scored. Pairs go to a target by context; those of a frequent context by
 context and a part of its successors, the more parts the more frequent it is. Each distinct pair is sent once for a
 chunk, so a frequent pair is no burden.
 
 The model is a bigram with absolute discounting: three discounts (of counts 1, 2 and more) from the counts of counts of
-all targets together, so that neither the file layout nor the number of targets matters. Targets answer quantised
-counts, as discounts are known only when all have counted; probabilities are made of them where documents are scored.
-Pairs are interpolated with a discounted unigram, whose counts are exact, and this with a uniform share for unseen
-words. Words are named by 64-bit hashes, and successors within a context by 40 bits.
+all targets together, and a frequent context's weight from all its parts, so that neither the file layout nor the
+number of targets matters. The discounted probability of a pair and the backoff weight of its context come from the
+trie; the weight goes to a discounted unigram, whose counts are exact (the base needs them), and this is interpolated
+with a uniform share for unseen words. Words are named by 64-bit hashes, and successors within a context by 40 bits.
 """
 
 from __future__ import annotations
 
 import mmap
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import crc_mod, fold_ascii, pack_ints, unpack_ints
-from pageloom.session import cut, settled
+from pageloom.session import cut, let_go, settled
 
 CHUNK_BYTES = 10 << 20
 #: Hash names of the end of a text and of what comes before its first word (no word is empty or has a space).
@@ -35,6 +37,10 @@ LOW40 = (1 << 40) - 1
 #: Words with this share of those of a bounded sample have their successors spread over more targets, the more the greater
 #: the share; that only says where pairs are counted.
 HOT_SHARE, HOT_SAMPLE, MOST_SPREAD = 0.001, 2000, 1 << 16
+#: Decades from which counts, and probabilities, are quantised.
+COUNTS_FROM, PROBABILITIES_FROM = -3, -16
+#: Name of the row with a target's own pairs, before those of its chunks.
+OWN = -1
 
 
 class Bits:
@@ -124,29 +130,35 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts and their successors of one target: two levels in one memory map, which is the task's own and has no file.
+    """Contexts and their successors of one target: two levels in one file that is mapped into memory.
 
-    Level one has the contexts' names; monotone pointers lead to level two, whose successors are sorted within each
-    context, with the codes of the pairs' counts. All sequences are in Elias-Fano code, and nothing is unpacked.
+    Level one has the contexts' names with the codes of their backoff weights; monotone pointers lead to level two, whose
+    successors are sorted within each context, with the codes of the pairs' values. All sequences are in Elias-Fano code,
+    and nothing is unpacked. The file lies without a name in the task's own temporary folder and goes with the map.
     """
 
     SLICE = 1 << 18
 
-    def __init__(self, contexts: np.ndarray, ctx: np.ndarray, successors: np.ndarray, counts: np.ndarray):
-        """contexts: sorted 63-bit names; ctx: the context's number for each pair, sorted with successors."""
+    def __init__(self, contexts: np.ndarray, ctx: np.ndarray, successors: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None, low: int = COUNTS_FROM):
+        """contexts: sorted 63-bit names; ctx: the context's number for each pair, sorted with successors; values of pairs and weights
+        of contexts (none given: none) are quantised from 10 ** low."""
         begins = np.searchsorted(ctx, np.arange(len(contexts) + 1))
         made = [EliasFano.parts(contexts, (1 << 63) - 1), EliasFano.parts(begins, len(ctx) + 1), EliasFano.parts((ctx << 40) | successors, max(1, len(contexts)) << 40)]
-        parts = [x for _, low, high in made for x in (high, low)] + [quantise(counts).view(np.uint8)]
-        sizes = [len(p) + -len(p) % 64 for p in parts]  # whole words for each part
-        self.map = mmap.mmap(-1, max(1, sum(sizes)))
+        parts = [x for _, bits, high in made for x in (high, bits)]
+        parts += [quantise(x, low).view(np.uint8) for x in (values, np.empty(0) if weights is None else weights)]
+        with tempfile.TemporaryFile() as file:
+            for p in parts:
+                file.write(p)
+                file.write(bytes(-len(p) % 64))  # whole words for each part
+            file.flush()
+            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         views, at = [], 0
-        for p, size in zip(parts, sizes, strict=True):
+        for p in parts:
             views.append(np.frombuffer(self.map, np.uint8, len(p), at))
-            views[-1][:] = p
-            at += size
+            at += len(p) + -len(p) % 64
         lengths = [len(contexts), len(begins), len(ctx)]
         self.contexts, self.pointers, self.level = (EliasFano(n, bits, views[2 * i + 1], views[2 * i]) for i, (n, (bits, _, _)) in enumerate(zip(lengths, made, strict=True)))
-        self.codes = views[-1].view(np.uint16)
+        self.codes, self.weights = views[-2].view(np.uint16), views[-1].view(np.uint16)
 
     def number(self, names: np.ndarray) -> np.ndarray:
         """The numbers of contexts that are all there, by level one."""
@@ -166,16 +178,16 @@ class Trie:
         return out
 
     def size(self) -> int:
-        return self.contexts.size() + self.pointers.size() + self.level.size() + self.codes.nbytes
+        return self.contexts.size() + self.pointers.size() + self.level.size() + self.codes.nbytes + self.weights.nbytes
 
 
-def quantise(mass: np.ndarray) -> np.ndarray:
-    """Codes of positive counts on a grid of 1/4000 decade; 0 is kept for none."""
-    return np.where(mass > 0, 1 + np.round((np.log10(np.maximum(mass, 1e-3)) + 3) * 4000), 0).clip(0, 65535).astype(np.uint16)
+def quantise(mass: np.ndarray, low: int = COUNTS_FROM) -> np.ndarray:
+    """Codes of positive values on a grid of 1/4000 decade from 10 ** low; 0 is kept for none."""
+    return np.where(mass > 0, 1 + np.round((np.log10(np.maximum(mass, 10.0**low)) - low) * 4000), 0).clip(0, 65535).astype(np.uint16)
 
 
-def dequantise(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code - 1) / 4000 - 3), 0.0)
+def dequantise(code: np.ndarray, low: int = COUNTS_FROM) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((code - 1) / 4000 + low), 0.0)
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -190,6 +202,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def masses(contexts: int, ctx: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count of each context, how many of its successors are seen once, twice, more often) of pairs' counts."""
+    seen = counts > 0
+    kinds = np.bincount(ctx[seen] * 3 + np.minimum(counts[seen], 3) - 1, minlength=3 * contexts).reshape(-1, 3)
+    return np.bincount(ctx, counts, contexts).astype(np.int64), kinds
+
+
+def steps(numbers: np.ndarray) -> np.ndarray:
+    """Non-decreasing numbers as what each is more than the one before."""
+    return np.diff(numbers, prepend=0)
+
+
 class Chunk:
     """Word hashes, the sequence of word numbers of all documents, and the order in which targets are asked."""
 
@@ -199,19 +223,24 @@ class Chunk:
         before = np.r_[0, sequence[:-1]]
         before[starts] = 1  # numbers 0 and 1 are the end and the begin
         pairs, self.pair_of = np.unique((before << 32) | sequence, return_inverse=True)
-        left, self.right = pairs >> 32, pairs & 0xFFFFFFFF
+        self.left, self.right = pairs >> 32, pairs & 0xFFFFFFFF
+        self.h2 = (hashes[self.right] & np.uint64(LOW40)).astype(np.int64)
         spread = np.ones(len(hashes), np.int64)  # parts of each word's successors, a power of two
         if len(hot[0]):
             place = np.minimum(np.searchsorted(hot[0], hashes), len(hot[0]) - 1)
             spread = np.where(hot[0][place] == hashes, hot[1][place], 1)
-        wide = np.unique(left[spread[left] > 1])  # every part of a spread context is asked for what it leaves to unseen words
-        each = spread[wide]
-        parts = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        self.left = np.r_[left, np.repeat(wide, each)]
-        self.h2 = np.r_[(hashes[self.right] & np.uint64(LOW40)).astype(np.int64), parts]
-        h1, part = hashes[self.left], (self.h2 & (spread[self.left] - 1)).astype(np.uint64)
+        wide = np.flatnonzero(spread[self.left] > 1)
+        parts, part_of = np.unique((self.left[wide] << 16) | (self.h2[wide] & (spread[self.left[wide]] - 1)), return_inverse=True)
+        context = self.left.copy()  # words, and after them the parts of spread ones
+        context[wide] = len(hashes) + part_of
+        h1 = np.r_[hashes, hashes[parts >> 16]]
+        part = np.r_[np.zeros(len(hashes), np.uint64), (parts & 0xFFFF).astype(np.uint64)]
         t = (_mix(h1 + _mix(part + np.uint64(7))) % np.uint64(targets)).astype(np.int64)
-        self.pair_order = np.lexsort((self.h2, h1, t))
+        order = np.lexsort((h1, t))
+        rank = np.empty(len(order), np.int64)  # parts that meet in one target have one rank
+        rank[order] = np.cumsum(np.r_[False, (np.diff(t[order]) != 0) | (h1[order][1:] != h1[order][:-1])])
+        rank, t = rank[context], t[context]
+        self.pair_order = np.argsort((rank << 40) | self.h2) if len(order) < 1 << 23 else np.lexsort((self.h2, rank))
         self.pair_cuts = np.searchsorted(t[self.pair_order], np.arange(targets + 1))
         w = (_mix(hashes) % np.uint64(targets)).astype(np.int64)
         self.word_order = np.lexsort((hashes, w))
@@ -316,36 +345,35 @@ def score_documents(docs: DataFrame, held_every: int = 7, held_rest: int = 2) ->
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["chunk", "target", "wh", "wc", "ch", "cn", "sh", "sc"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(target, asked):
             wh = [np.frombuffer(a[1], np.uint64) for a in asked]
             words, where = np.unique(np.concatenate(wh), return_inverse=True)
             counts = np.bincount(where, np.concatenate([unpack_ints(a[2]) for a in asked]), len(words)).astype(np.int64)
             real = counts[(words != np.uint64(begin)) & (counts > 0)]
-            meta = [int(real.sum()), len(real), *[int((real == k).sum()) for k in (1, 2, 3, 4)]]
+            meta = [None, int(real.sum()), len(real), *[int((real == k).sum()) for k in (1, 2, 3, 4)]]
             ch = [np.frombuffer(a[3], np.uint64) for a in asked]
             cn = [unpack_ints(a[4]) for a in asked]
             contexts, ctx = np.unique(np.concatenate(ch), return_inverse=True)
-            sh = np.concatenate([unpack_ints(a[5], 8) for a in asked])
             each = np.repeat(ctx, np.concatenate(cn))
-            pairs, of = np.unique((each << 40) | sh, return_inverse=True)
+            pairs, of = np.unique((each << 40) | np.concatenate([unpack_ints(a[5], 8) for a in asked]), return_inverse=True)
             pair_counts = np.bincount(of, np.concatenate([unpack_ints(a[6]) for a in asked]), len(pairs)).astype(np.int64)
-            keys, pair_counts = pairs[pair_counts > 0], pair_counts[pair_counts > 0]
             meta += [int((pair_counts == k).sum()) for k in (1, 2, 3, 4)]
-            names = (contexts >> np.uint64(1)).astype(np.int64)
-            trie = Trie(names, keys >> 40, keys & LOW40, pair_counts)
-            codes = trie.lookup(trie.number(names)[pairs >> 40], pairs & LOW40)[of]  # each distinct pair is searched for once
-            kinds = np.bincount((keys >> 40) * 3 + np.minimum(pair_counts, 3) - 1, minlength=3 * len(contexts)).reshape(-1, 3)  # successors seen once, twice, more often
+            total, kinds = masses(len(contexts), pairs >> 40, pair_counts)
+            parts = np.flatnonzero(np.isin(contexts, hot[0]) & (total > 0))
+            tally = [meta, *[[int(n), int(total[i]), *kinds[i].tolist(), *[0] * 6] for i, n in zip(parts, contexts[parts].view(np.int64), strict=True)]]
+            sizes = np.bincount(pairs >> 40, minlength=len(contexts))
+            yield (OWN, target, contexts.tobytes(), pack_ints(sizes), pack_ints(pairs & LOW40, 8), pack_ints(pair_counts), tally)
             w = c = p = 0
             for i, a in enumerate(asked):
                 own_w, own_c = where[w : w + len(wh[i])], ctx[c : c + len(ch[i])]
                 n = int(cn[i].sum())
-                yield (a[0], target, pack_ints(counts[own_w]), pack_ints(kinds[own_c].T.reshape(-1)), pack_ints(codes[p : p + n], 2), meta if i == 0 else None)
+                yield (a[0], target, pack_ints(counts[own_w]), pack_ints(steps(own_c)), pack_ints(steps(of[p : p + n])), None, None)
                 w, c, p = w + len(wh[i]), c + len(ch[i]), p + n
 
         def batch_of(out):
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:5]], pa.array(cols[5], pa.list_(pa.int64()))], names=["chunk", "target", "counts", "left", "codes", "meta"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:6]], pa.array(cols[6], pa.list_(pa.list_(pa.int64())))], names=["chunk", "target", "a", "b", "c", "d", "tally"])
 
         last, asked = None, []
         for batch in batches:
@@ -370,32 +398,63 @@ def score_documents(docs: DataFrame, held_every: int = 7, held_rest: int = 2) ->
 
     begin = xxhash.xxh64_intdigest(BEGIN_NAME)
     asked = src.mapInArrow(ask, "chunk long, target int, wh binary, wc binary, ch binary, cn binary, sh binary, sc binary")
-    answers = asked.repartition("target").sortWithinPartitions("target", "chunk").mapInArrow(answer, "chunk long, target int, counts binary, left binary, codes binary, meta array<long>")
-    answers = cut(answers)
-    totals = answers.where("meta is not null").agg(*[F.coalesce(F.sum(F.col("meta")[i]), F.lit(0)) for i in range(10)]).first()
+    counted = asked.repartition("target").sortWithinPartitions("target", "chunk").mapInArrow(count, "chunk long, target int, a binary, b binary, c binary, d binary, tally array<array<long>>")
+    counted = cut(counted)
+    let_go(spark)
+    sums = counted.where(F.col("chunk") == OWN).select(F.explode("tally").alias("t")).groupBy(F.col("t")[0].alias("name")).agg(*[F.sum(F.col("t")[i]) for i in range(1, 11)]).collect()
+    sums = {r[0]: r[1:] for r in sums}  # the counts of counts, and what the parts of each spread context have: as many as hot_words finds at most
+    totals = sums.pop(None, (0,) * 10)
     tokens, types = int(totals[0]), int(totals[1])
     d = discounts(*map(float, totals[2:6]))
     pair_d = discounts(*map(float, totals[6:]))
     unseen = float(d[1] * totals[2] + d[2] * totals[3] + d[3] * (types - totals[2] - totals[3])) / max(1, tokens) if tokens else 1.0
+    names = np.array(list(sums), np.int64).view(np.uint64)
+    order = np.argsort(names)
+    names, whole_sums = names[order], np.array([r[:4] for r in sums.values()], np.int64).reshape(-1, 4)[order]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def looked_up(contexts, sizes, successors, counts):
+            """(codes of all pairs that the chunks ask for, codes of the contexts' weights), as the target's trie has them."""
+            ctx = np.repeat(np.arange(len(contexts)), sizes)
+            total, kinds = masses(len(contexts), ctx, counts)
+            if len(names):
+                place = np.minimum(np.searchsorted(names, contexts), len(names) - 1)
+                spread = names[place] == contexts
+                total[spread], kinds[spread] = whole_sums[place[spread], 0], whole_sums[place[spread], 1:]
+            left = pair_d[1] * kinds[:, 0] + pair_d[2] * kinds[:, 1] + pair_d[3] * kinds[:, 2]
+            weights = np.where(total > 0, np.minimum(1.0, left / np.maximum(total, 1)), 1.0)
+            seen = counts > 0
+            probs = (counts[seen] - pair_d[np.minimum(counts[seen], 3)]) / total[ctx[seen]]
+            short = (contexts >> np.uint64(1)).astype(np.int64)
+            trie = Trie(short, ctx[seen], successors[seen], probs, weights, PROBABILITIES_FROM)
+            return trie.lookup(trie.number(short)[ctx], successors), trie.weights  # each distinct pair is searched for once
+
+        codes = weights = None
+        for batch in batches:
+            out = []
+            for chunk, target, a, b, c, e in zip(*(batch.column(x).to_pylist() for x in ("chunk", "target", "a", "b", "c", "d")), strict=True):
+                if chunk == OWN:
+                    codes, weights = looked_up(np.frombuffer(a, np.uint64), unpack_ints(b), unpack_ints(c, 8), unpack_ints(e))
+                else:
+                    out.append((chunk, target, a, pack_ints(weights[np.cumsum(unpack_ints(b))], 2), pack_ints(codes[np.cumsum(unpack_ints(c))], 2)))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=["chunk", "target", "counts", "weights", "codes"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(hashes, parts, rows):
             chunk = whole(hashes, rows)
-            counts, codes, left = np.full(len(hashes), -1, np.int64), np.zeros(len(chunk.left), np.int64), np.zeros(len(hashes))
+            counts, codes, weights = np.full(len(hashes), -1, np.int64), np.zeros(len(chunk.left), np.int64), np.zeros(len(hashes), np.int64)
             for t in chunk.present():
                 words, pairs, starts = chunk.of(t)
                 if t not in parts:
                     raise RuntimeError("a chunk has no answer: its input changed between two reads")
                 c, m, k = parts[t]
                 counts[words], codes[pairs] = unpack_ints(c), unpack_ints(k, 2)
-                np.add.at(left, chunk.left[pairs[starts]], pair_d[1:] @ unpack_ints(m).reshape(3, -1))
+                weights[chunk.left[pairs[starts]]] = unpack_ints(m, 2)  # all parts of a spread context have one weight
             n = np.maximum(counts, 0)
             uni = np.maximum(n - d[np.minimum(n, 3)], 0) / max(1, tokens) + unseen / (types + 1)
-            pairs = len(chunk.right)
-            total = n[chunk.left[:pairs]]
-            share = np.where(total > 0, np.minimum(1.0, left[chunk.left[:pairs]] / np.maximum(total, 1)), 1.0)
-            seen = np.round(dequantise(codes[:pairs]))
-            prob = np.where(total > 0, (seen - pair_d[np.minimum(seen, 3).astype(np.int64)]) / np.maximum(total, 1), 0.0) + share * uni[chunk.right]
+            prob = dequantise(codes, PROBABILITIES_FROM) + dequantise(weights, PROBABILITIES_FROM)[chunk.left] * uni[chunk.right]
             log = np.log10(prob)[chunk.pair_of]
             base = np.log10((n + 1) / (tokens + types + 1))[chunk.sequence]
             known = (n > 0)[chunk.sequence]
@@ -406,7 +465,7 @@ def score_documents(docs: DataFrame, held_every: int = 7, held_rest: int = 2) ->
 
         last, hashes, parts, rows = None, None, {}, []
         for batch in batches:
-            for name, target, doc_id, held, body, c, m, k in zip(*(batch.column(x).to_pylist() for x in ("chunk", "target", "doc_id", "held", "body", "counts", "left", "codes")), strict=True):
+            for name, target, doc_id, held, body, c, m, k in zip(*(batch.column(x).to_pylist() for x in ("chunk", "target", "doc_id", "held", "body", "counts", "weights", "codes")), strict=True):
                 if name != last and rows:
                     yield close(hashes, parts, rows)
                 if name != last:
@@ -421,7 +480,8 @@ def score_documents(docs: DataFrame, held_every: int = 7, held_rest: int = 2) ->
             yield close(hashes, parts, rows)
 
     none = lambda kind: F.lit(None).cast(kind)
-    both = answers.select("chunk", "target", none("long").alias("doc_id"), none("boolean").alias("held"), none("binary").alias("body"), "counts", "left", "codes")
+    answers = counted.drop("tally").mapInArrow(answer, "chunk long, target int, counts binary, weights binary, codes binary")
+    both = answers.select("chunk", "target", none("long").alias("doc_id"), none("boolean").alias("held"), none("binary").alias("body"), "counts", "weights", "codes")
     both = both.union(src.mapInArrow(sequences, "chunk long, target int, doc_id long, held boolean, body binary").select("*", none("binary"), none("binary"), none("binary")))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.repartition("chunk").sortWithinPartitions("chunk", "target").mapInArrow(finish, schema)

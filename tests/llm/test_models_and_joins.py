@@ -248,6 +248,47 @@ def test_lm_discounts_of_all_pairs(spark):
     assert all(abs(found[1][i] - x) < 1e-9 * abs(x) for i, x in found[0].items())
 
 
+def test_lm_trie_of_probabilities():
+    """A trie holds probabilities of pairs and weights of contexts, far below those that counts need, in a mapped file."""
+    rnd = np.random.default_rng(3)
+    keys = np.unique(rnd.integers(0, 30 << 40, 4000))
+    probs, weights = 10 ** rnd.uniform(-12, 0, len(keys)), np.r_[1.0, 10 ** rnd.uniform(-5, 0, 29)]
+    trie = ngramlm.Trie(np.sort(rnd.integers(0, 1 << 63, 30)), keys >> 40, keys & ngramlm.LOW40, probs, weights, ngramlm.PROBABILITIES_FROM)
+    got = ngramlm.dequantise(trie.lookup(keys >> 40, keys & ngramlm.LOW40), ngramlm.PROBABILITIES_FROM)
+    kept = ngramlm.dequantise(trie.weights, ngramlm.PROBABILITIES_FROM)
+    assert np.abs(np.log10(got / probs)).max() < 1 / 7000 and np.abs(np.log10(kept / weights)).max() < 1 / 7000 and kept[0] == 1
+    with pytest.raises(TypeError):  # the file is complete and is only read
+        trie.map[0] = 1
+
+
+def test_lm_scores_are_of_quantised_probabilities(spark):
+    """Each score is that of the codes of discounted pairs and of weights, also where a context's successors are spread over targets."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.7)) % 300}" for _ in range(50))) for i in range(200)]
+    d, crc = ngramlm.discounts(*all_pairs(rows)), lambda i: zlib.crc32(str(i).encode()) % 7
+    seqs = [["begin", *t.encode().split(), None] for i, t in rows if crc(i) != 2]
+    pair, uni = Counter(p for w in seqs for p in zip(w, w[1:], strict=False)), Counter(x for w in seqs for x in w[1:])
+    context, left, of, n = Counter(), Counter(), Counter(uni.values()), sum(uni.values())
+    for (a, _), c in pair.items():
+        context[a] += c
+        left[a] += d[min(c, 3)]
+    du = ngramlm.discounts(*[float(of[k]) for k in (1, 2, 3, 4)])
+    unseen = sum(du[min(c, 3)] for c in uni.values()) / n
+    code = lambda p: float(ngramlm.dequantise(ngramlm.quantise(np.array([p]), ngramlm.PROBABILITIES_FROM).astype(int), ngramlm.PROBABILITIES_FROM)[0])
+
+    def prob(a, b):
+        p1 = max(0, uni[b] - du[min(uni[b], 3)]) / n + unseen / (len(uni) + 1)
+        return code((pair[a, b] - d[min(pair[a, b], 3)]) / context[a] if pair[a, b] else 0) + code(min(1, left[a] / context[a]) if context[a] else 1) * p1
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = ngramlm.hot_words(docs, 256)
+    assert hot[1].max() > 4
+    got = {r.doc_id: r.score for r in ngramlm.score_documents(docs).collect()}
+    for i, t in rows:
+        w = ["begin", *t.encode().split(), None]
+        assert abs(got[i] - sum(math.log10(prob(a, b)) for a, b in zip(w, w[1:], strict=False))) < 1e-8
+
+
 def test_lm_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = ngramlm.score_documents(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
