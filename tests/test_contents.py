@@ -112,3 +112,25 @@ def test_near_best_over_ends_of_runs(spark):
     best = lambda e: max(r.x1 for r in rows if r.entry == e and r.x1 is not None)
     assert tuple(best(1)) == (0.5, -158, 58) and tuple(best(2)) == (1.0, -300, 65) and not [r for r in rows if r.entry == 3]
     assert sorted(tuple(x) for r in rows if r.entry == 2 for x in r.firsts) == [(0.5, -164, 64), (0.5, -159, 59), (1.0, -300, 65)]
+
+
+def test_only_documents_with_contents_are_split(spark, monkeypatch):
+    """Of a document without contents pages nothing but its headings goes on; its blocks are neither written again nor shuffled."""
+    book = ["Contents"] + [f"{k} Title {k} of it .... {k + 1}" for k in range(1, 7)]
+    rows = [("with", i, "text", t, 0, None) for i, t in enumerate(book)]
+    rows += [("with", 7 + i, "text", f"{i + 1} Title {i + 1} of it", i + 1, None) for i in range(6)]
+    rows += [("without", i, "text", t, i // 10, None) for i, t in enumerate(["Chapter 1"] + ["plain line"] * 30 + ["Chapter 2"] + ["plain line"] * 5)]
+    rows += [("without", 100, "text", "Chapter 3", None, None)]
+    blocks = spark.createDataFrame(rows, "doc_id string, id int, type string, text string, page_idx int, text_level int")
+    kept, write = {}, anchors.stored
+
+    def noted(df, label, made=None):
+        kept[label] = write(df, label, made)
+        return kept[label]
+
+    monkeypatch.setattr(anchors, "stored", noted)
+    tree = anchors.rule_tree(blocks).collect()
+    assert {r.doc_id for r in kept["tree-split"].select("doc_id").collect()} == {"with"} and kept["tree-split"].count() == 13
+    assert [(r.text, r.page) for r in sorted(tree, key=lambda r: r.ord) if r.doc_id == "without"] == [("Chapter 1", 0), ("Chapter 2", 3), ("Chapter 3", 0)]
+    found = sorted((r.block_range.start, r.text) for r in tree if r.doc_id == "with")
+    assert len(found) == 6 and all(i >= 7 and text.endswith(f"Title {i - 6} of it") for i, text in found)
